@@ -37,7 +37,7 @@ from tidemark.llm.common import strings, with_arrow_columns
 #: Fixed value: the pattern that cuts a text into pieces before merging, as published with the vocabulary.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a worker's table of pieces, and of pairs.
-PIECE_LIMIT, PAIR_LIMIT = 400_000, 1_000_000
+PIECE_LIMIT, PAIR_LIMIT = 200_000, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -90,7 +90,7 @@ class ByteBpe:
             self.shorter[i] = next((t for k in range(len(s) - 1, 0, -1) if (t := self.id_of.get(s[:k])) is not None), -1)
             self.automaton.add_word(s.decode("latin-1"), (i, len(s)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         lengths = np.array([len(t) for t in self.token], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.bytes = np.frombuffer(b"".join(self.token), np.uint8)
@@ -99,11 +99,11 @@ class ByteBpe:
         self.table = PieceTable(self.piece)
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(key := a << 20 | b)
         if known is None:
             if len(self.pairs) >= PAIR_LIMIT:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._keeps_apart(a, b)
+            known = self.pairs[key] = self._keeps_apart(a, b)
         return known
 
     def _keeps_apart(self, a: int, b: int) -> bool:

@@ -47,6 +47,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that an executor's Python holds as objects at once.
+SLICE = 256
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that memory follows the rows and not the batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_arrow_columns(
     df: DataFrame,
     added: dict[str, T.DataType],
@@ -58,9 +69,8 @@ def with_arrow_columns(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch)], names)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch)], names)
 
     return df.mapInArrow(run, schema)
 
