@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, secret_scan, simhash
 from tidemark.llm.common import table, texts_of
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.span_digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     encoded = bpe.encode_bpe(texts_of(table(spark, sf_dir, "documents")), path)
@@ -20,6 +28,8 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
 }
 
