@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, secret_scan, simhash
+from tidemark.llm import bpe, line_dedup, mixing, secret_scan, simhash
 from tidemark.llm.common import table, texts_of
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,6 +21,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.site_lines(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     encoded = bpe.encode_bpe(texts_of(table(spark, sf_dir, "documents")), path)
@@ -30,7 +38,12 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_mixing": op8_mixing,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_line_dedup": line_dedup.SQL,
+    "op8_mixing": mixing.SQL,
+}
