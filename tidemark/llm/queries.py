@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, mixing, secret_scan, simhash
-from tidemark.llm.common import table, texts_of
+from tidemark.llm import bpe, fingerprints, line_dedup, mixing, secret_scan, simhash, token_files
+from tidemark.llm.common import scratch, table, texts_of
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -17,6 +18,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_digests(fingerprints.edited_pairs(table(spark, sf_dir, "documents")))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -25,6 +30,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.site_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "tokens")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), folder)
+    read = token_files.read_token_files(spark, folder)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
@@ -37,13 +49,16 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_fingerprints": op3_fingerprints,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_token_files": op6_token_files,
     "op8_mixing": op8_mixing,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
 }
 
 ORACLE: dict[str, str] = {
     "op5_line_dedup": line_dedup.SQL,
+    "op6_token_files": op6_token_files,
     "op8_mixing": mixing.SQL,
 }
