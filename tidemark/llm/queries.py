@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprints, line_dedup, mixing, secret_scan, simhash, token_files
+from tidemark.llm import bpe, fingerprints, line_dedup, mixing, secret_scan, simhash, token_files, warc
 from tidemark.llm.common import scratch, table, texts_of
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -37,6 +37,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.resolve_revisits(warc.read_archives(spark, folder, with_payload=False))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_files": op6_token_files,
+    "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
 }
@@ -60,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op5_line_dedup": line_dedup.SQL,
     "op6_token_files": op6_token_files,
+    "op7_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
 }
