@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprints, line_dedup, mixing, secret_scan, simhash, token_files, warc
+from tidemark.llm import bpe, fingerprints, line_dedup, mixing, secret_scan, simhash, token_files, toxicity, warc
 from tidemark.llm.common import scratch, table, texts_of
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -54,6 +59,7 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
     "op3_fingerprints": op3_fingerprints,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
