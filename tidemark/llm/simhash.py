@@ -374,12 +374,12 @@ class Group:
         return out
 
 
-def classes(docs: DataFrame, codes: list[tuple[int, ...]], threshold: int, bits: int, by: list[str]) -> DataFrame:
-    """Adds component_id to rows of (doc_id, node, fp, sketch, ...): the smallest doc_id linked over any path.
+def classes(docs: DataFrame, codes: list[tuple[int, ...]], threshold: int, bits: int, by: list[str], name: str = "doc_id") -> DataFrame:
+    """Adds component_id to rows of (node, fp, sketch, ``name``, ...): the least ``name`` linked over any path.
 
     ``by``: the columns that, equal, make one distinct fingerprint; ``node`` is one number for each.
     """
-    own = stored(docs.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in by)), "nodes")
+    own = stored(docs.groupBy("node").agg(F.min(name).alias("least"), *(F.first(c).alias(c) for c in by)), "nodes")
     found = links(own.select("node", "fp", *(["sketch"] if "sketch" in by else [F.lit(None).cast("binary").alias("sketch")])), codes, threshold, bits)
     roots = connected(found)
     reached = own.select("node", "least").join(roots, "node")
@@ -398,14 +398,25 @@ def simhash_components(docs: DataFrame, words: int = 3, threshold: int = 2, id_c
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of documents whose word shingles resemble one another, singly linked.
+def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, h (text hash), component_id (the least of no_id, doc_id, h) of documents whose word shingles resemble one another, singly linked.
 
     The similarity is that of the sets of shingles, estimated from 256 SimHash bits: sets of resemblance J have
     cosine 2J / (1 + J), and each bit differs with the probability of their angle over pi. Pairs are met
     at the anchors of fingerprints over distinct words, which edits change least, in either of two blocks.
     """
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    marked = stored(near_fingerprints(texts_of(docs, id_col, text_col), words).select("doc_id", "fp", "sketch"), "sketches")
-    marked = marked.withColumn("node", F.xxhash64("fp", "sketch"))
-    return classes(marked, [(0,), (BLOCK,)], 2, int(round(256 * angle)) + 1, ["fp", "sketch"]).select("doc_id", "component_id")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
+    marked = stored(near_fingerprints(own, words).select("doc_id", "h", "fp", "sketch"), "sketches")
+    marked = marked.withColumn("node", F.xxhash64("fp", "sketch")).withColumn("row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h"))
+    return classes(marked, [(0,), (BLOCK,)], 2, int(round(256 * angle)) + 1, ["fp", "sketch"], "row").select("doc_id", "h", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without near copies: of each group the one with the smallest id stays (a null id is the largest)."""
+    found = stored(near_classes(docs, words, similarity), "near")
+    keep = found.select(F.col("component_id.doc_id").alias("keep_id"), F.col("component_id.h").alias("keep_h")).distinct()
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("keep_id")) & (F.xxhash64(docs["text"]) == F.col("keep_h")), "left_semi")
+    if not found.groupBy("doc_id", "h").count().where("count > 1").isEmpty():  # a row may be there more than once
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept
