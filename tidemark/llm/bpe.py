@@ -48,15 +48,23 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class PieceTable(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers; filled on demand, emptied when full."""
+    """Piece -> its ids as little-endian unsigned 32-bit integers, filled on demand.
+
+    A full table becomes the one before, from which pieces still in use come back without encoding.
+    """
 
     def __init__(self, encode, limit: int = PIECE_LIMIT):
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.before = encode, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
+        value = self.before.get(piece)
+        if value is None:
+            ids = self.encode(piece)
+            value = pack(f"<{len(ids)}I", *ids)
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
-        value = self[piece] = pack(f"<{len(ids := self.encode(piece))}I", *ids)
+        self[piece] = value
         return value
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import PIECES, PieceTable
+from tidemark.llm.bpe import PIECES, PieceTable, byte_alphabet
 from tidemark.llm.common import slices, strings, texts_of
 from tidemark.llm.files import mapped, replaced
 
@@ -38,7 +38,11 @@ NO_ID = -(2**63)
 
 
 class LibraryEncoder:
-    """The tokenizers library's ids of a text. Pieces are independent, so each distinct one is encoded once while a bounded table holds it."""
+    """The tokenizers library's ids of a text.
+
+    Its model encodes the pieces of a text independently of one another, so each distinct piece is given to it
+    once while a bounded table holds the ids.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,7 +50,9 @@ class LibraryEncoder:
             self.special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
         self.findall = regex.compile(PIECES).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
-        self.table = PieceTable(lambda piece: self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        letters = {byte: letter for letter, byte in byte_alphabet().items()}
+        tokens = self.tokenizer.model.tokenize
+        self.table = PieceTable(lambda piece: [t.id for t in tokens(piece.encode("utf-8").decode("latin-1").translate(letters))])
 
     def encode(self, text: str) -> bytes:
         get = self.table.__getitem__
