@@ -36,8 +36,8 @@ from tidemark.llm.common import strings, with_arrow_columns
 
 #: Fixed value: the pattern that cuts a text into pieces before merging, as published with the vocabulary.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of a worker's table of pieces, and of pairs.
-PIECE_LIMIT, PAIR_LIMIT = 200_000, 200_000
+#: Entries of a worker's table of pieces (there are two such tables), and of pairs; about 250 bytes each.
+PIECE_LIMIT, PAIR_LIMIT = 100_000, 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -214,6 +214,22 @@ def encode_bpe(df: DataFrame, vocabulary_path: str, text_col: str = "text", ids_
     return with_arrow_columns(df, {ids_col: T.ArrayType(T.IntegerType())}, make)
 
 
+def encode_and_decode(df: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``encode_bpe`` and ``decode_bpe`` of its ids in one pass, so that a worker holds one vocabulary and texts cross once."""
+    df = df.drop(*{ids_col, decoded_col} - {text_col})
+
+    def make():
+        bpe = vocabulary(vocabulary_path)
+
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            blobs = [bpe.encode(x) for x in strings(batch.column(text_col))]
+            return [id_lists(blobs), pa.array([bpe.decode(np.frombuffer(b, "<u4")).decode("utf-8", "replace") for b in blobs], pa.string())]
+
+        return work
+
+    return with_arrow_columns(df, {ids_col: T.ArrayType(T.IntegerType()), decoded_col: T.StringType()}, make)
+
+
 def decode_bpe(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds ``text_col`` (string), the ids' bytes read as UTF-8; bytes that are none become U+FFFD."""
     df = df.drop(text_col) if ids_col != text_col else df

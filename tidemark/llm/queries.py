@@ -54,8 +54,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
-    encoded = bpe.encode_bpe(texts_of(table(spark, sf_dir, "documents")), path)
-    return bpe.bpe_digests(bpe.decode_bpe(encoded.select("doc_id", "ids"), path))
+    return bpe.bpe_digests(bpe.encode_and_decode(texts_of(table(spark, sf_dir, "documents")), path))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -35,6 +35,8 @@ from tidemark.llm.common import slices, strings, texts_of
 from tidemark.llm.files import mapped, replaced
 
 NO_ID = -(2**63)
+#: Entries of a worker's table of pieces, of which there are two; about 200 bytes each.
+LIBRARY_LIMIT = 300_000
 
 
 class LibraryEncoder:
@@ -52,7 +54,7 @@ class LibraryEncoder:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
         letters = {byte: letter for letter, byte in byte_alphabet().items()}
         tokens = self.tokenizer.model.tokenize
-        self.table = PieceTable(lambda piece: [t.id for t in tokens(piece.encode("utf-8").decode("latin-1").translate(letters))])
+        self.table = PieceTable(lambda piece: [t.id for t in tokens(piece.encode("utf-8").decode("latin-1").translate(letters))], LIBRARY_LIMIT)
 
     def encode(self, text: str) -> bytes:
         get = self.table.__getitem__
