@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprints, line_dedup, mixing, secret_scan, simhash, token_files, toxicity, warc
+from tidemark.llm import bpe, fingerprints, line_dedup, mixing, search, secret_scan, simhash, token_files, toxicity, warc
 from tidemark.llm.common import scratch, table, texts_of
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -57,6 +57,11 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(bpe.encode_and_decode(texts_of(table(spark, sf_dir, "documents")), path))
 
 
+def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.bm25_top_k(docs, docs.where("doc_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -67,11 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
+    "op10_top_k_search": op10_top_k_search,
 }
 
 ORACLE: dict[str, str] = {
     "op5_line_dedup": line_dedup.SQL,
-    "op6_token_files": op6_token_files,
     "op7_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
+    "op10_top_k_search": search.top_k_sql(),
 }
