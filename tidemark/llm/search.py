@@ -4,12 +4,12 @@ Index. Every task turns its documents into segments: files in the shared folder
 their posting lists (document, frequency), document lengths and ids. Segments are grouped into shards of a bounded
 size. Document frequencies and lengths are summed over all segments, so every shard scores with global statistics.
 
-Search. Queries are dealt into blocks; a task takes one shard and one block. Documents of a shard lie in blocks
+Search. Queries are dealt into blocks; a task takes one block and a few shards in turn. Documents of a shard lie in blocks
 of ``BLOCK``, ordered so that like documents are neighbours, and every long posting list keeps the maximum of
 its scores in each block. A query first sums its short lists. The best of these documents, scored in full, give
-the threshold: the k-th best score so far. A block is a pivot only if the query's block maxima and the best short
+the threshold: the k-th best score so far, also of the shards before. A block is a pivot only if the query's block maxima and the best short
 sum in it reach the threshold (the weak-and test); the long lists are read in pivot blocks alone. The k best of
-every shard are merged by score into the k best of all.
+every task are merged by score into the k best of all.
 
 Scores. A term counts once in a query. Its part of a score, ``ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) /
 (tf + K1 * (1 - B + B * length / mean length))``, is rounded to a multiple of 1 / ``UNIT``; sums are then exact
@@ -41,8 +41,8 @@ K1, B, UNIT = 1.2, 0.75, 1 << 16
 TERM_BREAK = r"[^\p{L}\p{N}]+"
 #: Size of a segment and of a shard: postings (in a segment still words) and 128 for each document.
 SEGMENT, SHARD, PER_DOC = 4_000_000, 10_000_000, 128
-#: Queries in a block, queries looked at together, and documents in a block.
-QUERIES, TOGETHER, BLOCK = 16_384, 64, 64
+#: Queries in a block, queries looked at together, documents in a block, and shards that a task takes in turn.
+QUERIES, TOGETHER, BLOCK, IN_TURN = 16_384, 64, 64, 2
 #: A list is long if it has one in so many documents; scores of long lists that a shard holds at most.
 LONG, LONG_SCORES = 16, 16_000_000
 NO_ID = -(2**63)
@@ -205,12 +205,13 @@ class Shard:
         order = np.lexsort((lengths, lead))
         place = np.empty(n, np.int32)
         place[order] = np.arange(n, dtype=np.int32)
-        self.ids, lead, self.doc, self.score = self.ids[order], lead[order], place[doc], score
+        self.ids, lead, doc = self.ids[order], lead[order], place[doc]
         self.n, self.blocks = n, -(-n // BLOCK)
         self.long = np.zeros((self.blocks * BLOCK, most), np.float32)
         for c, t in enumerate(long):
             span = slice(self.starts[t], self.starts[t + 1])
-            self.long[self.doc[span], c] = score[span]
+            self.long[doc[span], c] = score[span]
+        self.doc, self.score = doc, score
         self.maxima = self.long.reshape(self.blocks, BLOCK, most).max(axis=1)
         # Mean direction of each group of neighbours, to put like queries together.
         groups = np.unique(lead, return_index=True)[1]
@@ -225,8 +226,8 @@ class Shard:
         spans = [slice(a, b) for a, b in zip(self.starts[lists].tolist(), self.starts[lists + 1].tolist())]
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.score[s] for s in spans]), len(self.long))
 
-    def search(self, queries: list[np.ndarray], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query's position, ids, scores in units) of the k best; queries are positions of terms."""
+    def search(self, queries: list[np.ndarray], k: int, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query's position, ids, scores in units) of the k best that reach the query's known threshold; queries are positions of terms."""
         wanted = np.zeros((len(queries), self.long.shape[1]), bool)
         short = []
         for i, terms in enumerate(queries):
@@ -239,30 +240,30 @@ class Shard:
         order = np.argsort(like, kind="stable")
         for at in range(0, len(order), TOGETHER):
             some = order[at : at + TOGETHER]
-            yield from self._together(some, [short[i] for i in some], wanted[some].astype(np.float32), k)
+            yield from self._together(some, [short[i] for i in some], wanted[some].astype(np.float32), k, known[some])
 
-    def _together(self, some: np.ndarray, short: list[np.ndarray], wanted: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def _together(self, some: np.ndarray, short: list[np.ndarray], wanted: np.ndarray, k: int, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         sums = np.stack([self.short_sums(x) for x in short])
         by_block = sums.reshape(len(some), self.blocks, BLOCK)
         best = by_block.max(axis=2)
         ceiling = wanted @ self.maxima.T
         # A sum of float32 is off by at most this much (of the true sum's terms, each below 2 ** 24 and whole).
         slack = ceiling.max(axis=1) * (wanted.shape[1] * 2.0**-23) + 1
-        floor = np.ones(len(some))
+        floor = known - slack
         tries = min(4 * k, self.blocks)
         for i in range(len(some)):
             blocks = np.argpartition(best[i], self.blocks - tries)[self.blocks - tries :]
             docs = blocks * BLOCK + by_block[i, blocks].argmax(axis=1)
             found = sums[i, docs] + self.long[docs] @ wanted[i]
             if tries >= k:
-                floor[i] = max(1.0, np.partition(found, tries - k)[tries - k] - slack[i])
+                floor[i] = max(floor[i], np.partition(found, tries - k)[tries - k] - slack[i])
         pivots = np.flatnonzero((best + ceiling >= (floor - slack)[:, None]).any(axis=0))
         if not len(pivots):
             return
         docs = (pivots[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         scores = (self.long.reshape(self.blocks, BLOCK, -1)[pivots].reshape(len(docs), -1) @ wanted.T).T + by_block[:, pivots].reshape(len(some), -1)
         for i, query in enumerate(some.tolist()):
-            near = np.flatnonzero(scores[i] >= floor[i])
+            near = np.flatnonzero(scores[i] >= floor[i] - slack[i])
             if len(near) > k:
                 bound = np.partition(scores[i, near], len(near) - k)[len(near) - k] - 2 * slack[i]
                 near = near[scores[i, near] >= bound]
@@ -273,7 +274,7 @@ class Shard:
             exact = sums[i, near]
             for a in range(0, len(near), 4096):
                 exact[a : a + 4096] += self.long[near[a : a + 4096, None], columns].sum(axis=1, dtype=np.float64)
-            keep = exact > 0
+            keep = exact >= known[i]
             exact, ids = exact[keep], self.ids[near[keep]]
             last = np.lexsort((ids, ids == NO_ID, -exact))[:k]
             yield query, ids[last], exact[last].astype(np.int64)
@@ -296,9 +297,10 @@ def bm25_top_k(
     index = Index(docs, id_col, text_col)
     folder = scratch(spark, "queries")
     n_blocks, mean = write_queries(index, queries, folder, query_id_col, query_text_col), index.mean
-    # A stated set of queries against all rows, in blocks: a row for each shard and block.
-    tasks = index.shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    tasks = tasks.repartitionByRange(max(1, index.shards.count() * n_blocks), "shard", "block")
+    # A stated set of queries against all rows, in blocks: a row for each few shards and block.
+    turns = index.shards.groupBy(F.floor(F.col("shard") / IN_TURN).alias("turn")).agg(F.sort_array(F.collect_list(F.struct("shard", "segments"))).alias("shards"))
+    tasks = turns.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    tasks = tasks.repartitionByRange(max(1, -(-index.shards.count() // IN_TURN) * n_blocks), "turn", "block")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
@@ -317,16 +319,20 @@ def bm25_top_k(
             mine, at = np.divmod(pairs, max(1, len(terms)))
             asked = np.split(at, np.searchsorted(mine, np.arange(1, len(owner))))
             del h, known, pairs
-            shard = Shard(row["segments"], terms, idf, mean)
-            out, rows = [], 0
-            for query, found, units in shard.search(asked, k):
-                out.append((np.full(len(found), owner[query]), found, units))
-                rows += len(found)
-                if rows >= 10_000:
-                    yield _found(out)
-                    out, rows = [], 0
-            if out:
-                yield _found(out)
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(owner)
+            threshold = np.ones(len(owner))
+            for turn in row["shards"]:
+                for query, found, units in Shard(turn["segments"], terms, idf, mean).search(asked, k, threshold):
+                    found, units = np.concatenate([best[query][0], found]), np.concatenate([best[query][1], units])
+                    last = np.lexsort((found, found == NO_ID, -units))[:k]
+                    best[query] = found[last], units[last]
+                    if len(last) == k:
+                        threshold[query] = units[last[-1]]
+            for at in range(0, len(owner), 1024):
+                part = best[at : at + 1024]
+                query = np.repeat(owner[at : at + 1024], [len(x) for x, _ in part])
+                doc, units = (np.concatenate(x) for x in zip(*part))
+                yield pa.RecordBatch.from_arrays([pa.array(query, mask=query == NO_ID), pa.array(doc, mask=doc == NO_ID), pa.array(units)], schema=FOUND)
 
     found = tasks.mapInArrow(search, "query_id bigint, doc_id bigint, units bigint")
     best = W.partitionBy("query_id").orderBy(F.desc("units"), F.col("doc_id").asc_nulls_last())
@@ -334,11 +340,6 @@ def bm25_top_k(
     return ranked.select("query_id", "rank", "doc_id", (F.col("units") / UNIT).alias("score"))
 
 
-def _found(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    query, doc, units = (np.concatenate(x) for x in zip(*parts))
-    return pa.RecordBatch.from_arrays([pa.array(query, mask=query == NO_ID), pa.array(doc, mask=doc == NO_ID), pa.array(units)], schema=FOUND)
-
-
 def top_k_sql(k: int = 10) -> str:
     return rf"""
 with term as (
