@@ -42,8 +42,9 @@ HOT = 20_000
 BLOCK, GENERATOR = 23, 0b101011100011
 #: Bits of each byte value, lowest first.
 BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
-#: Odd multipliers that derive further 64-bit hashes of a shingle from its first.
-MIXERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+#: 64-bit words of a long fingerprint, and the multipliers that derive further hashes of a shingle from its first (fixed values).
+LONG_WORDS = 8
+STEP, FIRST_MIX, LAST_MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def shingle_hashes(text: str, words: int, distinct: bool = False) -> np.ndarray:
@@ -75,13 +76,14 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones.ravel() * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def long_majority(hashes: np.ndarray) -> bytes:
-    """256 bits: the majority words of four mixes of the hashes."""
+def long_majority(hashes: np.ndarray, words: int = LONG_WORDS) -> bytes:
+    """The majority words of so many mixes of the hashes."""
     out = []
-    for m in MIXERS:
-        x = hashes * m
-        x ^= x >> np.uint64(29)
-        out.append(majority(x * MIXERS[0]))
+    for step in STEP * np.arange(1, words + 1, dtype=np.uint64):
+        x = hashes + step
+        x = (x ^ x >> np.uint64(30)) * FIRST_MIX
+        x = (x ^ x >> np.uint64(27)) * LAST_MIX
+        out.append(majority(x ^ x >> np.uint64(31)))
     return np.array(out, "<u8").tobytes()
 
 
@@ -99,7 +101,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 
 
 def near_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """Adds fp (64 bits over the distinct words, for anchors) and sketch (256 bits over shingles, for the similarity)."""
+    """Adds fp (64 bits over the distinct words, for anchors) and sketch (512 bits over shingles, for the similarity)."""
 
     def make():
         def work(batch):
@@ -401,15 +403,17 @@ def simhash_components(docs: DataFrame, words: int = 3, threshold: int = 2, id_c
 def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, h (text hash), component_id (the least of no_id, doc_id, h) of documents whose word shingles resemble one another, singly linked.
 
-    The similarity is that of the sets of shingles, estimated from 256 SimHash bits: sets of resemblance J have
-    cosine 2J / (1 + J), and each bit differs with the probability of their angle over pi. Pairs are met
+    The similarity is that of the sets of shingles, estimated from 512 SimHash bits: sets of resemblance J have
+    cosine 2J / (1 + J), and each bit differs with the probability of their angle over pi. The limit lies two standard
+    deviations above the bits expected, so that of pairs just similar enough nearly all are linked. Pairs are met
     at the anchors of fingerprints over distinct words, which edits change least, in either of two blocks.
     """
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    angle, width = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 64 * LONG_WORDS
+    limit = int(width * angle + 2 * np.sqrt(width * angle * (1 - angle)))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     marked = stored(near_fingerprints(own, words).select("doc_id", "h", "fp", "sketch"), "sketches")
     marked = marked.withColumn("node", F.xxhash64("fp", "sketch")).withColumn("row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h"))
-    return classes(marked, [(0,), (BLOCK,)], 2, int(round(256 * angle)) + 1, ["fp", "sketch"], "row").select("doc_id", "h", "component_id")
+    return classes(marked, [(0,), (BLOCK,)], 2, limit, ["fp", "sketch"], "row").select("doc_id", "h", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
