@@ -13,8 +13,9 @@ def entity_id(key: Column) -> Column:
     return key.cast("string")
 
 
-def payload(id: Column, sequence: Column, kind: EventType, value: Column, created_at: Column | None = None) -> list[Column]:
+def payload(id: Column, sequence: Column, kind: EventType | type, value: Column, created_at: Column | None = None) -> list[Column]:
     """The five journal columns of an event; the time is the query's start unless given."""
+    kind = getattr(kind, "event_type", kind)
     return [
         entity_id(id).alias("id"),
         sequence.cast("long").alias("sequence_id"),
