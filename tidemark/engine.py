@@ -9,6 +9,7 @@ from tidemark.operators.mapping import Mapper
 from tidemark.operators.process import Behaviour, entrust, to_journal
 from tidemark.operators.projection import Projector
 from tidemark.sources.journal import EventWriter, Journal
+from tidemark.sources.shared import kept
 from tidemark.streaming.stream import EventStream
 
 
@@ -56,8 +57,8 @@ class Engine:
 
         The batch is checkpointed before it is written, so writing and returning see the same events.
         """
-        out = entrust(commands, states, behaviour, state).checkpoint()
-        events = to_journal(out.where("what = 'event'")).checkpoint()
+        out = kept(entrust(commands, states, behaviour, state))
+        events = kept(to_journal(out.where("what = 'event'")))
         self.writer.write(events)
         if publish:
             self.stream.publish(events)

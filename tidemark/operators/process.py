@@ -130,7 +130,7 @@ def entrust(commands: DataFrame, states: DataFrame, behaviour: Behaviour, state:
         now, at = (begun["state"].iloc[0], int(begun["sequence"].iloc[0])) if len(begun) else (None, 0)
         ordered = batch.sort_values("arrival", kind="stable")
         rows = run_entity(behaviour, key[0], now, at, zip(ordered["arrival"], ordered["kind"], ordered["bytes"]))
-        out = pd.DataFrame(list(rows), columns=names)
+        out = pd.DataFrame(list(rows), columns=names, dtype=object)
         return out.astype({c: "Int64" for c in ("arrival", "sequence_id", "sequence")})
 
     held = states.select("id", F.col("state").cast(state).alias("state"), "sequence")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import ApplyEvent, EmptyJournal, FirstFormation, NotCompatible, ProjectionError
 from tidemark.operators.mapping import PROJECTION, Fold, Mapper, unmapped
 from tidemark.operators.ordering import fixture_dedup
+from tidemark.sources.shared import kept
 
 FIRST, DECODE = "no state to begin with", "body can't be decoded"
 
@@ -51,11 +52,25 @@ class Projector:
         rows = rows.repartition("id")
         return rows if self.keep_duplicates else fixture_dedup(rows)
 
-    def _step(self, acc: Column, x: Column) -> Column:
+    def _decoded(self, rows: DataFrame) -> tuple[DataFrame, dict[object, str]]:
+        """rows with a body column for each decoder, decoded once and before the fold; decoder -> column.
+
+        Bodies of types without an order stay bytes and are decoded in the fold.
+        """
+        decoders: dict[object, list[str]] = {}
+        for name, h in self.handlers.items():
+            decoders.setdefault(h.decode, []).append(name)
+        made = {f"body{i}": F.when(F.col("registry_key").isin(keys), d(F.col("bytes"))) for i, (d, keys) in enumerate(decoders.items())}
+        out = rows.withColumns(made)
+        text = {c: out.schema[c].dataType.simpleString() for c in made}
+        plain = {d: c for d, c in zip(decoders, made) if "variant" not in text[c] and "map<" not in text[c]}
+        return out.drop(*set(made) - set(plain.values())), plain
+
+    def _step(self, bodies: dict[object, str], acc: Column, x: Column) -> Column:
         state, key = acc["state"], x["registry_key"]
         after, wrong = F.lit(None).cast(self.state), F.lit(None).cast("string")
         for name, h in self.handlers.items():
-            body = h.decode(x["bytes"])
+            body = x[bodies[h.decode]] if h.decode in bodies else h.decode(x["bytes"])
             formed = F.lit(None).cast(self.state) if h.first is None else h.first(body).cast(self.state)
             after = F.when(key == name, F.when(state.isNull(), formed).otherwise(h.apply(state, body).cast(self.state))).otherwise(after)
             reason = F.lit(None).cast("string") if h.reject is None else F.when(state.isNotNull(), h.reject(state, body))
@@ -73,23 +88,24 @@ class Projector:
 
         snapshot: id, state, sequence (the first to read). A strict replay first looks for event types without a
         handler in all rows to be read and raises NotCompatible (an action). An entity's fold stops at its first
-        error; 'raise' raises it (an action), 'keep' returns it with the state before.
+        error; 'raise' raises it (an action, whose states are kept in the checkpoint folder), 'keep' returns it with the state before.
         """
-        rows = self._rows(snapshot, on_unmapped)
-        part = F.struct("sequence_id", "created_at", "registry_key", "bytes")
+        rows, bodies = self._decoded(self._rows(snapshot, on_unmapped))
+        part = F.struct("sequence_id", "created_at", "registry_key", "bytes", *bodies.values())
         parts = rows.groupBy("id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
         zero = F.struct(F.lit(None).cast(self.state).alias("state"), F.lit(0).cast("long").alias("sequence"), F.lit(None).cast("string").alias("error"))
         if snapshot is not None:
             start = snapshot.select("id", F.struct(F.col("state").cast(self.state).alias("state"), F.col("sequence").cast("long").alias("sequence"), F.lit(None).cast("string").alias("error")).alias("start"))
             parts = parts.join(start, "id", "full")
             zero = F.coalesce(F.col("start"), zero)
-        folded = parts.select("id", F.aggregate(F.coalesce("parts", F.array().cast(parts.schema["parts"].dataType)), zero, self._step).alias("r"))
+        folded = parts.select("id", F.aggregate(F.coalesce("parts", F.array().cast(parts.schema["parts"].dataType)), zero, lambda acc, x: self._step(bodies, acc, x)).alias("r"))
         return self._checked(folded.select("id", "r.state", "r.sequence", "r.error"), on_error)
 
     @staticmethod
     def _checked(out: DataFrame, on_error: str) -> DataFrame:
         if on_error == "keep":
             return out
+        out = kept(out)
         bad = out.where("error is not null").select("id", "sequence", "error").first()
         if bad:
             kind = FirstFormation if bad["error"] == FIRST else ApplyEvent
@@ -132,7 +148,7 @@ class Projector:
             if states is not None:
                 done = states.select("id", F.col("sequence").alias("done"))
                 out = out.join(done, "id", "left").select("id", "state", F.when(F.col("done").isNull(), F.col("sequence")).otherwise(F.col("sequence") + 1 + F.col("done")).alias("sequence"))
-            states = out.checkpoint()
+            states = kept(out)
         if states is None:
             raise EmptyJournal("no events")
         return states

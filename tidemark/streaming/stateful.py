@@ -63,7 +63,7 @@ class CommandProcessor(StatefulProcessor):
         out = list(run_entity(self.behaviour, key[0], state, sequence, zip(batch["arrival"], batch["kind"], batch["bytes"])))
         self.now.update((out[-1]["state"], out[-1]["sequence"]))
         names = [c.split()[0] for c in OUT.format(state="x").split(", ")]
-        yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("arrival", "sequence_id", "sequence")})
+        yield pd.DataFrame(out, columns=names, dtype=object).astype({c: "Int64" for c in ("arrival", "sequence_id", "sequence")})
 
     def close(self) -> None:
         pass
