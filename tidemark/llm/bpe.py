@@ -1,12 +1,12 @@
 """Byte-level BPE: exact encoding by backtracking over longest token matches, and decoding.
 
 Encoding. A text is split into pieces by the vocabulary's pattern (special tokens are cut out
-first). In a piece, an Aho-Corasick automaton over all tokens gives the longest token that starts at
+first; a text is cut at spaces before that where this cannot part a piece). In a piece, an Aho-Corasick automaton over all tokens gives the longest token that starts at
 each byte. The encoder takes the longest match, accepts it if it is compatible with the token before,
 else tries the next shorter token that is a prefix of it, and steps back where none is left. Two tokens
 are compatible if merging their joined bytes gives just these two; this is decided on the merge table
 and kept in a bounded table of pairs. The accepted sequence is the one that the merges make. Every
-position is left at most once for good, so a piece takes time linear in its length. Distinct pieces
+position is left at most once for good, so a piece takes time linear in its length. Distinct pieces, and what stands between spaces,
 are encoded once per worker while a bounded table holds them.
 
 Decoding. All tokens' bytes lie in one buffer; an offset table gives each token's slice.
@@ -20,6 +20,7 @@ are encoded whole. An id outside the vocabulary raises ``ValueError``.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import lru_cache
 from struct import pack
 
@@ -36,7 +37,7 @@ from tidemark.llm.common import strings, with_arrow_columns
 
 #: Fixed value: the pattern that cuts a text into pieces before merging, as published with the vocabulary.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of a worker's table of pieces (there are two such tables), and of pairs; about 250 bytes each.
+#: Entries of a worker's table of what stands between spaces (there are two, and two of pieces of half the size), and of pairs; about 250 bytes each.
 PIECE_LIMIT, PAIR_LIMIT = 100_000, 100_000
 
 
@@ -53,14 +54,13 @@ class PieceTable(dict):
     A full table becomes the one before, from which pieces still in use come back without encoding.
     """
 
-    def __init__(self, encode, limit: int = PIECE_LIMIT):
-        self.encode, self.limit, self.before = encode, limit, {}
+    def __init__(self, make: Callable[[str], bytes], limit: int = PIECE_LIMIT):
+        self.make, self.limit, self.before = make, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
         value = self.before.get(piece)
         if value is None:
-            ids = self.encode(piece)
-            value = pack(f"<{len(ids)}I", *ids)
+            value = self.make(piece)
         if len(self) >= self.limit:
             self.before = dict(self)
             self.clear()
@@ -68,6 +68,49 @@ class PieceTable(dict):
         return value
 
 
+def packed(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}I", *ids)
+
+
+class NotApart(Exception):
+    """A text has white space after a space, or ends with one."""
+
+
+class TextEncoder:
+    """Texts to ids through two tables: of what stands between spaces, and of the pattern's pieces.
+
+    A piece never goes on over a space that something other than white space follows: the space begins the
+    next piece. So a text is cut at its spaces first, without the pattern; a text with other spaces is cut by the pattern.
+    """
+
+    def __init__(self, piece: Callable[[str], list[int]], special: dict[str, int], limit: int = PIECE_LIMIT):
+        self.findall, self.space = regex.compile(PIECES).findall, regex.compile(r"\s").match
+        self.special = special
+        longest_first = sorted(special, key=len, reverse=True)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if special else None
+        self.pieces = PieceTable(lambda x: packed(piece(x)), limit // 2)
+        self.between = PieceTable(self._between, limit)
+
+    def _between(self, part: str) -> bytes:
+        if not part or self.space(part):
+            raise NotApart
+        return b"".join(map(self.pieces.__getitem__, self.findall(f" {part}")))
+
+    def _plain(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        pieces = self.pieces.__getitem__
+        try:
+            return b"".join([*map(pieces, self.findall(first)), *map(self.between.__getitem__, rest)])
+        except NotApart:
+            return b"".join(map(pieces, self.findall(text)))
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        if not any(s in text for s in self.special):
+            return self._plain(text)
+        return b"".join(pack("<I", self.special[x]) if x in self.special else self._plain(x) for x in self.cut(text))
+
+
 class ByteBpe:
     """The vocabulary with its automaton, pair table and offset table."""
 
@@ -102,9 +145,7 @@ class ByteBpe:
         lengths = np.array([len(t) for t in self.token], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.bytes = np.frombuffer(b"".join(self.token), np.uint8)
-        self.findall = regex.compile(PIECES).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.table = PieceTable(self.piece)
+        self.encode = TextEncoder(self.piece, self.special).encode
 
     def compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get(key := a << 20 | b)
@@ -166,19 +207,6 @@ class ByteBpe:
                 at -= len(self.token[last])
                 t = self.shorter[last]
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        get = self.table.__getitem__
-        if self.cut is None or not any(s in text for s in self.special):
-            return b"".join(map(get, self.findall(text)))
-        out = []
-        for part in self.cut(text):
-            if part in self.special:
-                out.append(pack("<I", self.special[part]))
-            else:
-                out.extend(map(get, self.findall(part)))
-        return b"".join(out)
-
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the tokens, in order."""
         if not len(ids):

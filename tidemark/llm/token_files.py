@@ -23,55 +23,41 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import PIECES, PieceTable, byte_alphabet
+from tidemark.llm.bpe import TextEncoder, byte_alphabet
 from tidemark.llm.common import slices, strings, texts_of
 from tidemark.llm.files import mapped, replaced
 
 NO_ID = -(2**63)
-#: Entries of a worker's table of pieces, of which there are two; about 200 bytes each.
-LIBRARY_LIMIT = 300_000
+#: Entries of a worker's table of what stands between spaces; about 200 bytes each.
+LIBRARY_LIMIT = 250_000
 
 
-class LibraryEncoder:
+def library_encoder(path: str) -> TextEncoder:
     """The tokenizers library's ids of a text.
 
     Its model encodes the pieces of a text independently of one another, so each distinct piece is given to it
     once while a bounded table holds the ids.
     """
+    model = Tokenizer.from_file(path).model
+    with open(path, encoding="utf-8") as f:
+        special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    letters = {byte: letter for letter, byte in byte_alphabet().items()}
+    return TextEncoder(lambda piece: [t.id for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(letters))], special, LIBRARY_LIMIT)
 
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            self.special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
-        self.findall = regex.compile(PIECES).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
-        letters = {byte: letter for letter, byte in byte_alphabet().items()}
-        tokens = self.tokenizer.model.tokenize
-        self.table = PieceTable(lambda piece: [t.id for t in tokens(piece.encode("utf-8").decode("latin-1").translate(letters))], LIBRARY_LIMIT)
 
-    def encode(self, text: str) -> bytes:
-        get = self.table.__getitem__
-        if not any(s in text for s in self.special):
-            return b"".join(map(get, self.findall(text)))
-        return b"".join(
-            pack("<I", self.special[part]) if part in self.special else b"".join(map(get, self.findall(part))) for part in self.cut(text)
-        )
+_encoders: dict[str, TextEncoder] = {}
 
 
-_encoders: dict[str, LibraryEncoder] = {}
-
-
-def encoder(path: str) -> LibraryEncoder:
+def encoder(path: str) -> TextEncoder:
     """One for each worker process and file."""
     if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
+        _encoders[path] = library_encoder(path)
     return _encoders[path]
 
 
