@@ -85,13 +85,15 @@ class TextEncoder:
 
     def __init__(self, piece: Callable[[str], list[int]], special: dict[str, int], limit: int = PIECE_LIMIT):
         self.findall, self.space = regex.compile(PIECES).findall, regex.compile(r"\s").match
-        self.special = special
+        self.piece, self.special = piece, special
         longest_first = sorted(special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if special else None
         self.pieces = PieceTable(lambda x: packed(piece(x)), limit // 2)
         self.between = PieceTable(self._between, limit)
 
     def _between(self, part: str) -> bytes:
+        if part.isalpha():  # one piece
+            return packed(self.piece(f" {part}"))
         if not part or self.space(part):
             raise NotApart
         return b"".join(map(self.pieces.__getitem__, self.findall(f" {part}")))

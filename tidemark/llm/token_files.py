@@ -48,7 +48,16 @@ def library_encoder(path: str) -> TextEncoder:
     with open(path, encoding="utf-8") as f:
         special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
     letters = {byte: letter for letter, byte in byte_alphabet().items()}
-    return TextEncoder(lambda piece: [t.id for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(letters))], special, LIBRARY_LIMIT)
+    space, tokens = letters[32], model.tokenize
+
+    def piece(text: str) -> list[int]:
+        if text[1:].isalpha() and text.isascii():
+            spelled = text.replace(" ", space)
+        else:
+            spelled = text.encode("utf-8").decode("latin-1").translate(letters)
+        return [t.id for t in tokens(spelled)]
+
+    return TextEncoder(piece, special, LIBRARY_LIMIT)
 
 
 _encoders: dict[str, TextEncoder] = {}
