@@ -37,7 +37,7 @@ from tidemark.llm.common import strings, with_arrow_columns
 
 #: Fixed value: the pattern that cuts a text into pieces before merging, as published with the vocabulary.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of a worker's table of what stands between spaces (there are two, and two of pieces of half the size), and of pairs; about 250 bytes each.
+#: Entries of a worker's table of what stands between spaces (there are two, and two of pieces an eighth as large), and of pairs; about 250 bytes each.
 PIECE_LIMIT, PAIR_LIMIT = 100_000, 100_000
 
 
@@ -88,7 +88,7 @@ class TextEncoder:
         self.piece, self.special = piece, special
         longest_first = sorted(special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if special else None
-        self.pieces = PieceTable(lambda x: packed(piece(x)), limit // 2)
+        self.pieces = PieceTable(lambda x: packed(piece(x)), limit // 8)
         self.between = PieceTable(self._between, limit)
 
     def _between(self, part: str) -> bytes:

@@ -35,7 +35,7 @@ from tidemark.llm.files import mapped, replaced
 
 NO_ID = -(2**63)
 #: Entries of a worker's table of what stands between spaces; about 200 bytes each.
-LIBRARY_LIMIT = 250_000
+LIBRARY_LIMIT = 600_000
 
 
 def library_encoder(path: str) -> TextEncoder:
