@@ -38,7 +38,7 @@ from tidemark.llm.common import strings, with_arrow_columns
 #: Fixed value: the pattern that cuts a text into pieces before merging, as published with the vocabulary.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a worker's table of what stands between spaces (there are two, and two of pieces an eighth as large), and of pairs; about 250 bytes each.
-PIECE_LIMIT, PAIR_LIMIT = 100_000, 100_000
+PIECE_LIMIT, PAIR_LIMIT = 200_000, 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
