@@ -179,6 +179,25 @@ def test_links_at_a_hot_anchor(spark, monkeypatch):
     assert {i: roots.get(i, i) for i in fp} == brute_components(fp)
 
 
+def test_near_copies_at_a_hot_anchor(spark, monkeypatch):
+    """Near copies whose word fingerprints differ outside the blocks are met in split anchors as in whole ones."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(60):
+        w = [f"w{rng.randrange(4000)}" for _ in range(200)]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w + [f"x{i}.{k}" for k in range(30)])), (3 * i + 2, " ".join(w[:170]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: {r["doc_id"]: r["component_id"]["doc_id"] for r in simhash.near_classes(docs).collect()}
+    whole = found()
+    monkeypatch.setattr(simhash, "HOT", 1)
+    assert found() == whole and len(set(whole.values())) < 120
+
+    fps = [rng.getrandbits(18) << 46 | rng.getrandbits(23) << 23 for _ in range(40)]  # one anchor, one sketch
+    nodes = spark.createDataFrame([(i, simhash.signed(f), bytearray(64)) for i, f in enumerate(fps)], "node long, fp long, sketch binary")
+    pairs = lambda: {r["root"] for r in connected(simhash.links(nodes, [(0,)], 2, 93)).collect()}
+    assert pairs() == {0}
+
+
 def test_near_copies(spark, odd, none):
     rng = random.Random(11)
     words = [f"{a}{b}" for a in "bcdfghjkl" for b in ("ara", "eno", "isu", "otu", "uma")]

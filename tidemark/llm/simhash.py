@@ -9,9 +9,10 @@ lies farther from its home reaches the home of the other; so each link is met at
 compared per anchor, homes against all.
 
 Only distinct fingerprints are compared. An anchor's links are reported as a spanning forest, at most one
-link for each row at the anchor, never all pairs. An anchor with more than ``HOT`` homes is split by the bits
-outside its blocks: homes keep their value of these bits, the others go to every value within the threshold. A split
-group holds at most 4.2 million fingerprints (34 MB), because a Golay word has 2,048 values around it.
+link for each row at the anchor, never all pairs. An anchor with more than ``HOT`` homes is split. Where the fingerprint
+itself is compared, by the bits outside its blocks: homes keep their value of these bits, the others go to every value within
+the threshold, and a split group holds at most 4.2 million fingerprints (34 MB), because a Golay word has 2,048 values
+around it. Where a sketch is compared these bits bound nothing: homes are dealt into parts and every other row goes to all of them.
 
 Edge cases: a null text counts as empty and has fingerprint zero, which links like any other; a null id
 takes part with no id of its own (a component of null ids alone has a null id); repeated rows stay repeated;
@@ -219,6 +220,26 @@ def _rows(code, anchor, part, visit, batch, at) -> pa.RecordBatch:
     )
 
 
+def hot_anchors(home: DataFrame, key: list[str]) -> DataFrame:
+    """key, parts: the anchors of more than ``HOT`` homes, and how many parts hold these."""
+    counted = home.groupBy(*key).count().where(F.col("count") > HOT)
+    return stored(counted.select(*key, F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "hot")
+
+
+def dealt(rows: DataFrame, hot: DataFrame, key: list[str]) -> DataFrame:
+    """rows with the homes of hot anchors dealt into parts by their node. Visitors go to all parts and a home visits
+    those before its own, so all that meet in the whole meet in one part."""
+    if hot.isEmpty():
+        return rows
+    marked = rows.join(hot, key, "left")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    cold = marked.where("parts is null").select(*rows.columns)
+    split = marked.where("parts is not null").withColumn("own", F.when(F.col("visit") == 0, own))
+    split = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("own", F.col("parts") - 1))))
+    split = split.withColumn("visit", F.when(F.col("part") == F.col("own"), 0).otherwise(1))
+    return cold.unionByName(split.select(*rows.columns))
+
+
 def links(nodes: DataFrame, codes: list[tuple[int, ...]], threshold: int, bits: int) -> DataFrame:
     """u, v: a spanning forest, per anchor, of the links among distinct fingerprints.
 
@@ -245,9 +266,10 @@ def links(nodes: DataFrame, codes: list[tuple[int, ...]], threshold: int, bits:
 
     home = nodes.mapInArrow(at_home, ROWS_DDL)
     rows = home.unionByName(nodes.mapInArrow(on_visit, ROWS_DDL))
-    hot = home.groupBy("code", "anchor").count().where(F.col("count") > HOT).select("code", "anchor", F.lit(True).alias("hot"))
-    hot = stored(hot, "hot")
-    if not hot.isEmpty():
+    hot = hot_anchors(home, ["code", "anchor"])
+    if bits > threshold:
+        rows = dealt(rows, hot, ["code", "anchor"])
+    elif not hot.isEmpty():
         marked = rows.join(hot, ["code", "anchor"], "left")
 
         def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +290,7 @@ def links(nodes: DataFrame, codes: list[tuple[int, ...]], threshold: int, bits:
                         a, b = np.nonzero(keep)
                         yield _rows(k, anchor[j][a], to[a, b], 1, batch, j[a])
 
-        is_hot = F.col("hot").isNotNull()
+        is_hot = F.col("parts").isNotNull()
         rows = marked.where(~is_hot).select(*ROWS.names).unionByName(
             marked.where(is_hot).select(*ROWS.names).mapInArrow(split, ROWS_DDL)
         )
