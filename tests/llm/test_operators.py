@@ -92,6 +92,23 @@ def test_secrets():
     assert secret_scan.base_spans(None or "") == []
 
 
+def der(tag, body):
+    size = bytes([len(body)]) if len(body) < 128 else b"\x81" + bytes([len(body)]) if len(body) < 256 else b"\x82" + struct.pack(">H", len(body))
+    return bytes([tag]) + size + body
+
+
+RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([7] * 130)) for _ in range(8)))
+
+
+def test_secrets_right_after_an_equals_sign():
+    field = lambda b: struct.pack(">I", len(b)) + b
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + struct.pack(">I", 1) + field(bytes(40))
+    for kind, data in ("key", RSA), ("ssh", ssh), ("nested", b"here password = 'hunter22x'"):
+        run = base64.b64encode(data).decode()
+        for before in "PRIVATE_KEY=", "https://a.b/?key=", "x==":
+            assert secret_scan.confirmed_spans(f"{before}{run} end") == [(kind, len(before), len(before) + len(run))]
+
+
 def test_secret_query_against_plain_patterns(spark, odd, none):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(*DOCS.replace(" bigint", "").replace(" string", "").replace(" int", "").split(", ")[:5]).unionByName(odd.drop("sketch", "score"))

@@ -41,7 +41,7 @@ KINDS = (*BASE_KINDS, "pem", "signed", "key", "ssh", "nested")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
 #: The base64 of a JSON object begins with e and w or y.
 SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])(e[wy][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")  # also right after =, as in KEY=value
 #: Same letters as CANDIDATE's; a quick test of a whole text.
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{32}")
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{48,}")
