@@ -109,6 +109,27 @@ def test_secrets_right_after_an_equals_sign():
             assert secret_scan.confirmed_spans(f"{before}{run} end") == [(kind, len(before), len(before) + len(run))]
 
 
+def test_short_wrapped_and_encrypted_secrets():
+    kinds = lambda t: [k for k, *_ in secret_scan.confirmed_spans(t)]
+    for data in b"AKIA" + b"Z" * 16, b"password=hunter22", b"token=abcdef":
+        for run in base64.b64encode(data).decode(), data.hex().upper():
+            assert secret_scan.confirmed_spans(f"a {run} z") == [("nested", 2, 2 + len(run))]
+    body = base64.b64encode(RSA).decode()
+    for width in 64, 76:
+        for end in "\n", "\r\n", "\\n":
+            lines = end.join(body[i : i + width] for i in range(0, len(body), width))
+            for text in f"é {lines}", f"k={lines} z", f"x{end}{lines}{end}also":
+                [(kind, a, b)] = secret_scan.confirmed_spans(text)
+                assert kind == "key" and text[a:b] == lines
+            assert kinds(f"-----BEGIN RSA PRIVATE KEY-----{end}{lines}{end}-----END RSA PRIVATE KEY-----") == ["pem"]
+            headers = f"Proc-Type: 4,ENCRYPTED{end}DEK-Info: AES-128-CBC,00FF{end}{end}"
+            secret = base64.b64encode(bytes(range(160))).decode()
+            assert kinds(f"-----BEGIN RSA PRIVATE KEY-----{end}{headers}{secret}{end}-----END RSA PRIVATE KEY-----") == ["pem"]
+    pbes2, digest = (der(0x30, der(0x30, der(6, bytes.fromhex(oid)) + der(5, b"")) + der(4, bytes(32))) for oid in ("2a864886f70d01050d", "608648016503040201"))
+    block = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{base64.b64encode(pbes2).decode()}\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert kinds(block) == ["pem"] and not kinds(base64.b64encode(digest).decode())
+
+
 def test_secret_query_against_plain_patterns(spark, odd, none):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(*DOCS.replace(" bigint", "").replace(" string", "").replace(" int", "").split(", ")[:5]).unionByName(odd.drop("sketch", "score"))

@@ -1,6 +1,6 @@
 """Secret scan with structural confirmation.
 
-Base spans are pattern matches. On top, every long base64 or hex run is decoded and reported only if
+Base spans are pattern matches. On top, every base64 or hex run that can hold a secret, also one wrapped in lines, is decoded and reported only if
 the bytes have the structure of a secret: a DER key whose nested lengths add up, an OpenSSH key blob, or
 text that itself holds a base secret; and dotted triples are reported as signed tokens only if the header
 decodes to a JSON object that names an algorithm. PEM blocks are reported if their body decodes to one of these keys.
@@ -38,13 +38,25 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "signed", "key", "ssh", "nested")
 
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+#: A line's end, also as written in JSON and source code.
+BREAK = r"(?:\r?\n|(?:\\r)?\\n)"
+PEM = re.compile(
+    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:\s|\\[rn])*((?:[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*" + BREAK + r"[ \t]*)*)"
+    r"((?:[A-Za-z0-9+/=\s]|\\[rn])+?)-----END \1-----"
+)
 #: The base64 of a JSON object begins with e and w or y.
 SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])(e[wy][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")  # also right after =, as in KEY=value
+#: The shortest base secret is an assignment of 12 characters ("token=abcdef"): 16 characters of base64, 24 of hex.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")  # also right after =, as in KEY=value
 #: Same letters as CANDIDATE's; a quick test of a whole text.
-LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{32}")
-HEX_RUN = re.compile(r"[0-9A-Fa-f]{48,}")
+LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{16}")
+HEX_RUN = re.compile(r"[0-9A-Fa-f]{24,}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+GAP = re.compile(BREAK + r"[ \t]*")
+PADDING = re.compile(r"={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:" + BREAK + r"[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: Object identifiers of encryption by password begin with PKCS 5's or PKCS 12's.
+BY_PASSWORD = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 Span = tuple[str, int, int]
 
@@ -88,7 +100,8 @@ def is_der_key(data: bytes) -> bool:
     """A private key: one SEQUENCE that begins with a small version and holds key material whose nested lengths fit.
 
     Covers the layouts of RSA and DSA keys (version, then integers), elliptic curve keys (version 1, then
-    an octet string) and wrapped keys (version, algorithm sequence with an object identifier, octet string).
+    an octet string) and wrapped keys (version, algorithm sequence with an object identifier, octet string); also keys
+    encrypted by a password (no version, an algorithm sequence of PKCS 5 or 12, octet string).
     """
     if len(data) < 24 or data[0] != 0x30:
         return False
@@ -96,6 +109,9 @@ def is_der_key(data: bytes) -> bool:
     if not outer or len(outer) != 1:
         return False
     inner = der_items(data, *outer[0][1:])
+    if inner and [x[0] for x in inner] == [0x30, 4] and inner[1][2] - inner[1][1] >= 16:
+        algorithm = der_items(data, *inner[0][1:])
+        return bool(algorithm) and algorithm[0][0] == 6 and data[algorithm[0][1] : algorithm[0][2]].startswith(BY_PASSWORD)
     if not inner or len(inner) < 2 or inner[0][0] != 2 or inner[0][2] - inner[0][1] != 1 or data[inner[0][1]] > 1:
         return False
     tags = [x[0] for x in inner]
@@ -156,27 +172,77 @@ def is_signed_header(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and bool(header["alg"])
 
 
+def is_pem_key(headers: str, body: str) -> bool:
+    """A block's body is a key, or whole blocks of cipher text under headers that say so."""
+    data = from_base64(re.sub(r"\\[rn]", "", body))
+    if not data:
+        return False
+    if "Proc-Type:" in headers and "ENCRYPTED" in headers and "DEK-Info:" in headers:
+        return len(data) >= 24 and len(data) % 8 == 0
+    return is_der_key(data) or is_ssh_key(data)
+
+
+def run_kind(run: str) -> str | None:
+    """The kind of secret that a run of hex or base64 decodes to."""
+    data = bytes.fromhex(run) if len(run) % 2 == 0 and HEX_RUN.fullmatch(run) else None
+    kind = kind_of(data) if data else None
+    if kind is None and (data := from_base64(run)):
+        kind = kind_of(data)
+    return kind
+
+
+def after_break(text: str, at: int) -> int:
+    """Where a run at ``at`` may begin instead: behind the n of a written line end."""
+    return at + (at > 0 and text[at - 1] == "\\" and text[at] in "nrt")
+
+
+def wrapped_lines(text: str, m: re.Match) -> Iterator[list[tuple[int, int]]]:
+    """Lines of a wrapped run that may belong together: of one length, the last one as long or shorter."""
+    lines, at = [], after_break(text, m.start())
+    while run := LINE.match(text, at, m.end()):
+        lines.append(run.span())
+        at = run.end()
+        gap = GAP.match(text, at, m.end())
+        if not gap:
+            break
+        at = gap.end()
+    i, size = 0, [b - a for a, b in lines]
+    while i < len(lines):
+        j = i + 1
+        while j < len(lines) and size[j] == size[i]:
+            j += 1
+        if j < len(lines) and size[j] < size[i]:
+            yield lines[i : j + 1]
+        if j > i + 1:
+            yield lines[i:j]
+        i = j
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """What decoding confirms."""
     found: list[Span] = []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            data = from_base64(m[2])
-            if data and (is_der_key(data) or is_ssh_key(data)):
+            if is_pem_key(m[2], m[3]):
                 found.append(("pem", m.start(), m.end()))
     if "." in text:
         found += [("signed", m.start(), m.end()) for m in SIGNED.finditer(text) if is_signed_header(m[1])]
-    inside = lambda a, b: any(k in ("pem", "signed") and s <= a and b <= e for k, s, e in found)
-    for m in CANDIDATE.finditer(text) if LONG_RUN.search(text) else ():
-        if inside(m.start(), m.end()):
-            continue
-        run = m[0]
-        data = bytes.fromhex(run) if len(run) % 2 == 0 and HEX_RUN.fullmatch(run) else None
-        kind = kind_of(data) if data else None
-        if kind is None and (data := from_base64(run)):
-            kind = kind_of(data)
-        if kind:
-            found.append((kind, m.start(), m.end()))
+    inside = lambda a, b: any((k in ("pem", "signed") or (s, e) in wraps) and s <= a and b <= e for k, s, e in found)
+    wraps: set[tuple[int, int]] = set()
+    if not LONG_RUN.search(text):
+        return found
+    for m in WRAPPED.finditer(text):
+        for lines in wrapped_lines(text, m):
+            a, b = lines[0][0], lines[-1][1]
+            b += len(PADDING.match(text, b)[0])
+            if not inside(a, b) and (kind := run_kind("".join(text[x:y] for x, y in lines))):
+                found.append((kind, a, b))
+                wraps.add((a, b))
+    for m in CANDIDATE.finditer(text):
+        for a in sorted({m.start(), after_break(text, m.start())}):
+            if not inside(a, m.end()) and (kind := run_kind(text[a : m.end()])):
+                found.append((kind, a, m.end()))
+                break
     return found
 
 
