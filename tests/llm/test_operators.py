@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import bpe, fingerprints, line_dedup, mixing, queries, search, secret_scan, simhash, token_files, toxicity, warc
+from tidemark.llm import bpe, fingerprints, line_dedup, mixing, near_copies, queries, search, secret_scan, simhash, token_files, toxicity, warc
 from tidemark.llm.components import connected
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, sketch string, score int"
@@ -217,45 +217,67 @@ def test_links_at_a_hot_anchor(spark, monkeypatch):
     assert {i: roots.get(i, i) for i in fp} == brute_components(fp)
 
 
+def near_roots(docs, **how):
+    return {r["doc_id"]: r["component_id"]["doc_id"] for r in near_copies.near_classes(docs, **how).collect()}
+
+
+def edited(rng, i, w, cut, kind):
+    """w with a share of it appended, cut off, or replaced word by word."""
+    v = list(w)
+    if kind == 0:
+        return v + [f"x{i}.{k}" for k in range(cut)]
+    if kind == 1:
+        return v[: len(w) - cut]
+    for k in rng.sample(range(len(w)), max(1, cut // 9)):
+        v[k] = f"x{i}.{k}"
+    return v
+
+
 def test_near_copies_at_a_hot_anchor(spark, monkeypatch):
-    """Near copies whose word fingerprints differ outside the blocks are met in split anchors as in whole ones."""
+    """Anchors dealt into parts give the classes that whole ones give."""
     rng = random.Random(7)
     rows = []
     for i in range(60):
         w = [f"w{rng.randrange(4000)}" for _ in range(200)]
         rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w + [f"x{i}.{k}" for k in range(30)])), (3 * i + 2, " ".join(w[:170]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = lambda: {r["doc_id"]: r["component_id"]["doc_id"] for r in simhash.near_classes(docs).collect()}
-    whole = found()
-    monkeypatch.setattr(simhash, "HOT", 1)
-    assert found() == whole and len(set(whole.values())) < 120
+    whole = near_roots(docs)
+    monkeypatch.setattr(near_copies, "HOT", 1)
+    monkeypatch.setattr(near_copies, "SMALL", 0)
+    assert near_roots(docs) == whole and len(set(whole.values())) < 120
 
 
-def test_near_copies_against_brute_force(spark):
-    """Appended, truncated and scattered edits on both sides of the limit: the links are those of the shingle sets."""
+@pytest.mark.parametrize("beside", [0, 3])
+def test_near_copies_by_resemblance(spark, beside):
+    """Appended, truncated and scattered edits: pairs with a resemblance of 0.8 are linked, pairs far below aren't."""
     rng = random.Random(3)
     texts = {}
-    for i in range(240):
-        size = rng.choice([40, 80, 300])
-        w = [f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(size)]
-        cut = int(size * (0.12, 0.16, 0.19, 0.23)[i % 4])
-        v = list(w)
-        if i % 3 == 0:
-            v += [f"x{i}.{k}" for k in range(cut)]
-        elif i % 3 == 1:
-            v = v[: size - cut]
-        else:
-            for k in rng.sample(range(size), max(1, cut // 9)):
-                v[k] = f"x{i}.{k}"
-        texts[2 * i], texts[2 * i + 1] = " ".join(w), " ".join(v)
+    for i in range(300):
+        w = [f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(rng.choice([80, 300]))]
+        texts[2 * i], texts[2 * i + 1] = " ".join(w), " ".join(edited(rng, i, w, int(len(w) * (0.1, 0.16, 0.19, 1.5 if i % 3 == 0 else 0.9)[i % 4]), i % 3))
     sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
-    alike = lambda a, b: len(a & b) / len(a | b) >= 0.8
-    truth = {i: i - 1 if i % 2 and alike(sets[i], sets[i - 1]) else i for i in texts}
-    assert 60 < sum(truth[i] != i for i in texts) < 200
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"]["doc_id"] for r in simhash.near_classes(docs).collect()}
-    assert all(found[i] == i for i in texts if truth[i] == i)
-    assert sum(found[i] != truth[i] for i in texts) <= 1  # bands miss 4 pairs of 10,000 at the limit
+    alike = {i: len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) for i in texts if i % 2}
+    found = near_roots(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), beside=beside)
+    near, far = [i for i, x in alike.items() if x >= 0.8], [i for i, x in alike.items() if x < 0.5]
+    assert len(near) > 150 and len(far) > 50
+    assert sum(found[i] == i - 1 for i in near) >= 0.99 * len(near)
+    assert all(found[i] == i for i in far) and all(found[i] in (i, i - 1) for i in texts)
+
+
+def test_near_copies_against_all_pairs(spark):
+    """The classes of documents are those of all pairs of fingerprints within the limit, but for a few links at the limit."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    text = {}
+    for r in sorted(docs.collect()):
+        text.setdefault(r["text"] or "", r["doc_id"])
+    ids, n_words = list(text.values()), -(-near_copies.blocks_for(docs.count())[0] // 2)
+    fp = np.array([near_copies.long_fingerprint(np.unique(simhash.combined_hashes(t, 5)), n_words)[: near_copies.COMPARED] for t in text])
+    found, links, lost = near_roots(docs), 0, 0
+    assert len(found) == docs.count()
+    for i in range(len(ids)):
+        for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]).sum(axis=1, dtype=np.uint16) <= int(64 * near_copies.COMPARED * np.arccos(0.8) / np.pi)):
+            links, lost = links + 1, lost + (found[ids[i]] != found[ids[j]])
+    assert links > 200 and lost <= near_copies.MISS * links
 
 
 def test_near_copies(spark, odd, none):
@@ -270,13 +292,11 @@ def test_near_copies(spark, odd, none):
                 v[rng.randrange(len(v))] = rng.choice(words)
             rows.append((i * 10 + k, " ".join(v)))
             truth[i * 10 + k] = i * 10
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"]["doc_id"] for r in simhash.near_classes(docs).collect()}
-    assert sum(found[i] == truth[i] for i in truth) >= 0.97 * len(truth)
-    assert all(found[i] // 10 == i // 10 for i in truth)
-    kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns and simhash.one_of_each(none).count() == 0
+    assert near_roots(spark.createDataFrame(rows, "doc_id long, text string")) == truth
+    kept = near_copies.one_of_each(odd)
+    assert kept.columns == odd.columns and near_copies.one_of_each(none).count() == 0
     assert sorted(r["doc_id"] for r in kept.where("text = 'same text here'").collect()) == [5]
+    assert kept.where("text is null or trim(text) = '' or doc_id = 3").count() == 1  # texts without words are alike
 
 
 def test_mixing_keeps_its_bounds(spark):

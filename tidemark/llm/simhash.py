@@ -13,10 +13,6 @@ link for each row at the anchor, never all pairs. An anchor with more than ``HOT
 outside its blocks: homes keep their value of these bits, the others go to every value within the threshold. A split
 group holds at most 4.2 million fingerprints (34 MB), because a Golay word has 2,048 values around it.
 
-Near copies by the resemblance of shingle sets (``near_classes``) are met in bands of least hashes instead, whose chance of
-agreeing depends on the resemblance alone, and every link is confirmed by the sets themselves. A hot band key's rows are
-dealt into parts and every row visits the parts before its own.
-
 Edge cases: a null text counts as empty and has fingerprint zero, which links like any other; a null id
 takes part with no id of its own (a component of null ids alone has a null id); repeated rows stay repeated;
 only the named columns are read, so extra columns cannot clash; an empty table gives an empty table; texts
@@ -36,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, stored, strings, texts_of, with_arrow_columns
+from tidemark.llm.common import stored, strings, texts_of, with_arrow_columns
 from tidemark.llm.components import connected
 
 SEED = 42
@@ -46,10 +42,6 @@ HOT = 20_000
 BLOCK, GENERATOR = 23, 0b101011100011
 #: Bits of each byte value, lowest first.
 BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
-#: Bands of least hashes, the hashes of a band, and the odd multipliers that derive further hashes of a shingle from its first (fixed values).
-BANDS, WIDTH = 20, 5
-MIXES = np.random.default_rng(42).integers(0, 1 << 63, BANDS * WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
-LAST_MIX = np.uint64(0x94D049BB133111EB)
 
 
 def shingle_hashes(text: str, words: int, distinct: bool = False) -> np.ndarray:
@@ -68,6 +60,25 @@ def shingle_hashes(text: str, words: int, distinct: bool = False) -> np.ndarray:
     return np.unique(hashes) if distinct else hashes
 
 
+#: Odd multipliers of a shingle's words by position, and of the last mix (fixed values).
+PLACES = np.random.default_rng(7).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+LAST_MIX = np.uint64(0x94D049BB133111EB)
+
+
+def combined_hashes(text: str, words: int) -> np.ndarray:
+    """As ``shingle_hashes``, but each word is hashed once and a shingle's hash combines those of its words by position."""
+    found = text.encode("utf-8").lower().split()
+    n = len(found)
+    one = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, n)
+    if not n:
+        return one
+    own, wide = np.zeros(max(1, n - words + 1), np.uint64), min(n, words)
+    for k in range(wide):
+        own += one[k : n - wide + 1 + k] * PLACES[k]
+    own = (own ^ own >> np.uint64(32)) * LAST_MIX
+    return own ^ own >> np.uint64(29)
+
+
 def majority(hashes: np.ndarray) -> int:
     """The 64-bit word whose bits are set in over half of the hashes."""
     n = len(hashes)
@@ -91,30 +102,6 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return with_arrow_columns(texts_of(docs, id_col, text_col), {"fp": T.LongType()}, make).select("doc_id", "fp")
 
 
-def min_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The least of each of ``BANDS * WIDTH`` mixes of the hashes; of no hashes all ones."""
-    out = np.full(len(MIXES), np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 2000):
-        x = hashes[at : at + 2000] * MIXES[:, None]
-        x = (x ^ x >> np.uint64(31)) * LAST_MIX
-        np.minimum(out, x.min(axis=1), out=out)
-    return out
-
-
-def near_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """Adds keys (a number for each band of least hashes) and sketch (a byte of each least hash) of the shingles."""
-
-    def make():
-        def work(batch):
-            least = [min_hashes(shingle_hashes(t, words, distinct=True)) for t in strings(batch.column("text"))]
-            keys = [[signed(xxhash.xxh64_intdigest(band.tobytes(), SEED)) for band in x.reshape(BANDS, WIDTH)] for x in least]
-            return [pa.array(keys, pa.list_(pa.int64())), pa.array([(x >> np.uint64(40)).astype(np.uint8).tobytes() for x in least], pa.binary())]
-
-        return work
-
-    return with_arrow_columns(docs, {"keys": T.ArrayType(T.LongType()), "sketch": T.BinaryType()}, make)
-
-
 class Golay:
     """Nearest code words of 23-bit values, by syndrome."""
 
@@ -224,20 +211,6 @@ def hot_anchors(home: DataFrame, key: list[str]) -> DataFrame:
     return stored(counted.select(*key, F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "hot")
 
 
-def dealt(rows: DataFrame, hot: DataFrame, key: list[str]) -> DataFrame:
-    """rows with the homes of hot anchors dealt into parts by their node. Visitors go to all parts and a home visits
-    those before its own, so all that meet in the whole meet in one part."""
-    if hot.isEmpty():
-        return rows
-    marked = rows.join(hot, key, "left")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    cold = marked.where("parts is null").select(*rows.columns)
-    split = marked.where("parts is not null").withColumn("own", F.when(F.col("visit") == 0, own))
-    split = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("own", F.col("parts") - 1))))
-    split = split.withColumn("visit", F.when(F.col("part") == F.col("own"), 0).otherwise(1))
-    return cold.unionByName(split.select(*rows.columns))
-
-
 def links(nodes: DataFrame, codes: list[tuple[int, ...]], threshold: int, bits: int) -> DataFrame:
     """u, v: a spanning forest, per anchor, of the links among distinct fingerprints.
 
@@ -418,102 +391,3 @@ def simhash_components(docs: DataFrame, words: int = 3, threshold: int = 2, id_c
     marked = stored(fingerprints(docs, words, id_col, text_col), "fingerprints").withColumn("node", F.col("fp"))
     found = links(stored(marked.select("node", "fp").distinct(), "distinct"), [(0, BLOCK)], threshold, threshold)
     return marked.join(least_of(marked, found, "doc_id"), "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-class Alike(Group):
-    """Rows whose least hashes differ in at most ``bits`` places, linked as a forest."""
-
-    def near(self, word: np.ndarray, words: np.ndarray) -> np.ndarray:
-        return np.count_nonzero(words[:, : len(MIXES)] != word[: len(MIXES)], axis=1) <= self.bits
-
-
-class Apart(Alike):
-    """All pairs of such rows whose labels, behind their hashes, differ."""
-
-    def near(self, word: np.ndarray, words: np.ndarray) -> np.ndarray:
-        return super().near(word, words) & (words[:, len(MIXES) :] != word[len(MIXES) :]).any(axis=1)
-
-    def _join(self, i: int, linked: np.ndarray) -> list:
-        return [(np.full(len(linked), self.node[i]), self.node[linked])] if len(linked) else []
-
-    def add_visits(self, node: np.ndarray, words: np.ndarray) -> Iterator:
-        for i in range(len(self.node) if len(node) else 0):
-            hit = node[self.near(self.words[i], words)]
-            if len(hit):
-                yield np.full(len(hit), self.node[i]), hit
-
-
-def candidates(nodes: DataFrame, bits: int, group: type[Alike]) -> DataFrame:
-    """u, v (u < v): pairs of nodes (node, label, keys, sketch) that meet in a band, as the kind of group reports them."""
-    rows = nodes.select("node", "label", "sketch", F.posexplode("keys").alias("band", "anchor")).withColumns({"part": F.lit(-1), "visit": F.lit(0)})
-    rows = dealt(rows, hot_anchors(rows, ["band", "anchor"]), ["band", "anchor"])
-
-    def read(batch: pa.RecordBatch) -> np.ndarray:
-        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        return np.hstack([sketch, batch.column("label").to_numpy()[:, None].copy().view(np.uint8)])
-
-    found = met(rows, ["band", "anchor", "part"], lambda key: group(key, bits), read).where("u <> v")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """pairs with ``alike``: whether the shingle sets of their texts (node, text) resemble one another that much."""
-
-    def shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_hashes(t, words, distinct=True).tobytes() for t in strings(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            alike = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                alike.append(both >= similarity * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(alike, pa.bool_())], ["u", "v", "alike"])
-
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = stored(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(shingled, "node bigint, shingles binary"), "shingles")
-    a, b = (sets.select(F.col("node").alias(end), F.col("shingles").alias(name)) for end, name in (("u", "a"), ("v", "b")))
-    return stored(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(compare, "u bigint, v bigint, alike boolean"), "confirmed")
-
-
-def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, h (text hash), component_id (the least of no_id, doc_id, h) of documents whose word shingles resemble one another, singly linked.
-
-    The similarity is that of the sets of shingles. Texts meet where all least hashes of a band agree; at 0.8 a pair misses
-    every band with a chance of 0.0004, whatever the edits are. Pairs that meet are compared by a byte of each least hash, five
-    standard deviations below the places that should agree, and confirmed by the sets themselves. First an anchor's pairs are
-    confirmed along a forest. If some of these aren't alike, a second pass confirms all pairs that are still in different classes.
-    """
-    n = len(MIXES)
-    bits = n - max(WIDTH, int(n * similarity - 5 * np.sqrt(n * similarity * (1 - similarity))))
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
-    own = own.withColumn("node", F.xxhash64("text"))
-    rows = own.select("node", "doc_id", "h", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h").alias("row"))
-    texts = own.select("node", "text")
-    made = near_fingerprints(texts, words).groupBy("node").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    nodes = stored(made.select("node", F.col("node").alias("label"), "keys", "sketch"), "sketches")
-    pairs = stored(candidates(nodes, bits, Alike), "candidates")
-    found = confirmed(pairs, texts, words, similarity)
-    links = found.where("alike").select("u", "v")
-    if not found.where("not alike").isEmpty():
-        labels = stored(connected(links).select("node", F.col("root").alias("label")), "labels")
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        left = nodes.drop("label").join(ends, "node", "left_semi").join(labels, "node", "left")
-        left = left.select("node", F.coalesce("label", "node").alias("label"), "keys", "sketch")
-        more = candidates(left, bits, Apart).join(pairs, ["u", "v"], "left_anti")  # those were confirmed or not
-        more = confirmed(stored(more, "candidates"), texts, words, similarity)
-        links = links.unionByName(more.where("alike").select("u", "v"))
-    return rows.join(least_of(rows, links, "row"), "node").select("doc_id", "h", "component_id")
-
-
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents without near copies: of each group the one with the smallest id stays (a null id is the largest)."""
-    found = stored(near_classes(docs, words, similarity), "near")
-    keep = found.select(F.col("component_id.doc_id").alias("keep_id"), F.col("component_id.h").alias("keep_h")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("keep_id")) & (F.xxhash64(docs["text"]) == F.col("keep_h")), "left_semi")
-    if not found.groupBy("doc_id", "h").count().where("count > 1").isEmpty():  # a row may be there more than once
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
