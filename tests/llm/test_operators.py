@@ -1,6 +1,7 @@
 """The operators against brute force, the tokenizers library, planted cases and SQL, on small and odd tables."""
 
 import base64
+import functools
 import hashlib
 import random
 import re
@@ -73,10 +74,66 @@ def test_toxicity(spark, duck, odd, none):
     assert toxicity.scored(odd, empty).where("predicted = 1").count() == 0
 
 
-def test_the_grammar_scores_clauses():
+def test_composition_is_the_cascade():
+    """The composed automaton puts out what the five transducers put out one after another."""
+    rng, chain = random.Random(5), toxicity.cascade()
+    for _ in range(2000):
+        states, composed = [t.start for t in chain], toxicity.AUTOMATON.start
+        for symbol in [*rng.choices(toxicity.CLASSES[:-1], k=rng.randrange(1, 14)), toxicity.END]:
+            composed, put, carried = toxicity.AUTOMATON.step(composed, symbol)
+            own = ()
+            for i, t in enumerate(chain):
+                states[i], symbol, more = t.step(states[i], symbol)
+                own += more
+            assert symbol == put and sorted(own) == sorted(carried)
+    assert all(p in toxicity.PATHS for p in [(), ("aimed",), ("mere",), ("threat",), ("negated", "reported", "threat")])
+
+
+def test_paths_of_clauses():
     g = toxicity.Grammar({"idiot": 3.0}, {})
-    plain, aimed, denied, told = (g.text(t)[0] for t in ("an idiot", "you idiot", "you are not an idiot", "he said you idiot"))
-    assert aimed > plain > told > 0 and denied < plain
+    paths = lambda t: {toxicity.PATHS[i]: x for i, x in enumerate(g.text(t)[0]) if x}
+    assert paths("an idiot") == {(): 3.0} and paths("you idiot") == {("aimed",): 3.0} and paths("you. idiot") == {(): 3.0}
+    assert paths("you are not an idiot") == {("aimed", "negated"): 3.0} and paths("he said you idiot") == {("aimed", "reported"): 3.0}
+    assert paths("you utter idiot, idiot!") == {("aimed", "strong"): 6.0}
+    assert paths("I will kill") == paths("kill them all") == {("threat",): 1.0} and paths("to kill time") == paths("kill") == {("mere",): 1.0}
+    assert paths("I won't ever hurt you") == {("negated", "threat"): 1.0} and paths("") == {}
+
+
+def planted(rng, n):
+    """Texts whose slurs and harm words are toxic only where nobody denies or reports them: (id, text, toxic)."""
+    bad = ["you are an idiot", "you utter moron", "they are scum", "i will kill you", "we shall hurt them"]
+    good = ["you are not an idiot", "nobody is a moron", "he said they are scum", 'she wrote "i will kill you"', "i never hurt them"]
+    fill = [f"{a}{b}" for a in "bdfglmpr" for b in ("alo", "eni", "iru", "oma")]
+    for i in range(n):
+        words = lambda: " ".join(rng.choice(fill) for _ in range(rng.randrange(3, 9)))
+        yield i, f"{words()}. {rng.choice(bad if i % 2 else good)}. {words()}. {rng.choice(bad if i % 2 else good)}.", i % 2
+
+
+def test_context_weights_are_learned(spark, monkeypatch):
+    """A sum of word weights, fitted as well, cannot judge denied and reported clauses; the fitted grammar can."""
+    rows = list(planted(random.Random(2), 1500))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    wrong = lambda m: toxicity.scored(docs, m).join(labels, "doc_id").where("held_out and predicted <> toxic").count()
+    asked = toxicity.scored(docs, model).where("held_out").count()
+    assert asked > 200 and wrong(model) == 0
+    assert all(model.fitted[list(toxicity.PARAMETERS).index(p)] < -1 for p in ("negated", "reported"))
+    monkeypatch.setattr(toxicity, "PARAMETERS", dict.fromkeys(toxicity.PARAMETERS, 0.0))
+    monkeypatch.setattr(toxicity, "fit", functools.partial(toxicity.fit, ridge=1e9))
+    plain = toxicity.learn(docs, labels)
+    assert max(map(abs, plain.fitted[: len(toxicity.PARAMETERS)])) < 1e-3 and wrong(plain) > 0.1 * asked
+
+
+def test_held_out_labels_change_nothing(spark):
+    rows = list(planted(random.Random(4), 400))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert turned.exceptAll(labels).count() > 50
+    assert toxicity.learn(docs, labels) == toxicity.learn(docs.repartition(7), turned)
+    twice = labels.unionByName(labels.withColumn("toxic", F.lit(0)))  # the higher of two labels counts
+    assert toxicity.learn(docs, twice) == toxicity.learn(docs, labels)
 
 
 def test_secrets():
