@@ -50,7 +50,7 @@ class Engine:
         return self._get("stream")
 
     def projector(self, mapper: Mapper, state: str) -> Projector:
-        return Projector(self.journal.rows(), mapper, state)
+        return Projector(self.journal.rows(), mapper, state, by_id=self.journal.by_id)
 
     def run(self, commands: DataFrame, states: DataFrame, behaviour: Behaviour, state: str, publish: bool = False) -> DataFrame:
         """Runs a batch of commands, writes its events to the journal (and stream), returns all rows of the batch.

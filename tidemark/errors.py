@@ -59,6 +59,14 @@ class EmptyJournal(ProjectionError):
     """A single entity was asked for and has neither events nor a snapshot."""
 
 
+class StaleState(EngineError):
+    """A column rule for a batch reads the state, which changes within the batch."""
+
+    def __init__(self, kind: str):
+        super().__init__(f"the rule for {kind} reads the state")
+        self.kind = kind
+
+
 class AlreadyExist(EngineError):
     """A process with this id runs already."""
 

@@ -39,13 +39,9 @@ def json_encode(value: Column) -> Column:
 
 
 def json_decode(schema: str) -> Codec:
-    """Bytes of JSON as a value of the schema; null if they are none."""
-
-    def decode(body: Column) -> Column:
-        parsed = F.from_json(text_of(body), schema)
-        return F.when(F.try_parse_json(text_of(body)).isNotNull(), parsed)
-
-    return decode
+    """Bytes of JSON as a value of the schema; null if they are none, or of another shape."""
+    kind = schema if "<" in schema.partition(" ")[0] or " " not in schema.strip() else f"struct<{schema}>"
+    return lambda body: F.try_variant_get(F.try_parse_json(text_of(body)), "$", kind)
 
 
 def json_field(path: str, kind: str = "string") -> Codec:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import kept
+
 TOTAL_ORDER = ["sequence_id", "created_at", "id"]
 REPLAY_ORDER = ["sequence_id", "created_at"]
 
@@ -21,6 +23,22 @@ def in_order(journal: DataFrame) -> DataFrame:
     return journal.orderBy(*TOTAL_ORDER)
 
 
+def with_total_position(journal: DataFrame, name: str = "position") -> DataFrame:
+    """Adds a row's number in the total order, from 1.
+
+    Rows are range-partitioned by the order, so no sequence is one task's; the counts of partitions, a row each, are added up.
+    Rows equal in the order are told apart by type and body.
+    """
+    order = [*TOTAL_ORDER, "registry_key", "bytes"]
+    ranged = kept(journal.repartitionByRange(*order).withColumn("tidemark_part", F.spark_partition_id()))
+    counts = ranged.groupBy("tidemark_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("tidemark_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("tidemark_part", before.alias("tidemark_before"))
+    rank = F.row_number().over(W.partitionBy("tidemark_part").orderBy(*order))
+    placed = ranged.join(F.broadcast(counts), "tidemark_part").withColumn(name, (F.col("tidemark_before") + rank).cast("long"))
+    return placed.drop("tidemark_part", "tidemark_before")
+
+
 def with_replay_position(journal: DataFrame, name: str = "position") -> DataFrame:
     """Adds an entity's row number by sequence, then time, from 0."""
     return journal.withColumn(name, F.row_number().over(W.partitionBy("id").orderBy(*REPLAY_ORDER, "registry_key", "bytes")) - 1)

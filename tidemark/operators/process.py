@@ -4,21 +4,28 @@ Commands have id, arrival (their order), kind, bytes. An entity's commands run o
 arrival. An event has the sequence before it and moves it by one; a rejection or a message doesn't. Each batch
 is atomic: deciding and applying never interleave with another batch.
 
-Rules that look only at a command, or at the state before the batch, are column rules and need no Python. Rules
-that look at the state as it changes are a ``Behaviour`` run by entity.
+Rules that look only at a command are column rules and need no Python; deciding alone (``handle``) may also look at
+the state before the batch. Rules that look at the state as it changes are a ``Behaviour``, which commands stream through
+entity by entity. An entity stops at poison (the command kind ``POISON``), when its behaviour asks for it, and, in a
+stream, when it was idle too long; what comes then is rejected until a command of kind ``SPAWN`` starts it again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.errors import AlreadyExist, InvalidCast, NotFound
+from tidemark.errors import AlreadyExist, InvalidCast, NotFound, StaleState
+from tidemark.operators.projection import in_batches, streamed
+
+POISON, SPAWN, STOPPED = "poison", "spawn", "stopped"
 
 
 @dataclass(frozen=True)
@@ -62,7 +69,16 @@ def sequenced(events: DataFrame, states: DataFrame | None = None, order: str = "
 
 
 def entrust_rules(commands: DataFrame, states: DataFrame, rules: dict[str, Rule]) -> tuple[DataFrame, DataFrame]:
-    """(events with their sequence, rejections) of column rules."""
+    """(events with their sequence, rejections) of column rules.
+
+    A rule that reads the state raises StaleState: it would judge every command of a batch by the state before the batch.
+    Such rules are for ``entrust``.
+    """
+    probe = F.col("tidemark_state")
+    for kind, r in rules.items():
+        for made in (r.body, r.reject):
+            if made is not None and made(probe, F.col("bytes")) is not None and "tidemark_state" in str(made(probe, F.col("bytes"))):
+                raise StaleState(kind)
     decided = handle(commands, states, rules)
     events = sequenced(decided.where("reason is null").select("id", "arrival", "event_key", "event_bytes"), states)
     return events, decided.where("reason is not null").select("id", "arrival", "kind", "reason")
@@ -74,16 +90,34 @@ def to_journal(events: DataFrame, created_at: Column | None = None) -> DataFrame
     return events.select("id", "sequence_id", F.col("event_key").alias("registry_key"), F.col("event_bytes").alias("bytes"), time.cast("timestamp").alias("created_at"))
 
 
+@dataclass
+class Context:
+    """What a behaviour can know of its process, and how it ends it. Other processes are looked up by joins (``found``)."""
+
+    id: str
+    sequence: int
+    active: bool = True
+
+    def poison(self) -> None:
+        """Stops the process after this command."""
+        self.active = False
+
+
 class Behaviour:
-    """An entity in Python. ``state`` is what ``evolve`` returned last, None before.
+    """An entity in Python. ``state`` is what ``evolve`` returned last, None before; ``context`` is the entity's at each call.
 
     ``messages`` are kinds that change the state without an event or a sequence.
     """
 
     messages: tuple[str, ...] = ()
+    context: Context
 
     def start(self, state):
-        """The state that an entity begins this batch with."""
+        """The state that an entity begins this batch, or its life, with."""
+        return state
+
+    def stop(self, state):
+        """The state that an entity leaves when it is stopped."""
         return state
 
     def decide(self, state, kind: str, body: bytes) -> tuple[str, bytes] | str:
@@ -99,42 +133,70 @@ class Behaviour:
 
 
 OUT = "id string, what string, arrival bigint, kind string, sequence_id bigint, event_key string, event_bytes binary, reason string, sequence bigint, state {state}"
+OUT_KINDS = dict.fromkeys((c.split()[0] for c in OUT.split(", ")), "") | dict.fromkeys(("arrival", "sequence_id", "sequence"), "long")
 
 
-def run_entity(behaviour: Behaviour, id: str, state, sequence: int, commands) -> Iterator[dict]:
-    """The rows of OUT for one entity's commands (arrival, kind, bytes) in order: events, rejections, then the state."""
-    state = behaviour.start(state)
+def out_row(**known) -> tuple:
+    return tuple(known.get(c) for c in OUT_KINDS)
+
+
+def run_entity(behaviour: Behaviour, id: str, state, sequence: int, commands: Iterable[tuple], active: bool = True) -> Iterator[tuple]:
+    """The rows of OUT for one entity's commands (arrival, kind, bytes) in order: events, rejections, then the state.
+
+    The last row's ``what`` is state, or stopped where the entity isn't active any more.
+    """
+    context = behaviour.context = Context(id, sequence, active)
+    if active:
+        state = behaviour.start(state)
     for arrival, kind, body in commands:
-        row = {"id": id, "arrival": arrival, "kind": kind}
-        if kind in behaviour.messages:
-            state = behaviour.receive(state, kind, body)
+        if not context.active:
+            if kind == SPAWN:
+                context.active, state = True, behaviour.start(state)
+            else:
+                yield out_row(id=id, what="rejection", arrival=arrival, kind=kind, reason=STOPPED)
             continue
-        made = behaviour.decide(state, kind, body)
-        if isinstance(made, str):
-            yield row | {"what": "rejection", "reason": made}
-            continue
-        state = behaviour.evolve(state, *made)
-        yield row | {"what": "event", "sequence_id": sequence, "event_key": made[0], "event_bytes": made[1]}
-        sequence += 1
-    yield {"id": id, "what": "state", "sequence": sequence, "state": state}
+        if kind == POISON:
+            context.poison()
+        elif kind == SPAWN:
+            yield out_row(id=id, what="rejection", arrival=arrival, kind=kind, reason="running already")
+        elif kind in behaviour.messages:
+            state = behaviour.receive(state, kind, body)
+        else:
+            made = behaviour.decide(state, kind, body)
+            if isinstance(made, str):
+                yield out_row(id=id, what="rejection", arrival=arrival, kind=kind, reason=made)
+            else:
+                state = behaviour.evolve(state, *made)
+                yield out_row(id=id, what="event", arrival=arrival, kind=kind, sequence_id=context.sequence, event_key=made[0], event_bytes=made[1])
+                context.sequence += 1
+        if not context.active:
+            state = behaviour.stop(state)
+    yield out_row(id=id, what="state" if context.active else STOPPED, sequence=context.sequence, state=state)
 
 
 def entrust(commands: DataFrame, states: DataFrame, behaviour: Behaviour, state: str) -> DataFrame:
     """Runs a behaviour over a batch: rows of events, rejections and the new states, told apart by ``what``.
 
-    states: id, state, sequence. state: the state's SQL type. Entities without commands keep their state.
+    states: id, state, sequence. state: the state's SQL type. Entities without commands keep their state. A task holds one
+    entity's state and streams its commands.
     """
-    names = [c.split()[0] for c in OUT.format(state="x").split(", ")]
-
-    def run(key: tuple, begun: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        now, at = (begun["state"].iloc[0], int(begun["sequence"].iloc[0])) if len(begun) else (None, 0)
-        ordered = batch.sort_values("arrival", kind="stable")
-        rows = run_entity(behaviour, key[0], now, at, zip(ordered["arrival"], ordered["kind"], ordered["bytes"]))
-        out = pd.DataFrame(list(rows), columns=names, dtype=object)
-        return out.astype({c: "Int64" for c in ("arrival", "sequence_id", "sequence")})
-
-    held = states.select("id", F.col("state").cast(state).alias("state"), "sequence")
-    return held.groupBy("id").cogroup(commands.select("id", "arrival", "kind", "bytes").groupBy("id")).applyInPandas(run, OUT.format(state=state))
+    null = lambda kind: F.lit(None).cast(kind)
+    held = states.select("id", null("bigint").alias("arrival"), null("string").alias("kind"), null("binary").alias("bytes"), F.col("state").cast(state).alias("state"), F.col("sequence").cast("long").alias("sequence"), F.lit(0).alias("turn"))
+    sent = commands.select("id", "arrival", "kind", "bytes", null(state).alias("state"), null("bigint").alias("sequence"), F.lit(1).alias("turn"))
+    ordered = held.unionByName(sent).repartition("id").sortWithinPartitions("id", "turn", "arrival", "kind", "bytes")
+
+    def entities(batches: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+        for id, own in groupby(streamed(batches), itemgetter(0)):
+            first = next(own)
+            begun = first[6] == 0
+            now, at = (first[4], int(first[5])) if begun else (None, 0)
+            rest = own if begun else chain([first], own)
+            yield from run_entity(behaviour, id, now, at, ((int(r[1]), r[2], r[3]) for r in rest))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from in_batches(entities(batches), OUT_KINDS)
+
+    return ordered.mapInPandas(run, OUT.format(state=state))
 
 
 def spawn(running: DataFrame, wanted: DataFrame, strict: bool = True) -> DataFrame:

@@ -1,16 +1,19 @@
 """Replay: the state of every entity by folding its events in order, from nothing or from a snapshot.
 
-The rows are shuffled once, by id; duplicates go, rows are ordered and folded within that partitioning. A
-state's sequence is where the fold began plus the number of events applied, which differs from the last
+The rows are shuffled once, by id, or not at all where the journal is a table bucketed by id; duplicates go, rows are ordered and
+folded within that partitioning. A state's sequence is where the fold began plus the number of events applied, which differs from the last
 sequence plus one where there are gaps. The next replay begins at that sequence, itself included.
 
-A fold reads all of an entity's events in one task. ``replay_in_steps`` bounds them for entities with long
-histories: it folds a range of sequences at a time and keeps the states between as snapshots.
+A column fold gathers an entity's events in a list of at most ``step`` of them: where an entity has more, its events are dealt into
+blocks that are folded one after the other, each from the state before. A fold in Python streams over an entity's events
+and holds one state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,29 +21,66 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import ApplyEvent, EmptyJournal, FirstFormation, NotCompatible, ProjectionError
 from tidemark.operators.mapping import PROJECTION, Fold, Mapper, unmapped
-from tidemark.operators.ordering import fixture_dedup
-from tidemark.sources.shared import kept
+from tidemark.operators.ordering import fixture_dedup, with_replay_position
+from tidemark.sources.shared import kept, scratch
 
 FIRST, DECODE = "no state to begin with", "body can't be decoded"
+#: Events of an entity in one list.
+STEP = 100_000
+#: Rows of a batch that a Python fold returns.
+ROWS = 5_000
+
+
+def streamed(batches: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+    """The rows of a partition one by one."""
+    for batch in batches:
+        yield from batch.itertuples(index=False, name=None)
+
+
+def in_batches(rows: Iterable[tuple], columns: dict[str, str], size: int = ROWS) -> Iterator[pd.DataFrame]:
+    """Rows as data frames of a bounded size; columns of kind "long" stay whole numbers beside nulls."""
+    held: list[tuple] = []
+
+    def frame() -> pd.DataFrame:
+        out = pd.DataFrame(held, columns=list(columns), dtype=object)
+        return out.astype({c: "Int64" for c, kind in columns.items() if kind == "long"})
+
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield frame()
+            held = []
+    if held:
+        yield frame()
 
 
 class Projector:
     """Replays of one journal with the projection handlers of one mapper.
 
-    state: the state's SQL type. keep_duplicates leaves repeated writes in.
+    state: the state's SQL type. keep_duplicates leaves repeated writes in. by_id: the journal is bucketed by id, so
+    nothing needs to be shuffled.
     """
 
-    def __init__(self, journal: DataFrame, mapper: Mapper, state: str, keep_duplicates: bool = False):
-        self.journal, self.state, self.keep_duplicates = journal, state, keep_duplicates
+    def __init__(self, journal: DataFrame, mapper: Mapper, state: str, keep_duplicates: bool = False, by_id: bool = False):
+        self.journal, self.state, self.keep_duplicates, self.by_id = journal, state, keep_duplicates, by_id
         self.handlers: dict[str, Fold] = mapper.of_kind(PROJECTION)
 
+    def over(self, rows: DataFrame) -> Projector:
+        """The same over some rows of the journal."""
+        out = Projector(rows, Mapper(), self.state, self.keep_duplicates, self.by_id)
+        out.handlers = self.handlers
+        return out
+
     def unmapped(self) -> DataFrame:
         """registry_key, n: event types without a handler."""
         return unmapped(self.journal, list(self.handlers))
 
-    def _rows(self, snapshot: DataFrame | None, on_unmapped: str) -> DataFrame:
+    def _rows(self, snapshot: DataFrame | None, on_unmapped: str, complete: bool = False) -> DataFrame:
         rows = self.journal.select("id", "sequence_id", "registry_key", "bytes", "created_at")
         if snapshot is not None:
+            if complete:  # reaches the scan
+                least = snapshot.agg(F.min("sequence")).first()[0]
+                rows = rows.where(F.col("sequence_id") >= F.lit(least))
             since = snapshot.select("id", F.col("sequence").alias("since"))
             rows = rows.join(since, "id", "left").where("since is null or sequence_id >= since").drop("since")
         if on_unmapped == "error":
@@ -49,7 +89,7 @@ class Projector:
                 raise NotCompatible(missing)
         else:
             rows = rows.where(F.col("registry_key").isin(list(self.handlers)))
-        rows = rows.repartition("id")
+        rows = rows if self.by_id else rows.repartition("id")
         return rows if self.keep_duplicates else fixture_dedup(rows)
 
     def _decoded(self, rows: DataFrame) -> tuple[DataFrame, dict[object, str]]:
@@ -83,24 +123,57 @@ class Projector:
             F.coalesce(acc["error"], wrong).alias("error"),
         )
 
-    def replay(self, snapshot: DataFrame | None = None, on_unmapped: str = "error", on_error: str = "raise") -> DataFrame:
+    def _zero(self) -> Column:
+        return F.struct(F.lit(None).cast(self.state).alias("state"), F.lit(0).cast("long").alias("sequence"), F.lit(None).cast("string").alias("error"))
+
+    def _folded(self, rows: DataFrame, bodies: dict[object, str], start: DataFrame | None, how: str) -> DataFrame:
+        """id and r (state, sequence, error) of the rows' entities from where they start (id, start)."""
+        part = F.struct("sequence_id", "created_at", "registry_key", "bytes", *bodies.values())
+        parts = rows.groupBy("id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+        zero = self._zero()
+        if start is not None:
+            parts, zero = parts.join(start, "id", how), F.coalesce(F.col("start"), zero)
+        events = F.coalesce("parts", F.array().cast(parts.schema["parts"].dataType))
+        return parts.select("id", F.aggregate(events, zero, lambda acc, x: self._step(bodies, acc, x)).alias("r"))
+
+    def replay(self, snapshot: DataFrame | None = None, on_unmapped: str = "error", on_error: str = "raise", step: int = STEP, complete: bool = False) -> DataFrame:
         """id, state, sequence (and error, with on_error='keep') of every entity with events or a snapshot.
 
-        snapshot: id, state, sequence (the first to read). A strict replay first looks for event types without a
+        snapshot: id, state, sequence (the first to read). complete: every entity with events before the snapshot's least sequence
+        has a row in it, so that no earlier event need be read. A strict replay first looks for event types without a
         handler in all rows to be read and raises NotCompatible (an action). An entity's fold stops at its first
         error; 'raise' raises it (an action, whose states are kept in the checkpoint folder), 'keep' returns it with the state before.
         """
-        rows, bodies = self._decoded(self._rows(snapshot, on_unmapped))
-        part = F.struct("sequence_id", "created_at", "registry_key", "bytes", *bodies.values())
-        parts = rows.groupBy("id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-        zero = F.struct(F.lit(None).cast(self.state).alias("state"), F.lit(0).cast("long").alias("sequence"), F.lit(None).cast("string").alias("error"))
+        own = self._rows(snapshot, on_unmapped, complete)
+        start = None
         if snapshot is not None:
-            start = snapshot.select("id", F.struct(F.col("state").cast(self.state).alias("state"), F.col("sequence").cast("long").alias("sequence"), F.lit(None).cast("string").alias("error")).alias("start"))
-            parts = parts.join(start, "id", "full")
-            zero = F.coalesce(F.col("start"), zero)
-        folded = parts.select("id", F.aggregate(F.coalesce("parts", F.array().cast(parts.schema["parts"].dataType)), zero, lambda acc, x: self._step(bodies, acc, x)).alias("r"))
+            begun = F.struct(F.col("state").cast(self.state).alias("state"), F.col("sequence").cast("long").alias("sequence"), F.lit(None).cast("string").alias("error"))
+            start = snapshot.select("id", begun.alias("start"))
+        most = self.journal.groupBy("id").count().agg(F.max("count")).first()[0] or 0
+        if most <= step:
+            folded = self._folded(*self._decoded(own), start, "full")
+        else:
+            folded = self._in_blocks(own, start, step)
         return self._checked(folded.select("id", "r.state", "r.sequence", "r.error"), on_error)
 
+    def _in_blocks(self, rows: DataFrame, start: DataFrame | None, step: int) -> DataFrame:
+        """Folds blocks of events one after the other; each block is read once, an entity's last state is its result."""
+        path = scratch(self.journal.sparkSession, "blocks")
+        placed = with_replay_position(rows, "tidemark_at").withColumn("tidemark_block", F.floor(F.col("tidemark_at") / step).cast("int"))
+        placed.drop("tidemark_at").write.partitionBy("tidemark_block").parquet(path)
+        blocks = self.journal.sparkSession.read.schema(placed.drop("tidemark_at").schema).parquet(path)
+        n = (blocks.agg(F.max("tidemark_block")).first()[0] or 0) + 1
+        now, done = start, []
+        for k in range(n):
+            block, bodies = self._decoded(blocks.where(F.col("tidemark_block") == k).drop("tidemark_block"))
+            if now is not None:
+                done.append(now.join(block.select("id").distinct(), "id", "left_anti").withColumnRenamed("start", "r"))
+            now = kept(self._folded(block, bodies, now, "left")).withColumnRenamed("r", "start")
+        out = now.withColumnRenamed("start", "r")
+        for earlier in done:
+            out = out.unionByName(earlier)
+        return out
+
     @staticmethod
     def _checked(out: DataFrame, on_error: str) -> DataFrame:
         if on_error == "keep":
@@ -114,8 +187,7 @@ class Projector:
 
     def replay_one(self, id: object, snapshot: tuple | None = None) -> tuple:
         """(state, sequence) of one entity; no event and no snapshot raise EmptyJournal."""
-        own = Projector(self.journal.where(F.col("id") == str(id)), Mapper(), self.state, self.keep_duplicates)
-        own.handlers = self.handlers
+        own = self.over(self.journal.where(F.col("id") == str(id)))
         spark = self.journal.sparkSession
         start = None if snapshot is None else spark.createDataFrame([(str(id), *snapshot)], f"id string, state {self.state}, sequence bigint")
         row = own.replay(start).first()
@@ -130,52 +202,44 @@ class Projector:
             rows = rows.where(F.col("sequence_id") <= sequence)
         if time is not None:
             rows = rows.where(F.col("created_at") <= time)
-        out = Projector(rows, Mapper(), self.state, self.keep_duplicates)
-        out.handlers = self.handlers
-        return out
+        return self.over(rows)
 
     def replay_in_steps(self, step: int, on_unmapped: str = "error") -> DataFrame:
-        """``replay``, folding at most ``step`` sequences of an entity at a time; states between are checkpointed."""
-        last = self.journal.agg(F.max("sequence_id")).first()[0]
-        states = None
-        for first in range(0, (last if last is not None else -1) + 1, step):
-            window = self.journal.where(F.col("sequence_id").between(first, first + step - 1))
-            own = Projector(window, Mapper(), self.state, self.keep_duplicates)
-            own.handlers = self.handlers
-            # A state's sequence counts events; the rows of a range all follow it, so none is filtered by it.
-            start = None if states is None else states.withColumn("sequence", F.lit(-1).cast("long"))
-            out = own.replay(start, on_unmapped)
-            if states is not None:
-                done = states.select("id", F.col("sequence").alias("done"))
-                out = out.join(done, "id", "left").select("id", "state", F.when(F.col("done").isNull(), F.col("sequence")).otherwise(F.col("sequence") + 1 + F.col("done")).alias("sequence"))
-            states = kept(out)
-        if states is None:
+        """``replay``, folding at most ``step`` events of an entity at a time; no events raise EmptyJournal."""
+        if self.journal.isEmpty():
             raise EmptyJournal("no events")
-        return states
+        return self.replay(None, on_unmapped, step=step)
 
-    def replay_python(self, step: Callable, state: str, snapshot: DataFrame | None = None, on_unmapped: str = "error") -> DataFrame:
+    def replay_python(self, step: Callable, state: str, snapshot: DataFrame | None = None, on_unmapped: str = "error", complete: bool = False) -> DataFrame:
         """id, state, sequence by ``step(state or None, key, bytes) -> state`` in Python, for folds that columns can't say.
 
-        state: the SQL type of what step returns. ProjectionError is raised for what step raises.
+        state: the SQL type of what step returns. ProjectionError is raised for what step raises. Events stream through a task
+        in order, entity by entity; it holds one state.
         """
-        rows = self._rows(snapshot, on_unmapped).withColumn("state", F.lit(None).cast(state)).withColumn("since", F.lit(None).cast("long"))
+        null = lambda kind: F.lit(None).cast(kind)
+        rows = self._rows(snapshot, on_unmapped, complete).withColumns({"state": null(state), "since": null("long")})
         if snapshot is not None:
-            begun = snapshot.select("id", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("string").alias("registry_key"), F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("timestamp").alias("created_at"), F.col("state").cast(state).alias("state"), F.col("sequence").cast("long").alias("since"))
+            begun = snapshot.select("id", null("long").alias("sequence_id"), null("string").alias("registry_key"), null("binary").alias("bytes"), null("timestamp").alias("created_at"), F.col("state").cast(state).alias("state"), F.col("sequence").cast("long").alias("since"))
             rows = rows.unionByName(begun)
-
-        def fold(events: pd.DataFrame) -> pd.DataFrame:
-            start = events[events["since"].notna()]
-            now = start["state"].iloc[0] if len(start) else None
-            at = int(start["since"].iloc[0]) if len(start) else 0
-            own = events[events["since"].isna()].sort_values(["sequence_id", "created_at", "registry_key"])
-            for key, body in zip(own["registry_key"], own["bytes"]):
-                try:
-                    now = step(now, key, body)
-                except Exception as cause:
-                    raise ProjectionError(f"{events['id'].iloc[0]} after {at} events: {cause}") from cause
-                at += 1
-            return pd.DataFrame({"id": [events["id"].iloc[0]], "state": [now], "sequence": [at]})
-
-        return rows.groupBy("id").applyInPandas(fold, f"id string, state {state}, sequence bigint")
-
-
+        # The snapshot's row, which alone has no sequence_id, comes first; rows of one sequence come as in a column fold.
+        rows = rows.select("id", "registry_key", "bytes", "since", "state", "sequence_id", "created_at")
+        ordered = rows.repartition("id").sortWithinPartitions("id", F.col("sequence_id").asc_nulls_first(), "created_at", "registry_key", "bytes")
+
+        def states(batches: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+            for id, own in groupby(streamed(batches), itemgetter(0)):
+                now, at = None, 0
+                for _, key, body, since, begun, _, _ in own:
+                    if key is None:
+                        now, at = begun, int(since)
+                        continue
+                    try:
+                        now = step(now, key, body)
+                    except Exception as cause:
+                        raise ProjectionError(f"{id} after {at} events: {cause}") from cause
+                    at += 1
+                yield id, now, at
+
+        def fold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from in_batches(states(batches), {"id": "string", "state": "state", "sequence": "long"})
+
+        return ordered.mapInPandas(fold, f"id string, state {state}, sequence bigint")

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from tidemark.functions import codec, envelope
 from tidemark.functions.codec import EventType
 from tidemark.operators import audit, mapping, ordering, process
-from tidemark.operators.mapping import Fold, Mapper, Reaction
+from tidemark.operators.mapping import Callback, Fold, Mapper, Reaction
 from tidemark.operators.process import Behaviour, Rule
 from tidemark.operators.projection import Projector
 from tidemark.schema import as_journal
 from tidemark.sources.journal import Journal
-from tidemark.streaming.stream import fanned_out, reacted
+from tidemark.streaming.stream import fanned_out, reacted, subscribed
 
 MONEY = "decimal(18,2)"
 STATE = f"struct<balance:{MONEY},events:int>"
@@ -37,6 +37,17 @@ def events_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_journal(e, F.col("user_id"), F.col("event_type"), body, F.col("ts"), order=["ts", "event_id"])
 
 
+_AT_REST: dict[tuple[str, str], Journal] = {}
+
+
+def at_rest(spark: SparkSession, sf_dir: str) -> Journal:
+    """The same journal as a store: written once in a session, bucketed by id."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _AT_REST:
+        _AT_REST[key] = Journal.at_rest(spark, events_journal(spark, sf_dir))
+    return _AT_REST[key]
+
+
 def conversations_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return as_journal(c, F.col("conv_id"), F.col("role"), F.col("text"), F.lit("2024-01-01 00:00:00"), sequence=F.col("turn"))
@@ -65,7 +76,7 @@ def balances(states: DataFrame) -> DataFrame:
 
 
 def projector(spark: SparkSession, sf_dir: str) -> Projector:
-    return Projector(events_journal(spark, sf_dir), balance_mapper(), STATE)
+    return Projector(at_rest(spark, sf_dir).rows(), balance_mapper(), STATE, by_id=True)
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +85,7 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events from the snapshot on, as commands."""
-    j = events_journal(spark, sf_dir).where(F.col("sequence_id") >= SNAP)
+    j = at_rest(spark, sf_dir).rows().where(F.col("sequence_id") >= SNAP)
     return j.select("id", F.col("sequence_id").alias("arrival"), F.col("registry_key").alias("kind"), "bytes")
 
 
@@ -167,7 +178,7 @@ def payload_decode(spark, sf_dir):
 @query(f"select id, sequence_id, cast(json_extract_string(body, '$.props.k') as int) as k from j where id = '{ONE}' and sequence_id = {FROM}")
 def read_decoded(spark, sf_dir):
     kind = EventType("view", codec.json_encode, k_of)
-    return Journal(spark, events_journal(spark, sf_dir)).read_event(ONE, FROM, kind).select("id", "sequence_id", F.col("event").alias("k"))
+    return at_rest(spark, sf_dir).read_event(ONE, FROM, kind).select("id", "sequence_id", F.col("event").alias("k"))
 
 
 @query(
@@ -183,27 +194,22 @@ def event_key_kebab(spark, sf_dir):
 
 @query(f"{ALL} where id = '{ONE}' and sequence_id = {FROM}")
 def read_one(spark, sf_dir):
-    return shown(Journal(spark, events_journal(spark, sf_dir)).read(ONE, FROM))
+    return shown(at_rest(spark, sf_dir).read(ONE, FROM))
 
 
 @query(f"{ALL} where id = '{ONE}' and sequence_id between {FROM} and {TO}")
 def read_range(spark, sf_dir):
-    return shown(Journal(spark, events_journal(spark, sf_dir)).read_to(ONE, FROM, TO))
+    return shown(at_rest(spark, sf_dir).read_to(ONE, FROM, TO))
 
 
 @query(f"{ALL} where id = '{ONE}' and sequence_id >= {FROM}")
 def read_to_latest(spark, sf_dir):
-    return shown(Journal(spark, events_journal(spark, sf_dir)).read_to_latest(ONE, FROM))
+    return shown(at_rest(spark, sf_dir).read_to_latest(ONE, FROM))
 
 
 @query("select id, sequence_id, row_number() over (order by sequence_id, created_at, id) as position from j")
 def journal_order(spark, sf_dir):
-    """The position in the total order: rows of earlier sequences, counted, and the rank in the own one."""
-    j = events_journal(spark, sf_dir)
-    counts = j.groupBy("sequence_id").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("sequence_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(W.partitionBy("sequence_id").orderBy("created_at", "id"))
-    return j.join(counts.select("sequence_id", before.alias("before")), "sequence_id").select("id", "sequence_id", (F.col("before") + rank).alias("position"))
+    return ordering.with_total_position(at_rest(spark, sf_dir).rows()).select("id", "sequence_id", "position")
 
 
 @query("select id, sequence_id, registry_key, row_number() over (partition by id order by sequence_id, created_at) - 1 as position from j")
@@ -288,7 +294,7 @@ def replay_full(spark, sf_dir):
 
 @query(FULL)
 def replay_from_snapshot(spark, sf_dir):
-    return balances(projector(spark, sf_dir).replay(snapshot(spark, sf_dir)))
+    return balances(projector(spark, sf_dir).replay(snapshot(spark, sf_dir), complete=True))
 
 
 @query("select id, cast(balance as double) as balance, sequence from " + BALANCE.format(where="true"))
@@ -313,7 +319,7 @@ def replay_first(spark, sf_dir):
     m = Mapper()
     for key in KEYS:
         m.register(key, Fold(amount, lambda s, e: s, lambda e, key=key: F.lit(key)))
-    return Projector(events_journal(spark, sf_dir), m, "string").replay().select("id", F.col("state").alias("first_key"), "sequence")
+    return Projector(at_rest(spark, sf_dir).rows(), m, "string", by_id=True).replay().select("id", F.col("state").alias("first_key"), "sequence")
 
 
 @query(f"select id, {FROM} + count(*) filter (where sequence_id >= {FROM}) as sequence from j group by id")
@@ -371,13 +377,57 @@ def entrust(spark, sf_dir):
     return out.unionByName(rejected.select("id", "arrival", none.cast("string").alias("event_key"), none.cast("long").alias("sequence_id"), "reason"))
 
 
+class Covered(Behaviour):
+    """Purchases and clicks take from the balance what it covers, all else adds to it; in cents."""
+
+    def _cents(self, body) -> int:
+        import json
+
+        return round(json.loads(body)["value"] * 100)
+
+    def decide(self, state, kind, body):
+        takes = kind in ("purchase", "click")
+        if takes and self._cents(body) > (state or 0):
+            return "not covered"
+        return "taken" if takes else "added", body
+
+    def evolve(self, state, key, body):
+        return (state or 0) + (-1 if key == "taken" else 1) * self._cents(body)
+
+
+@query("")
+def entrust_stateful(spark, sf_dir):
+    """Every event as a command, judged by the balance that the commands before it have left."""
+    j = at_rest(spark, sf_dir).rows()
+    sent = j.select("id", F.col("sequence_id").alias("arrival"), F.col("registry_key").alias("kind"), "bytes")
+    none = spark.createDataFrame([], "id string, state bigint, sequence bigint")
+    out = process.entrust(sent, none, Covered(), "bigint")
+    return out.select("id", "what", "arrival", "kind", "event_key", "sequence_id", "reason", "sequence", F.col("state").alias("balance"))
+
+
+SQL["entrust_stateful"] = f"""with recursive {J}, c as (
+  select id, sequence_id, registry_key as kind, cast(amount * 100 as bigint) as cents, registry_key in ('purchase', 'click') as takes from j
+), run as (
+  select id, cast(-1 as bigint) as arrival, cast(null as varchar) as kind, false as takes, false as ok, cast(0 as bigint) as balance, cast(0 as bigint) as sequence from c where sequence_id = 0
+  union all
+  select c.id, c.sequence_id, c.kind, c.takes, not c.takes or cents <= balance,
+    balance + case when not c.takes then cents when cents <= balance then -cents else 0 end, sequence + case when not c.takes or cents <= balance then 1 else 0 end
+  from run join c on c.id = run.id and c.sequence_id = run.arrival + 1
+)
+select id, case when ok then 'event' else 'rejection' end as what, arrival, kind, case when ok then case when takes then 'taken' else 'added' end end as event_key,
+  case when ok then sequence - 1 end as sequence_id, case when not ok then 'not covered' end as reason, null as sequence, null as balance
+from run where arrival >= 0
+union all
+select id, 'state', null, null, null, null, null, sequence, balance from (select *, row_number() over (partition by id order by arrival desc) as back from run) where back = 1"""
+
+
 @query(
     """select id, coalesce(count(*) filter (where registry_key = 'view'), 0) as views, count(*) filter (where registry_key = 'purchase') as sequence
     from j group by id"""
 )
 def message_receive(spark, sf_dir):
     """All events as commands for entities in Python: messages move no sequence."""
-    j = events_journal(spark, sf_dir)
+    j = at_rest(spark, sf_dir).rows()
     sent = j.select("id", F.col("sequence_id").alias("arrival"), F.col("registry_key").alias("kind"), "bytes")
     none = spark.createDataFrame([], "id string, state bigint, sequence bigint")
     out = process.entrust(sent, none, Counting(), "bigint").where("what = 'state'")
@@ -445,7 +495,10 @@ def poison_cutoff(spark, sf_dir):
 
 @query(f"{ALL} where registry_key in ('purchase', 'signup')")
 def subscribe_filter(spark, sf_dir):
-    return shown(events_journal(spark, sf_dir).where(F.col("registry_key").isin("purchase", "signup")))
+    m = Mapper()
+    for key in ("purchase", "signup"):
+        m.register(key, Callback(amount, print))
+    return shown(subscribed(events_journal(spark, sf_dir), m))
 
 
 SUBSCRIBED = [("mail", "purchase", "2024-01-10 00:00:00"), ("mail", "signup", "2024-01-10 00:00:00"), ("audit", "error", "2024-01-20 00:00:00"), ("audit", "purchase", "2024-01-01 00:00:00")]
@@ -499,5 +552,5 @@ def audit_duplicates(spark, sf_dir):
 
 @query(f"select id, count(*) as sequence, max(sequence_id) + 1 as expected from j where {GAPPY} group by id having count(*) <> max(sequence_id) + 1")
 def audit_drift(spark, sf_dir):
-    j = events_journal(spark, sf_dir).where(GAPPY)
-    return audit.drift(j, Projector(j, balance_mapper(), STATE).replay())
+    j = at_rest(spark, sf_dir).rows().where(GAPPY)
+    return audit.drift(j, Projector(j, balance_mapper(), STATE, by_id=True).replay())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +13,7 @@ from tidemark.errors import ReadError, WriteError
 from tidemark.functions.codec import EventType, decoded
 from tidemark.functions.envelope import payload
 from tidemark.schema import COLUMNS, JOURNAL, checked
+from tidemark.sources.shared import scratch
 
 LATEST = 2**63 - 1
 #: Attempts of an append.
@@ -24,14 +26,54 @@ class Journal:
     def __init__(self, spark: SparkSession, source: str | DataFrame, buckets: int = 0):
         """source: a path (has a slash), a table's name, or a DataFrame, which can't be appended to.
 
-        buckets: with a path, the number of folders by a hash of the id, so that a keyed read opens one of them.
+        buckets: with a path, the number of folders by a hash of the id, so that a keyed read opens one of them; with a table, of
+        Spark's own buckets by id, so that a keyed read opens one and a replay shuffles nothing.
         """
         self.spark, self.source, self.buckets = spark, source, buckets
 
+    @property
+    def by_id(self) -> bool:
+        """Whether rows of one id lie in one bucket of a table."""
+        return bool(self.buckets) and isinstance(self.source, str) and "/" not in self.source
+
+    @classmethod
+    def from_jdbc(cls, spark: SparkSession, url: str, table: str, parts: int = 1, **options: str) -> Journal:
+        """A journal in a database, through Spark's own reader, which pushes keyed reads down. parts: whole reads go by so many ranges of sequence_id.
+
+        Column names may have any case.
+        """
+        reader = lambda: spark.read.format("jdbc").options(url=url, **options)
+        rows = reader().option("dbtable", table).load()
+        if parts > 1:
+            name = next(c for c in rows.columns if c.lower() == "sequence_id")
+            quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(name)
+            low, high = reader().option("query", f"select min({quoted}) as lo, max({quoted}) as hi from {table}").load().first()
+            if low is not None:
+                ranges = reader().options(dbtable=table, partitionColumn=name, lowerBound=low, upperBound=high + 1, numPartitions=parts)
+                rows = ranges.load()
+        return cls(spark, rows.toDF(*(c.lower() for c in rows.columns)))
+
+    @staticmethod
+    def to_jdbc(rows: DataFrame, url: str, table: str, **options: str) -> None:
+        """Appends journal rows to a database's table; what fails raises WriteError."""
+        try:
+            types = {"createTableColumnTypes": "id VARCHAR(255), registry_key VARCHAR(255)"}  # types that databases compare
+            checked(rows).write.format("jdbc").options(**types | options, url=url, dbtable=table).mode("append").save()
+        except Exception as cause:
+            raise WriteError(f"append failed: {cause}") from cause
+
     @classmethod
-    def from_jdbc(cls, spark: SparkSession, url: str, table: str, **options: str) -> Journal:
-        """A journal in a database, through Spark's own reader, which pushes keyed reads down."""
-        return cls(spark, spark.read.format("jdbc").options(url=url, dbtable=table, **options).load())
+    def at_rest(cls, spark: SparkSession, rows: DataFrame, buckets: int = 16) -> Journal:
+        """A journal that keeps these rows as a table in the shared folder, bucketed and sorted by id and sequence."""
+        name = f"tidemark_journal_{uuid.uuid4().hex}"
+        out = cls(spark, name, buckets)
+        out._into_buckets(checked(rows)).option("path", scratch(spark, "journal")).saveAsTable(name)
+        return out
+
+    def _into_buckets(self, rows: DataFrame) -> DataFrameWriter:
+        # One task a bucket, so that a bucket is one file for each append.
+        dealt = rows.repartition(self.buckets, "id")
+        return dealt.write.mode("append").bucketBy(self.buckets, "id").sortBy("id", "sequence_id")
 
     def rows(self) -> DataFrame:
         """All rows."""
@@ -48,7 +90,7 @@ class Journal:
     def of(self, id: object) -> DataFrame:
         """All rows of one entity."""
         rows = self.rows()
-        if self.buckets and not isinstance(self.source, DataFrame):
+        if self.buckets and not isinstance(self.source, DataFrame) and "/" in self.source:
             rows = rows.where(F.col("bucket") == self._bucket(F.lit(str(id))))
         return rows.where(F.col("id") == str(id)).select(*COLUMNS)
 
@@ -78,7 +120,7 @@ class Journal:
         try:
             out = checked(rows)
             if "/" not in self.source:
-                out.write.mode("append").saveAsTable(self.source)
+                (self._into_buckets(out) if self.buckets else out.write.mode("append")).saveAsTable(self.source)
             elif self.buckets:
                 out.withColumn("bucket", self._bucket(F.col("id"))).write.mode("append").partitionBy("bucket").parquet(self.source)
             else:

@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.errors import SetupError
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in ``spark.checkpoint.dir``; where that is unset (tests) in a temporary folder."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session. Where it is unset and all runs on one machine a temporary folder; else SetupError."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise SetupError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

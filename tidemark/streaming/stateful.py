@@ -5,13 +5,15 @@ They need the RocksDB state store: spark.sql.streaming.stateStore.providerClass.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators.process import OUT, Behaviour, run_entity
+from tidemark.operators.process import OUT, OUT_KINDS, STOPPED, Behaviour, out_row, run_entity
+from tidemark.operators.projection import in_batches
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -19,65 +21,102 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 class ReplayProcessor(StatefulProcessor):
     """Folds an entity's events in order of sequence, whatever the order of batches.
 
-    An event that comes early waits until all before it are there; one that comes again is left out. What is
-    kept is the state, the next sequence and the waiting events.
+    An event that comes early waits until all before it are there; with ``patience`` (milliseconds) no longer than that, and
+    then the gap is passed over, as in a batch. Writes of one sequence are folded as in a batch as far as they are there at the same
+    time: one after the other in order of time, a repetition of the same body once. What comes for a
+    sequence that is folded already is left out, which is where a stream differs from a batch. What is
+    kept is the state, the number of events folded, the next sequence and the waiting events.
     """
 
-    def __init__(self, step: Callable, state: str, first: int = 0):
-        self.step, self.kind, self.first = step, state, first
+    def __init__(self, step: Callable, state: str, first: int = 0, patience: int | None = None):
+        self.step, self.kind, self.first, self.patience = step, state, first, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", f"state {self.kind}, next bigint")
-        self.waiting = handle.getMapState("waiting", "sequence_id bigint", "registry_key string, bytes binary")
+        self.handle = handle
+        self.now = handle.getValueState("now", f"state {self.kind}, folded bigint, next bigint")
+        self.waiting = handle.getMapState("waiting", "sequence_id bigint", "parts binary")
+
+    def _fold(self, state, folded: int, sequence: int):
+        parts = sorted(pickle.loads(self.waiting.getValue((sequence,))[0]))
+        self.waiting.removeKey((sequence,))
+        for i, (_, kind, body) in enumerate(parts):
+            if i + 1 < len(parts) and parts[i + 1][2] == body:
+                continue  # written again: the latest counts
+            state, folded = self.step(state, kind, body), folded + 1
+        return state, folded
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, nxt = self.now.get() if self.now.exists() else (None, self.first)
+        state, folded, nxt = self.now.get() if self.now.exists() else (None, self.first, self.first)
         for part in rows:
-            for seq, kind, body in zip(part["sequence_id"], part["registry_key"], part["bytes"]):
+            for seq, time, kind, body in zip(part["sequence_id"], part["created_at"], part["registry_key"], part["bytes"]):
                 if seq >= nxt:
-                    self.waiting.updateValue((int(seq),), (kind, body))
+                    at = (int(seq),)
+                    own = pickle.loads(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else []
+                    self.waiting.updateValue(at, (pickle.dumps([*own, (pd.Timestamp(time).value, kind, bytes(body))]),))
         while self.waiting.containsKey((nxt,)):
-            kind, body = self.waiting.getValue((nxt,))
-            state = self.step(state, kind, body)
-            self.waiting.removeKey((nxt,))
+            state, folded = self._fold(state, folded, nxt)
             nxt += 1
-        self.now.update((state, nxt))
-        yield pd.DataFrame({"id": [key[0]], "state": [state], "sequence": [nxt]})
+        self.now.update((state, folded, nxt))
+        if self.patience is not None and next(iter(self.waiting.keys()), None) is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
+        yield pd.DataFrame({"id": [key[0]], "state": [state], "sequence": [folded]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, folded, nxt = self.now.get()
+        for (seq,) in sorted(tuple(k) for k in self.waiting.keys()):
+            state, folded = self._fold(state, folded, seq)
+            nxt = seq + 1
+        self.now.update((state, folded, nxt))
+        yield pd.DataFrame({"id": [key[0]], "state": [state], "sequence": [folded]})
 
     def close(self) -> None:
         pass
 
 
 class CommandProcessor(StatefulProcessor):
-    """Runs a behaviour: events and rejections go out, state and sequence stay."""
+    """Runs a behaviour: events and rejections go out, state, sequence and whether the entity is active stay.
 
-    def __init__(self, behaviour: Behaviour, state: str):
-        self.behaviour, self.kind = behaviour, state
+    timeout (milliseconds): an entity that gets no command for so long is stopped; its row of that goes out.
+    """
+
+    def __init__(self, behaviour: Behaviour, state: str, timeout: int | None = None):
+        self.behaviour, self.kind, self.timeout = behaviour, state, timeout
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", f"state {self.kind}, sequence bigint")
+        self.handle = handle
+        self.now = handle.getValueState("now", f"state {self.kind}, sequence bigint, active boolean, due bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, sequence = self.now.get() if self.now.exists() else (None, 0)
+        state, sequence, active, _ = self.now.get() if self.now.exists() else (None, 0, True, None)
         batch = pd.concat(list(rows)).sort_values("arrival", kind="stable")
-        out = list(run_entity(self.behaviour, key[0], state, sequence, zip(batch["arrival"], batch["kind"], batch["bytes"])))
-        self.now.update((out[-1]["state"], out[-1]["sequence"]))
-        names = [c.split()[0] for c in OUT.format(state="x").split(", ")]
-        yield pd.DataFrame(out, columns=names, dtype=object).astype({c: "Int64" for c in ("arrival", "sequence_id", "sequence")})
+        out = list(run_entity(self.behaviour, key[0], state, sequence, zip(batch["arrival"], batch["kind"], batch["bytes"]), active))
+        last = dict(zip(OUT_KINDS, out[-1]))
+        due = None if self.timeout is None else timerValues.getCurrentProcessingTimeInMs() + self.timeout
+        self.now.update((last["state"], last["sequence"], last["what"] != STOPPED, due))
+        if due is not None and last["what"] != STOPPED:
+            self.handle.registerTimer(due)
+        yield from in_batches(out, OUT_KINDS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, sequence, active, due = self.now.get()
+        if active and due is not None and expiredTimerInfo.getExpiryTimeInMs() >= due:  # no command came since the timer was set
+            state = self.behaviour.stop(state)
+            self.now.update((state, sequence, False, None))
+            yield from in_batches([out_row(id=key[0], what=STOPPED, reason="idle", sequence=sequence, state=state)], OUT_KINDS)
 
     def close(self) -> None:
         pass
 
 
-def replay(events: DataFrame, step: Callable, state: str) -> DataFrame:
-    """id, state, sequence after each batch, of a stream of journal rows."""
+def replay(events: DataFrame, step: Callable, state: str, patience: int | None = None) -> DataFrame:
+    """id, state, sequence after each batch, of a stream of journal rows; patience as in ReplayProcessor."""
     return events.groupBy("id").transformWithStateInPandas(
-        ReplayProcessor(step, state), f"id string, state {state}, sequence bigint", outputMode="Update", timeMode="None"
+        ReplayProcessor(step, state, patience=patience), f"id string, state {state}, sequence bigint", outputMode="Update", timeMode="None" if patience is None else "ProcessingTime"
     )
 
 
-def process(commands: DataFrame, behaviour: Behaviour, state: str) -> DataFrame:
-    """The rows of ``operators.process.entrust`` for a stream of commands."""
+def process(commands: DataFrame, behaviour: Behaviour, state: str, timeout: int | None = None) -> DataFrame:
+    """The rows of ``operators.process.entrust`` for a stream of commands; timeout as in CommandProcessor."""
     return commands.groupBy("id").transformWithStateInPandas(
-        CommandProcessor(behaviour, state), OUT.format(state=state), outputMode="Append", timeMode="None"
+        CommandProcessor(behaviour, state, timeout), OUT.format(state=state), outputMode="Append", timeMode="None" if timeout is None else "ProcessingTime"
     )

@@ -1,7 +1,8 @@
 """The event stream: a folder of journal rows that publishers append to and subscribers follow.
 
 Every subscription is a streaming query of its own with its own checkpoint, so each subscriber sees every event
-after its start, none is lost when one lags, and a failed one resumes where it was. Event types that a subscriber
+after its start, none is lost when one lags, and a failed one resumes where it was. A subscription starts at the present unless
+asked otherwise: it gets what is published after it was first made, also over restarts. Event types that a subscriber
 has no handler for are skipped. Delivery to callbacks is at least once; (id, sequence_id) tells repeats.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +22,15 @@ from tidemark.operators.mapping import PROCESS_SUBSCRIBER, SUBSCRIBE, Mapper, Re
 from tidemark.schema import JOURNAL, checked
 
 
+#: Where a subscription starts, besides a time.
+NOW, BEGINNING = "now", "beginning"
+
+
+def subscribed(events: DataFrame, mapper: Mapper, kind: str = SUBSCRIBE) -> DataFrame:
+    """The events that a mapper has a handler of the kind for."""
+    return events.where(F.col("registry_key").isin(list(mapper.of_kind(kind))))
+
+
 class EventStream:
     """path: the stream's folder. checkpoints: a folder for subscribers' progress. files: files a batch, as back-pressure."""
 
@@ -41,22 +52,35 @@ class EventStream:
         """All events as a streaming DataFrame."""
         return self.spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", self.files).parquet(self.path)
 
+    def _since(self, name: str, since) -> DataFrame:
+        """The events from the beginning, from a time of theirs on, or (NOW) published after the subscription was first made."""
+        rows = self.source()
+        if since == BEGINNING:
+            return rows
+        if since != NOW:
+            return rows.where(F.col("created_at") >= F.lit(since))
+        path = f"{self.checkpoints}/{name}-begun"
+        try:
+            begun = self.spark.read.parquet(path).first()["begun"]
+        except AnalysisException:  # subscribed for the first time
+            self.spark.range(1).select(F.current_timestamp().alias("begun")).write.parquet(path)
+            begun = self.spark.read.parquet(path).first()["begun"]
+        return rows.where(F.col("_metadata.file_modification_time") >= F.lit(begun)).select(*JOURNAL.names)
+
     def _run(self, rows: DataFrame, name: str, each: Callable[[DataFrame, int], None], once: bool) -> StreamingQuery:
         out = rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{self.checkpoints}/{name}")
         query = (out.trigger(availableNow=True) if once else out).start()
         self.queries[name] = query
         return query
 
-    def subscribe(self, name: str, mapper: Mapper, since=None, once: bool = False) -> StreamingQuery:
+    def subscribe(self, name: str, mapper: Mapper, since=NOW, once: bool = False) -> StreamingQuery:
         """Calls the mapper's subscribe handlers with each batch's rows of their type, body decoded as ``event``.
 
-        since: a time; earlier events are not delivered (a late subscription). once: stop at what is there now. An
+        since: NOW, BEGINNING, or a time, before which events are not delivered. once: stop at what is there now. An
         error of a handler is kept in ``errors`` and doesn't stop the subscription.
         """
         handlers = mapper.of_kind(SUBSCRIBE)
-        rows = self.source().where(F.col("registry_key").isin(list(handlers)))
-        if since is not None:
-            rows = rows.where(F.col("created_at") >= F.lit(since))
+        rows = subscribed(self._since(name, since), mapper, SUBSCRIBE)
         errors = self.errors = getattr(self, "errors", [])
 
         def each(batch: DataFrame, _: int) -> None:
@@ -70,9 +94,11 @@ class EventStream:
 
         return self._run(rows, name, each, once)
 
-    def react(self, name: str, mapper: Mapper, commands: str, once: bool = False) -> StreamingQuery:
+    def react(self, name: str, mapper: Mapper, commands: str, since=NOW, once: bool = False) -> StreamingQuery:
         """Turns events into commands by the mapper's reactions and appends these to a folder; failures go to ``<commands>-failed``.
 
+        A target that poison has stopped rejects what still comes (``stateful.process``).
+
         The folder is the hop that keeps event-command-event circles apart: each circle is another batch.
         """
         reactions = mapper.of_kind(PROCESS_SUBSCRIBER)
@@ -82,11 +108,11 @@ class EventStream:
             made.where("bytes is not null").write.mode("append").parquet(commands)
             made.where("bytes is null").select("id", "sequence_id", "registry_key").write.mode("append").parquet(f"{commands}-failed")
 
-        return self._run(self.source().where(F.col("registry_key").isin(list(reactions))), name, each, once)
+        return self._run(subscribed(self._since(name, since), mapper, PROCESS_SUBSCRIBER), name, each, once)
 
-    def trace(self, path: str, name: str = "trace", once: bool = False) -> StreamingQuery:
+    def trace(self, path: str, name: str = "trace", since=NOW, once: bool = False) -> StreamingQuery:
         """Notes every event that passes as text files."""
-        out = self.source().select(stream_trace().alias("value")).writeStream.format("text").option("path", path).option("checkpointLocation", f"{self.checkpoints}/{name}")
+        out = self._since(name, since).select(stream_trace().alias("value")).writeStream.format("text").option("path", path).option("checkpointLocation", f"{self.checkpoints}/{name}")
         query = (out.trigger(availableNow=True) if once else out).start()
         self.queries[name] = query
         return query
