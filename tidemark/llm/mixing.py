@@ -8,9 +8,11 @@ is the cumulative words of its source up to it, divided by the source's target;
 first. The mix takes documents in order of finish time until the next would exceed the budget.
 
 Cumulative words come from sums of (source, hash range) buckets and a window within each, so a hot
-source spreads over all buckets. The global order is a range partition by finish time: the sums of equal
-ranges tell the range in which the budget ends, and only that range is sorted inside. The first document that
-does not fit is the cut; everything before it is taken.
+source spreads over all buckets. The global order is a range partition by finish time: sums of equal stretches of
+time tell the stretch in which the budget ends, and only that is sorted, over all partitions, with sums of partitions
+carried over. Orders over all sources are made the same way, so there may be as many as there are hosts. The first document that
+does not fit is the cut; everything before it is taken. In one source and epoch that is all before some place in its shuffled order, so
+a table of these places, a row a source, tells of any document how often it is taken, and texts aren't shuffled.
 
 Edge cases: a null text has size 0; a null source is a source of its own and comes last; documents of
 size 0 take part and take no words; a source without words has target 0; a null id is shuffled as the
@@ -20,7 +22,7 @@ empty table gives an empty table; only the named columns are read, so extra colu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,14 +30,30 @@ from tidemark.llm.common import stored
 
 SHARE, EPOCHS, WEIGHTS, SEED = 1.5, 2, (3, 1, 2), "mix"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Ranges of virtual finish time in one unit of it; and hex digits of the hash that make a bucket.
-RANGES, DIGITS = 4096, 3
+#: Stretches of virtual finish time in one unit of it, the time from which all is one (targets are reached at 1), and hex digits of the hash that make a bucket.
+RANGES, LATE, DIGITS = 4096, 2, 3
+#: Sources in a broadcast table, about 200 bytes each.
+BROADCAST_SOURCES = 50_000
+
+
+def running_totals(df: DataFrame, order: list[str], **values: str) -> DataFrame:
+    """Adds, under the given names, the sums of columns over all rows before a row in a total order.
+
+    Rows are range-partitioned by the order; sums of partitions, a row each, are carried over to the partitions behind.
+    """
+    ranged = stored(df.repartitionByRange(*order).withColumn("tidemark_part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("tidemark_part").agg(*(F.sum(c).alias(f"tidemark_{name}") for name, c in values.items()))
+    earlier = W.orderBy("tidemark_part").rowsBetween(W.unboundedPreceding, -1)
+    carried = sums.select("tidemark_part", *(F.coalesce(F.sum(f"tidemark_{name}").over(earlier), F.lit(0)).alias(f"tidemark_{name}") for name in values))
+    within = W.partitionBy("tidemark_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(carried), "tidemark_part").select(
+        *df.columns, *((F.col(f"tidemark_{name}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(name) for name, c in values.items())
+    )
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, no_source, source (null: empty), h (text hash), size, key (shuffle order), bucket."""
+def sized_columns(id_col: str, text_col: str, source_col: str) -> list[Column]:
     key = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    return docs.select(
+    return [
         F.col(id_col).alias("doc_id"),
         F.col(source_col).isNull().alias("no_source"),
         F.coalesce(F.col(source_col), F.lit("")).alias("source"),
@@ -43,26 +61,30 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         key.alias("key"),
         F.substring(key, 1, DIGITS).alias("bucket"),
-    )
+    ]
+
+
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, no_source, source (null: empty), h (text hash), size, key (shuffle order), bucket."""
+    return docs.select(*sized_columns(id_col, text_col, source_col))
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """Adds weight and target to (no_source, source, source_size); one row a source."""
-    ranked = by_source.withColumn("rank", F.row_number().over(W.orderBy("no_source", "source")))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    caps = ranked.withColumn("weight", weight.cast("long")).withColumn("cap", epochs * F.col("source_size"))
-    everything, order = W.partitionBy(), W.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) * share - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    level = left / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    tried = caps.withColumn("at", F.row_number().over(order)).withColumn("level", level)
-    open_at = F.min(F.when(F.col("cap") > F.col("weight") * F.col("level"), F.col("at"))).over(everything)
-    final = tried.withColumn("open_at", open_at)
-    water = F.max(F.when(F.col("at") == F.col("open_at"), F.col("level"))).over(everything)
-    free = F.col("at") >= F.col("open_at")
-    return final.withColumn("target", F.when(free, F.col("weight") * water).otherwise(F.col("cap").cast("double"))).select(
-        "no_source", "source", "source_size", "target"
-    )
+    ranked = running_totals(by_source.withColumn("one", F.lit(1).cast("long")), ["no_source", "source"], rank="one")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
+    caps = ranked.withColumn("weight", weight).withColumn("cap", epochs * F.col("source_size")).withColumn("fill", F.col("cap") / F.col("weight"))
+    tried = stored(running_totals(caps, ["fill", "rank"], cap_before="cap", weight_before="weight"), "levels")
+    words, all_weights = tried.agg(F.sum("source_size"), F.sum("weight")).first()
+    # Sources fill up in order of fill; from the first that the level leaves below its cap on, all are at that level.
+    level = (F.lit(float(words or 0)) * share - F.col("cap_before")) / (F.lit(all_weights or 0) - F.col("weight_before"))
+    fit = tried.withColumn("level", level).where(F.col("cap") > F.col("weight") * F.col("level"))
+    first = fit.agg(F.min(F.struct("fill", "rank", "level")).alias("at")).select("at.*").first()
+    if first["fill"] is None:
+        return tried.select("no_source", "source", "source_size", F.col("cap").cast("double").alias("target"))
+    free = F.struct("fill", "rank") >= F.struct(F.lit(first["fill"]).alias("fill"), F.lit(first["rank"]).alias("rank"))
+    target = F.when(free, F.col("weight") * F.lit(first["level"])).otherwise(F.col("cap").cast("double"))
+    return tried.select("no_source", "source", "source_size", target.alias("target"))
 
 
 ORDER = ["no_source", "source", "key", "doc_id", "size", "h"]
@@ -80,31 +102,28 @@ def finish_times(sized: DataFrame, by_source: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, h, size, source_size, target, epochs (times that the mix takes the document)."""
+    """The columns of ORDER, source_size, target, epochs (times that the mix takes the document)."""
     sized = stored(sizes(docs, id_col, text_col, source_col), "sizes")
     by_source = stored(targets(sized.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"))), "targets")
     placed = stored(finish_times(sized, by_source), "placed")
     total = by_source.agg(F.sum("source_size")).first()[0] or 0
     budget = total * SHARE
 
-    entries = placed.select(*ORDER, F.explode("finish").alias("time")).withColumn("range", F.floor(F.col("time") * RANGES))
-    # All ranges after the last that can matter count as one: the budget ends before every source is through.
-    sums = entries.groupBy("range").agg(F.sum("size").alias("words"))
-    through = sums.withColumn("cum", F.sum("words").over(W.orderBy("range")))
-    end = through.where(F.col("cum") > budget).orderBy("range").first()
+    entries = placed.select(*ORDER, F.explode("finish").alias("time")).where("size > 0")
+    entries = entries.withColumn("range", F.floor(F.least("time", F.lit(float(LATE))) * RANGES))
+    sums = running_totals(entries.groupBy("range").agg(F.sum("size").alias("words")), ["range"], before="words")
+    end = sums.where(F.col("before") + F.col("words") > budget).orderBy("range").first()
     if end is None:
         taken = F.size("finish")
     else:
         order = ["time", *ORDER]
-        inside = entries.where(F.col("range") == end["range"]).withColumn(
-            "cum", F.lit(end["cum"] - end["words"]) + F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-        )
-        cut = inside.where(F.col("cum") > budget).orderBy(*order).select(*order).first()
+        inside = running_totals(entries.where(F.col("range") == end["range"]), order, before="size")
+        cut = inside.where(F.lit(end["before"]) + F.col("before") + F.col("size") > budget).orderBy(*order).select(*order).first()
         kinds = {f.name: f.dataType for f in inside.schema}
         limit = F.struct(*(F.lit(cut[c]).cast(kinds[c]).alias(c) for c in order))
         earlier = lambda t: F.struct(t.alias("time"), *map(F.col, ORDER)) < limit
         taken = F.size(F.filter("finish", earlier))
-    return placed.select("doc_id", "source", "no_source", "h", "size", "source_size", "target", taken.cast("long").alias("epochs"))
+    return placed.select(*ORDER, "source_size", "target", taken.cast("long").alias("epochs"))
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
@@ -112,12 +131,20 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents as often as the mix takes them; rows equal in id and text are taken as often as the least of them."""
-    often = mix(docs).groupBy("doc_id", "h").agg(F.min("epochs").cast("int").alias("tidemark_epochs"))
-    often = stored(often.where("tidemark_epochs > 0").withColumnsRenamed({"doc_id": "tidemark_id", "h": "tidemark_h"}), "epochs")
-    joined = docs.join(often, docs["doc_id"].eqNullSafe(F.col("tidemark_id")) & (F.xxhash64(docs["text"]) == F.col("tidemark_h")))
-    repeated = joined.withColumn("tidemark_copy", F.explode(F.sequence(F.lit(1), "tidemark_epochs")))
+    place = ["key", "doc_id", "size", "h"]
+    epochs = range(EPOCHS)
+    left_out = [F.min(F.when(F.col("epochs") <= e, F.struct(*place))).alias(f"tidemark_cut{e}") for e in epochs]
+    cuts = mix(docs, id_col, text_col, source_col).groupBy("no_source", "source").agg(*left_out)
+    cuts = stored(cuts.withColumnsRenamed({c: f"tidemark_{c}" for c in ("no_source", "source")}), "cuts")
+    if cuts.count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
+    columns = dict(zip(("doc_id", "no_source", "source", "h", "size", "key"), sized_columns(id_col, text_col, source_col)))
+    joined = docs.join(cuts, (columns["no_source"] == F.col("tidemark_no_source")) & (columns["source"] == F.col("tidemark_source")))
+    before = lambda e: F.col(f"tidemark_cut{e}").isNull() | (F.struct(*(columns[c].alias(c) for c in place)) < F.col(f"tidemark_cut{e}"))
+    often = sum((before(e).cast("int") for e in epochs), F.lit(0))
+    repeated = joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), often)).alias("tidemark_copy"))
     return repeated.select(*docs.columns)
 
 
