@@ -19,20 +19,21 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, strings, texts_of, with_arrow_columns
-from tidemark.llm.simhash import shingle_hashes
+from tidemark.llm.common import slices, stored, strings, with_arrow_columns
+from tidemark.llm.simhash import combined_hashes
 
 K, WORDS = 128, 5
-#: Salts of a hot key's first merge.
-SALTS = 64
+#: Sketches that a task merges before it passes them on, about 2 KB each.
+HELD = 20_000
+#: Documents of a part, and keys in a broadcast table of estimates (100 bytes each).
+PART_ROWS, BROADCAST_KEYS = 50_000, 50_000
 
 
 def sketch(text: str, k: int = K, words: int = WORDS) -> np.ndarray:
-    hashes = (shingle_hashes(text, words) >> np.uint64(1)).astype(np.int64)
+    hashes = (combined_hashes(text, words) >> np.uint64(1)).astype(np.int64)
     if len(hashes) > 4 * k:  # all that can be among the k smallest distinct ones, mostly
         least = np.unique(np.partition(hashes, 2 * k)[: 2 * k])
         if len(least) >= k:
@@ -62,13 +63,35 @@ def with_sketch(docs: DataFrame, text_col: str = "text", sketch_col: str = "sket
     return with_arrow_columns(docs, {sketch_col: T.ArrayType(T.LongType())}, make)
 
 
-def merged(sketches: DataFrame, key: list[str], sketch_col: str = "sketch", k: int = K) -> DataFrame:
-    """key, sketch: each key's merged sketch. A hot key's hashes are cut to k for each salt before they meet."""
-    hashes = sketches.select(*key, F.explode(sketch_col).alias("h")).distinct()
-    salted = hashes.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)))
-    first = salted.withColumn("at", F.row_number().over(W.partitionBy(*key, "salt").orderBy("h"))).where(F.col("at") <= k)
-    last = first.withColumn("at", F.row_number().over(W.partitionBy(*key).orderBy("h"))).where(F.col("at") <= k)
-    return last.groupBy(*key).agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+def merged(sketches: DataFrame, key: str, sketch_col: str = "sketch", k: int = K) -> DataFrame:
+    """key, sketch: each key's merged sketch; null keys are one.
+
+    Tasks merge what they have of a key before anything is shuffled, so a hot key sends one sketch from each task, and
+    the tasks behind the shuffle merge key by key as rows come in.
+    """
+    most = HELD
+
+    def union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.union1d(a, b)[:k]
+
+    def rows(held: dict, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([x.tolist() for x in held.values()], pa.list_(pa.int64()))], [key, "sketch"])
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in slices(batches):
+            for of, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.empty(0, np.int64) if own.values is None else own.values.to_numpy()
+                if of not in held and len(held) >= most:  # behind the shuffle keys come in order, so those held are whole
+                    yield rows(held, batch.column(0).type)
+                    held = {}
+                held[of] = union(held[of], own) if of in held else own
+        if held:
+            yield rows(held, batch.column(0).type)
+
+    schema = T.StructType([T.StructField(key, sketches.schema[key].dataType), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    first = sketches.select(key, sketch_col).mapInArrow(merge, schema)
+    return first.repartition(key).sortWithinPartitions(key).mapInArrow(merge, schema)
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -90,15 +113,15 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), common / distinct_shingles(a, k)))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """part, halo, doc_id, text in sorted partitions: descending doc_id, each part followed by the document after it.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """part, halo, doc_id, source, text in sorted partitions: descending doc_id, each part followed by the document after it.
 
     Ids are cut into ranges at some of the ids themselves. The largest id of a range is also sent, as a halo,
     to the end of the range above it, and the largest of all to the end of the lowest; so each task finds the
     document after each of its own without a window over the table. Every text is shuffled once.
     """
-    own = texts_of(docs, id_col, text_col)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.count() // PART_ROWS)
     cuts = own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts), F.max("doc_id")).first()
     bounds = np.array(sorted({*(cuts[0] or []), *([] if cuts[1] is None else [cuts[1]])}), np.int64)
 
@@ -116,47 +139,69 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             for at, to, halo in ((np.arange(batch.num_rows), part, 0), (edge, after, 1)):
                 if len(at):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(to.astype(np.int32)), pa.array(np.full(len(at), halo, np.int32)), *(batch.column(c).take(pa.array(at)) for c in ("doc_id", "text"))],
-                        ["part", "halo", "doc_id", "text"],
+                        [pa.array(to.astype(np.int32)), pa.array(np.full(len(at), halo, np.int32)), *(batch.column(c).take(pa.array(at)) for c in ("doc_id", "source", "text"))],
+                        ["part", "halo", "doc_id", "source", "text"],
                     )
 
-    dealt = own.mapInArrow(deal, "part int, halo int, doc_id bigint, text string")
-    return dealt.repartition("part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = own.mapInArrow(deal, "part int, halo int, doc_id bigint, source string, text string")
+    return dealt.repartitionById(parts + 1, "part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text")
 
 
-PAIRS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("sketch", pa.list_(pa.int64())), ("edited_sketch", pa.list_(pa.int64())), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-PAIRS_DDL = "doc_id bigint, n_chars bigint, edited_sha256 string, sketch array<bigint>, edited_sketch array<bigint>, near_edited double, near_next double"
+PAIRS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("sketch", pa.list_(pa.int64())), ("edited_sketch", pa.list_(pa.int64())), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("source", pa.string())])
+PAIRS_DDL = "doc_id bigint, n_chars bigint, edited_sha256 string, sketch array<bigint>, edited_sketch array<bigint>, near_edited double, near_next double, source string"
 
 
-def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Every document's sketch, that of its text with the last third taken from the next document, and likenesses."""
 
     def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows = None, []  # last: part, id, text, sketch
+        last, rows = None, []  # last: part, id, source, text, sketch
 
         def close(text: str, own: np.ndarray) -> None:
-            _, doc_id, before, sketched = last
+            _, doc_id, source, before, sketched = last
             cut = len(before) // 3
             edited = before[: len(before) - cut] + text[:cut]
             other = sketch(edited)
-            rows.append((doc_id, len(before), hashlib.sha256(edited.encode("utf-8")).hexdigest(), sketched, other, likeness(sketched, other), likeness(sketched, own)))
+            rows.append((doc_id, len(before), hashlib.sha256(edited.encode("utf-8")).hexdigest(), sketched, other, likeness(sketched, other), likeness(sketched, own), source))
 
         for batch in slices(batches):
-            for part, halo, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "halo", "doc_id", "text"))):
+            for part, halo, doc_id, source, text in zip(*(batch.column(c).to_pylist() for c in ("part", "halo", "doc_id", "source", "text"))):
                 if halo and (last is None or last[0] != part):
                     continue  # not the first halo of its part
                 own = sketch(text)
                 if last is not None:
                     close(text, own)
-                last = None if halo else (part, doc_id, text, own)
+                last = None if halo else (part, doc_id, source, text, own)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), PAIRS)], schema=PAIRS)
                 rows = []
 
-    return with_next(docs, id_col, text_col).mapInArrow(pair, PAIRS_DDL)
+    return with_next(docs, id_col, text_col, source_col).mapInArrow(pair, PAIRS_DDL)
+
+
+def source_shingles(docs: DataFrame, source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """source, source_shingles: the estimated number of distinct shingles in all documents of a source, from their merged sketches."""
+    own = docs.select(F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return merged(with_sketch(own).select("source", "sketch"), "source").select("source", distinct_shingles(F.col("sketch")).alias("source_shingles"))
 
 
 def fingerprint_digests(pairs: DataFrame) -> DataFrame:
-    """The pairs with sketches as strings: hexadecimal hashes, dot-separated."""
+    """The pairs with sketches as strings (hexadecimal hashes, dot-separated), and what else sketches tell.
+
+    n_shingles: distinct shingles of the text; kept_in_edited: the share of them that the edited text has.
+    """
     text = lambda c: F.array_join(F.transform(c, F.hex), ".")
-    return pairs.select("doc_id", "n_chars", "edited_sha256", text("sketch").alias("fingerprint"), text("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next")
+    rest = [c for c in pairs.columns if c not in PAIRS.names[:-1]]
+    return pairs.select(
+        "doc_id", "n_chars", "edited_sha256", text("sketch").alias("fingerprint"), text("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next",
+        distinct_shingles(F.col("sketch")).alias("n_shingles"), containment(F.col("sketch"), F.col("edited_sketch")).alias("kept_in_edited"), *rest,
+    )
+
+
+def documents_and_sources(docs: DataFrame) -> DataFrame:
+    """``fingerprint_digests`` of every document, with its source and the source's distinct shingles."""
+    sources = stored(source_shingles(docs).withColumnRenamed("source", "of"), "sources")
+    if sources.count() <= BROADCAST_KEYS:
+        sources = F.broadcast(sources)
+    pairs = fingerprint_digests(edited_pairs(docs))
+    return pairs.join(sources, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")

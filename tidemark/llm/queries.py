@@ -24,7 +24,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_digests(fingerprints.edited_pairs(table(spark, sf_dir, "documents")))
+    return fingerprints.documents_and_sources(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
