@@ -2,7 +2,7 @@
 
 Base spans are pattern matches. On top, every base64 or hex run that can hold a secret, also one wrapped in lines, is decoded and reported only if
 the bytes have the structure of a secret: a DER key whose nested lengths add up, an OpenSSH key blob, or
-text that itself holds a base secret; and dotted triples are reported as signed tokens only if the header
+text that itself holds a secret, in as many layers as there are; and dotted triples are reported as signed tokens only if the header
 decodes to a JSON object that names an algorithm. PEM blocks are reported if their body decodes to one of these keys.
 
 Edge cases: a null or empty text has no spans; offsets are code points, ends exclusive; spans sort by
@@ -54,6 +54,8 @@ HEX_RUN = re.compile(r"[0-9A-Fa-f]{24,}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 GAP = re.compile(BREAK + r"[ \t]*")
 PADDING = re.compile(r"={0,2}")
+#: Drops what a text file has besides printable characters.
+LINE_ENDS = dict.fromkeys(map(ord, "\r\n\t"))
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:" + BREAK + r"[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 #: Object identifiers of encryption by password begin with PKCS 5's or PKCS 12's.
 BY_PASSWORD = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
@@ -121,22 +123,29 @@ def is_der_key(data: bytes) -> bool:
         return data[inner[0][1]] == 1 and inner[1][2] - inner[1][1] >= 16
     if tags[1] == 0x30 and len(tags) > 2 and tags[2] == 4:
         algorithm = der_items(data, *inner[1][1:])
-        return bool(algorithm) and algorithm[0][0] == 6 and inner[2][2] - inner[2][1] >= 16
+        # What the octet string holds is DER again: a key of the algorithm.
+        return bool(algorithm) and algorithm[0][0] == 6 and inner[2][2] - inner[2][1] >= 16 and bool(der_items(data, *inner[2][1:]))
     return False
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key file: its magic, then four length-prefixed fields and a key count that fit."""
+    """An OpenSSH private key file: its magic, three length-prefixed fields, a count, so many public keys and the private part, to the end."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
         return False
-    at, fields = len(magic), 0
-    while fields < 3:
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        fields += 1
-    return at + 4 <= len(data) and int.from_bytes(data[at : at + 4], "big") >= 1
+
+    def after(at: int, fields: int) -> int:
+        for _ in range(fields):
+            if at < 0 or at + 4 > len(data):
+                return -1
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at if at <= len(data) else -1
+
+    at = after(len(magic), 3)
+    if at < 0 or at + 4 > len(data):
+        return False
+    count = int.from_bytes(data[at : at + 4], "big")
+    return 1 <= count <= len(data) // 4 and after(at + 4, count + 1) == len(data)
 
 
 def from_base64(text: str) -> bytes | None:
@@ -151,16 +160,18 @@ def from_base64(text: str) -> bytes | None:
 
 
 def kind_of(data: bytes) -> str | None:
-    """The kind of secret that decoded bytes are."""
+    """The kind of secret that decoded bytes are; text is looked through again, whatever is encoded in it."""
     if is_der_key(data):
         return "key"
     if is_ssh_key(data):
         return "ssh"
     try:
-        text = data.decode("ascii")
+        text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return "nested" if text.isprintable() and base_spans(text) else None
+    if not text.translate(LINE_ENDS).isprintable():
+        return None
+    return "nested" if base_spans(text) or confirmed_spans(text) else None
 
 
 def is_signed_header(text: str) -> bool:
