@@ -41,6 +41,34 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 PIECE_LIMIT, PAIR_LIMIT = 200_000, 100_000
 
 
+#: The settings of a vocabulary file that the code here is for; what a file leaves out counts as these.
+SETTINGS = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "post_processor": None,
+    "decoder": {"type": "ByteLevel"},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
+#: Settings of added tokens: they are cut out of a text as they stand.
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def read_vocabulary(path: str) -> dict:
+    """A vocabulary file's content. Settings that would give other ids than ``SETTINGS`` raise ValueError; truncation and padding don't count."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    for part, wanted in SETTINGS.items():
+        found = spec.get(part)
+        wrong = found is not None if wanted is None else found is None or any(found.get(k, v) != v for k, v in wanted.items())
+        if wrong:
+            shown = {k: v for k, v in found.items() if k not in ("vocab", "merges")} if isinstance(found, dict) else found
+            raise ValueError(f"this encoder isn't for a vocabulary with {part} {shown}")
+    for token in spec.get("added_tokens", []):
+        if any(token.get(k, v) != v for k, v in ADDED.items()):
+            raise ValueError(f"this encoder isn't for an added token like {token}")
+    return spec
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in the vocabulary file, and its byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -117,8 +145,7 @@ class ByteBpe:
     """The vocabulary with its automaton, pair table and offset table."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = read_vocabulary(path)
         alphabet = byte_alphabet()
         as_bytes = lambda s: bytes(map(alphabet.__getitem__, s))
         self.id_of = {as_bytes(s): i for s, i in spec["model"]["vocab"].items()}
