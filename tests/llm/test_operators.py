@@ -2,7 +2,9 @@
 
 import base64
 import functools
+import gzip
 import hashlib
+import json
 import random
 import re
 import struct
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import bpe, fingerprints, line_dedup, mixing, near_copies, queries, search, secret_scan, simhash, token_files, toxicity, warc
+from tidemark.llm import bpe, files, fingerprints, line_dedup, mixing, near_copies, queries, search, secret_scan, simhash, token_files, toxicity, warc
 from tidemark.llm.components import connected
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, sketch string, score int"
@@ -159,7 +161,7 @@ RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([7] * 130)) for _ in range
 
 def test_secrets_right_after_an_equals_sign():
     field = lambda b: struct.pack(">I", len(b)) + b
-    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + struct.pack(">I", 1) + field(bytes(40))
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + struct.pack(">I", 1) + field(bytes(40)) + field(bytes(90))
     for kind, data in ("key", RSA), ("ssh", ssh), ("nested", b"here password = 'hunter22x'"):
         run = base64.b64encode(data).decode()
         for before in "PRIVATE_KEY=", "https://a.b/?key=", "x==":
@@ -187,6 +189,29 @@ def test_short_wrapped_and_encrypted_secrets():
     assert kinds(block) == ["pem"] and not kinds(base64.b64encode(digest).decode())
 
 
+def test_each_kind_of_secret():
+    field = lambda b: struct.pack(">I", len(b)) + b
+    kinds = lambda t: [k for k, *_ in secret_scan.confirmed_spans(t)]
+    coded = lambda b: base64.b64encode(b).decode()
+    rsa_id = der(0x30, der(6, bytes.fromhex("2a864886f70d010101")) + der(5, b""))
+    wrapped, hollow = (der(0x30, der(2, b"\0") + rsa_id + der(4, x)) for x in (RSA, bytes([9] * 300)))
+    curve = der(0x30, der(2, b"\1") + der(4, bytes(range(32))))
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + struct.pack(">I", 2) + field(bytes(40)) * 2 + field(bytes(90))
+    for data, kind in (RSA, "key"), (wrapped, "key"), (curve, "key"), (ssh, "ssh"):
+        assert kinds(coded(data)) == kinds(base64.urlsafe_b64encode(data).decode()) == kinds(data.hex()) == [kind]
+        assert kinds(f"-----BEGIN PRIVATE KEY-----\n{coded(data)}\n-----END PRIVATE KEY-----") == ["pem"]
+        for cut in 1, 3, len(data) // 2:
+            assert not kinds(coded(data[:-cut])), (kind, cut)
+    assert not kinds(coded(hollow)) and not kinds(coded(b"openssh-key-v1\0" + bytes(80)))
+    env = b"NAME=x\r\nDB_PASSWORD=hunter22x\n\tLANG=de_DE \xc3\xa9\n"
+    once = coded(env)
+    twice, thrice = coded(f"key: {once}\n".encode()), coded(f"data={env.hex()}".encode()).encode().hex()
+    assert kinds(once) == kinds(twice) == kinds(thrice) == kinds(env.hex()) == ["nested"]
+    assert not kinds(coded(b"NAME=x\nLANG=de_DE and nothing else in here\n"))
+    token = ".".join(base64.urlsafe_b64encode(x).rstrip(b"=").decode() for x in (b'{"alg":"RS256","typ":"JWT"}', b'{"sub":"1"}', bytes(range(64))))
+    assert kinds(f"t {token} z") == ["signed"] and kinds(coded(f"t {token}".encode())) == ["nested"] and not kinds(token.replace("ey", "ex", 1))
+
+
 def test_secret_query_against_plain_patterns(spark, odd, none):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(*DOCS.replace(" bigint", "").replace(" string", "").replace(" int", "").split(", ")[:5]).unionByName(odd.drop("sketch", "score"))
@@ -201,26 +226,47 @@ def test_secret_query_against_plain_patterns(spark, odd, none):
     assert secret_scan.scan(none).count() == 0
 
 
+def brute_sketch(text):
+    words = [w for w in re.split("[\\x20\\x09-\\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_fingerprints(spark, odd, none):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    texts = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
-    found = {r["doc_id"]: r for r in fingerprints.fingerprint_digests(fingerprints.edited_pairs(docs)).collect()}
-    assert len(found) == len(texts)
-    shingles = lambda t: set(fingerprints.shingle_hashes(t, fingerprints.WORDS).tolist())
-    off = []
-    for (i, t), (_, after) in zip(texts, texts[1:] + texts[:1]):
-        cut = len(t) // 3
+    rows = sorted(((r["doc_id"], r["text"] or "", r["source"]) for r in docs.collect()), reverse=True)
+    found = {r["doc_id"]: r for r in fingerprints.documents_and_sources(docs).collect()}
+    assert len(found) == len(rows)
+    off, by_text, by_source = [], {}, {}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for (i, t, source), (_, after, _) in zip(rows, rows[1:] + rows[:1]):
+        cut, r = len(t) // 3, found[i]
         edited = t[: len(t) - cut] + after[:cut]
-        assert found[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and found[i]["n_chars"] == len(t)
-        a, b = shingles(t), shingles(edited)
-        off.append(abs(found[i]["near_edited"] - (len(a & b) / len(a | b) if a | b else 1)))
-    assert np.mean(off) < 0.03 and max(off) < 0.2
-    assert fingerprints.edited_pairs(odd).count() == len(ODD) and fingerprints.edited_pairs(none).count() == 0
-    parts = spark.createDataFrame([("k", " ".join(f"w{i}" for i in range(a, a + 400))) for a in range(0, 2000, 300)], "k string, text string")
-    whole = " ".join(f"w{i}" for i in range(2200))
-    merged = fingerprints.merged(fingerprints.with_sketch(parts), ["k"]).first()["sketch"]
-    assert merged == fingerprints.sketch(whole).tolist()
-    own = spark.createDataFrame([(merged, fingerprints.sketch(LONG).tolist())], "a array<bigint>, b array<bigint>")
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(t)
+        a, b, c = map(brute_sketch, (t, edited, after))
+        off += [abs(r["near_edited"] - like(a, b)), abs(r["near_next"] - like(a, c)), abs(r["kept_in_edited"] - (len(a & b) / len(a) if a else 1)), abs(r["n_shingles"] / max(1, len(a)) - (len(a) > 0)) / 3]
+        assert by_text.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+        if len(a | b) <= fingerprints.K:
+            assert r["near_edited"] == like(a, b) and r["n_shingles"] == len(a)
+        by_source.setdefault(source, set()).update(a)
+    assert np.mean(off) < 0.03 and max(off) < 0.25
+    assert len(set(by_text.values())) == len({frozenset(brute_sketch(t)) for t in by_text})
+    for r in found.values():
+        assert abs(r["source_shingles"] / len(by_source[r["source"]]) - 1) < 0.35
+    assert fingerprints.documents_and_sources(odd).count() == len(ODD) and fingerprints.documents_and_sources(none).count() == 0
+    same = {r["doc_id"]: r["fingerprint"] for r in fingerprints.documents_and_sources(odd).collect()}
+    assert same[5] == same[6] != "" and same[1] == same[2] == same[3] == ""
+
+
+def test_merged_sketches(spark, monkeypatch):
+    """Parts of a text merge into the whole's sketch, also where a task can't hold all keys; null is a key."""
+    monkeypatch.setattr(fingerprints, "HELD", 2)
+    parts = [(k, " ".join(f"{k}{i}" for i in range(a, a + 400))) for k in ("k", None, "m", "n", "o") for a in range(0, 2000, 300)] + [("none", "")]
+    random.Random(1).shuffle(parts)
+    made = fingerprints.merged(fingerprints.with_sketch(spark.createDataFrame(parts, "k string, text string").repartition(3)), "k").collect()
+    merged = {r["k"]: list(r["sketch"]) for r in made}
+    assert len(made) == 6 and merged.pop("none") == []
+    assert merged == {k: fingerprints.sketch(" ".join(f"{k}{i}" for i in range(2200))).tolist() for k in merged}
+    own = spark.createDataFrame([(merged["k"], fingerprints.sketch(LONG).tolist())], "a array<bigint>, b array<bigint>")
     r = own.select(fingerprints.resemblance(F.col("a"), F.col("a")), fingerprints.containment(F.col("a"), F.col("b")), fingerprints.distinct_shingles(F.col("a"))).first()
     assert r[0] == 1 and r[1] == 0 and abs(r[2] - 2196) < 600
 
@@ -397,6 +443,34 @@ def test_token_files_and_bpe_are_the_librarys(spark, odd, none, tmp_path):
     assert token_files.read_token_files(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_token_files_in_small_parts_read_by_ranges(spark, odd, tmp_path):
+    docs = odd.select("doc_id", "text")
+    manifest = token_files.write_token_files(docs, PATH, f"file://{tmp_path}/files", part_docs=2).collect()
+    assert len(manifest) >= len(ODD) / 2 and max(r["n_docs"] for r in manifest) <= 2
+    rows = sorted(token_files.read_token_files(spark, f"file://{tmp_path}/files").collect(), key=lambda r: r["start"])
+    library = Tokenizer.from_file(PATH)
+    assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in rows) == sorted((str(i), np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t, *_ in ODD)
+    assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1].tolist()
+    stem = f"{tmp_path}/files/{manifest[0]['part']:010d}"
+    local, far = files.mapped(f"file:{stem}.ids", "<u2"), files.Ranged(*files.opened(f"{stem}.ids"), "<u2")
+    assert len(local) == len(far) and all((local[a:b] == far[a:b]).all() for a, b in ((0, 1), (1, 3), (0, len(far)), (2, 10**6), (3, 2)))
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"decoder": None}, "dropout", "lstrip"])
+def test_other_vocabularies_are_refused(tmp_path, change):
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    if change == "dropout":
+        spec["model"]["dropout"] = 0.1
+    elif change == "lstrip":
+        spec["added_tokens"][0]["lstrip"] = True
+    else:
+        spec |= change
+    (tmp_path / "v.json").write_text(json.dumps(spec), encoding="utf-8")
+    for reads in token_files.library_encoder, bpe.ByteBpe:
+        with pytest.raises(ValueError, match="isn't for"):
+            reads(str(tmp_path / "v.json"))
+
+
 def test_bpe_of_random_pieces():
     library, own = Tokenizer.from_file(PATH), bpe.vocabulary(PATH)
     rng = random.Random(3)
@@ -412,7 +486,7 @@ def test_bpe_of_random_pieces():
 
 def test_archives(spark, tmp_path):
     same, big = "x" * 100, "y" * 99
-    rows = [(3, "http://a/é x", same), (1, None, same), (2, "u", same), (4, "u", big), (5, "u", big), (6, "u", None), (None, "u", same), (1, "u", same), (7, "u", "\r\n\r\nWARC/1.1\r\n" * 20)]
+    rows = [(3, "http://a/é x", same), (8, "http://a/b%20c?d=é%", None), (1, None, same), (2, "u", same), (4, "u", big), (5, "u", big), (6, "u", None), (None, "u", same), (1, "u", same), (7, "u", "\r\n\r\nWARC/1.1\r\n" * 20)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
     warc.write_archives(pages, f"file://{tmp_path}/w")
     whole = warc.read_archives(spark, f"file://{tmp_path}/w")
@@ -424,10 +498,42 @@ def test_archives(spark, tmp_path):
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert sorted(map(str, (tuple(r[n] for n in names) for r in found))) == sorted(map(str, expected))
     assert {bytes(r["payload"]).decode() for r in whole.where("payload is not null").collect()} == {r[2] or "" for r in rows}
+    assert sorted((r["page_id"] or 0, r["url"] or "") for r in whole.collect()) == sorted((r[0] or 0, r[1] or "") for r in rows)
+    assert whole.select("record_id").distinct().count() == len(rows)
     warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.resolve_revisits(warc.read_archives(spark, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Records of other types, without digests, folded, not packed, with revisits that name a record or a digest only."""
+    def one(kind, block=b"", **head):
+        lines = [f"WARC-Type: {kind}", *(f"{k.replace('_', '-')}: {v}" for k, v in head.items()), f"Content-Length: {len(block)}"]
+        return b"WARC/1.0\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    body = b"<html>" + b"x" * 200
+    http = b"HTTP/1.1 200 OK\r\nServer: a\r\n\r\n" + body
+    own = [
+        one("warcinfo", b"software: none\r\n", WARC_Record_ID="<urn:1>", Content_Type="application/warc-fields"),
+        one("request", b"GET / HTTP/1.1\r\n\r\n", WARC_Record_ID="<urn:2>", WARC_Target_URI="<http://a/b%20c>"),
+        one("response", http, WARC_Record_ID="<urn:3>", WARC_Target_URI="http://a/b%20c", WARC_Payload_Digest="sha1:ABC", X_Folded="a\r\n b", Content_Type="application/http; msgtype=response"),
+        one("resource", b"plain", WARC_Record_ID="<urn:4>", Content_Type="text/plain"),
+        one("revisit", WARC_Record_ID="<urn:5>", WARC_Refers_To="<urn:3>"),
+        one("revisit", WARC_Record_ID="<urn:6>", WARC_Payload_Digest="sha1:ABC"),
+        one("revisit", WARC_Record_ID="<urn:7>", WARC_Payload_Digest="sha1:ELSE"),
+    ]
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.warc").write_bytes(b"".join(own[:3]))
+    (tmp_path / "deep" / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, own[3:])))
+    read = {r["record_id"]: r for r in warc.read_archives(spark, f"file://{tmp_path}").collect()}
+    assert len(read) == 7 and bytes(read["<urn:3>"]["payload"]) == body and bytes(read["<urn:4>"]["payload"]) == b"plain"
+    assert read["<urn:2>"]["url"] == read["<urn:3>"]["url"] == "http://a/b%20c" and read["<urn:1>"]["payload"] is None
+    found = warc.resolve_revisits(warc.read_archives(spark, f"file://{tmp_path}", with_payload=False)).collect()
+    digest = hashlib.sha256(body).hexdigest()
+    assert sorted((r["record_type"], r["payload_bytes"] or 0, r["payload_digest"]) for r in found) == sorted(
+        [("response", 206, digest), ("revisit", 206, digest), ("revisit", 206, digest), ("revisit", 0, "sha1:ELSE")]
+    )
+
+
 def brute_top_k(docs, asked, k):
     cut = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     own = [(i, cut(t)) for i, t in docs]

@@ -260,6 +260,7 @@ class Anchor:
 
 def met(rows: DataFrame, bits: int) -> DataFrame:
     """u, v: links that give the classes of each anchor (key, part)."""
+    cells = SMALL
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, out = None, []
@@ -280,7 +281,7 @@ def met(rows: DataFrame, bits: int) -> DataFrame:
             # Without a home, or alone at its anchor, a row has no link; at the batch's ends an anchor can go on.
             worth = (n_home > 0) & (sizes > 1)
             worth[0] = worth[-1] = False
-            small = np.flatnonzero(worth & (n_home * sizes <= SMALL))
+            small = np.flatnonzero(worth & (n_home * sizes <= cells))
             for at in range(0, len(small), SMALL_ONES):
                 some = small[at : at + SMALL_ONES]
                 worth[some] = with_links(data, starts[some], n_home[some], sizes[some], bits)
