@@ -555,8 +555,10 @@ def brute_top_k(docs, asked, k):
     return out
 
 
-@pytest.mark.parametrize("segment, shard", [(search.SEGMENT, search.SHARD), (3000, 5000)], ids=["one shard", "many shards"])
-def test_top_k(spark, monkeypatch, segment, shard):
+@pytest.mark.parametrize("segment, shard, hashes", [(search.SEGMENT, search.SHARD, None), (3000, 5000, None), (3000, 5000, 7)], ids=["one shard", "many shards", "equal hashes"])
+def test_top_k(spark, monkeypatch, segment, shard, hashes):
+    if hashes:  # many terms have one first hash
+        monkeypatch.setattr(search, "first_hash", lambda term: F.pmod(F.xxhash64(term), F.lit(hashes)))
     monkeypatch.setattr(search, "SEGMENT", segment)
     monkeypatch.setattr(search, "SHARD", shard)
     monkeypatch.setattr(search, "QUERIES", 5)
@@ -572,6 +574,31 @@ def test_top_k(spark, monkeypatch, segment, shard):
     assert found == brute_top_k(docs, asked, 12)
 
 
+def test_weak_and_skips_documents(tmp_path):
+    """The best are those of all documents, and most documents are never scored in full."""
+    rng = np.random.default_rng(5)
+    n, n_terms = 6000, 3000
+    common = 1 / np.arange(1, n_terms + 1)
+    docs = [np.unique(rng.choice(n_terms, rng.integers(20, 80), p=common / common.sum()), return_counts=True) for _ in range(n)]
+    lengths = np.array([tf.sum() for _, tf in docs], "<i4")
+    term, tf = (np.concatenate(x) for x in zip(*docs))
+    doc = np.repeat(np.arange(n), [len(t) for t, _ in docs])
+    order = np.argsort(term, kind="stable")
+    terms, df = np.unique(term, return_counts=True)
+    search.put(f"{tmp_path}/s.npz", {"ids": np.arange(n), "lengths": lengths, "terms": terms, "checks": terms, "df": df, "doc": doc[order].astype("<i4"), "tf": tf[order].astype("<i4")})
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    shard = search.Shard([f"{tmp_path}/s.npz"], terms, terms, idf, lengths.mean())
+    place = np.searchsorted(terms, term)
+    units = np.rint(idf[place] * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[doc] / lengths.mean()))) * search.UNIT)
+    asked = [np.searchsorted(terms, docs[i][0]) for i in range(0, n, 60)]
+    found = {q: (ids.tolist(), u.tolist()) for q, ids, u in shard.search(asked, 10, np.ones(len(asked)))}
+    for q, wanted in enumerate(asked):
+        whole = np.bincount(doc[np.isin(place, wanted)], units[np.isin(place, wanted)], n)
+        best = np.lexsort((np.arange(n), -whole))[:10]
+        assert found[q] == (best.tolist(), whole[best].tolist())
+    assert shard.scored < 0.35 * n * len(asked)
+
+
 def test_top_k_of_nothing(spark, odd, none):
     assert search.bm25_top_k(none, none).count() == 0 and search.bm25_top_k(odd, none).count() == 0 and search.bm25_top_k(none, odd).count() == 0
     assert search.bm25_top_k(odd, odd.where("doc_id % 20 = 0")).count() > 0

@@ -6,15 +6,15 @@ size. Document frequencies and lengths are summed over all segments, so every sh
 
 Search. Queries are dealt into blocks; a task takes one block and a few shards in turn. Documents of a shard lie in blocks
 of ``BLOCK``, ordered so that like documents are neighbours, and every long posting list keeps the maximum of
-its scores in each block. A query first sums its short lists. The best of these documents, scored in full, give
-the threshold: the k-th best score so far, also of the shards before. A block is a pivot only if the query's block maxima and the best short
-sum in it reach the threshold (the weak-and test); the long lists are read in pivot blocks alone. The k best of
-every task are merged by score into the k best of all.
+its scores in each block. For a query the maxima of its long lists and the best sum of its short lists in a block bound what a document in it
+can score (the weak-and test). Blocks whose bound reaches the threshold are pivots; the others are skipped, with all their
+documents. The threshold is the k-th best score so far, also of the shards before; pivots are scored from the highest bound on, in
+rounds, and each round raises the threshold until no bound reaches it. The k best of every task are merged by score into the k best of all.
 
 Scores. A term counts once in a query. Its part of a score, ``ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) /
 (tf + K1 * (1 - B + B * length / mean length))``, is rounded to a multiple of 1 / ``UNIT``; sums are then exact
 in any order, ties are true ties and go to the smaller doc_id. Terms are lower-cased runs of letters and digits.
-They are told apart by a 64-bit hash; a second hash is kept, and two terms with one hash raise an error.
+They are told apart by two 64-bit hashes. A score of 0 units is no match.
 
 Edge cases: a null or empty text has no terms: as a document it is never found, as a query it has no rows; a
 document that shares no term with a query isn't found; fewer than k matches give fewer rows; rows that share a query id
@@ -26,6 +26,7 @@ texts of any length are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +42,46 @@ K1, B, UNIT = 1.2, 0.75, 1 << 16
 TERM_BREAK = r"[^\p{L}\p{N}]+"
 #: Size of a segment and of a shard: postings (in a segment still words) and 128 for each document.
 SEGMENT, SHARD, PER_DOC = 4_000_000, 10_000_000, 128
-#: Queries in a block, queries looked at together, documents in a block, and shards that a task takes in turn.
-QUERIES, TOGETHER, BLOCK, IN_TURN = 16_384, 64, 64, 2
+#: Queries in a block, queries whose bounds are computed together, documents in a block, and shards that a task takes in turn.
+QUERIES, TOGETHER, BLOCK, IN_TURN = 16_384, 64, 4, 2
+#: Blocks of a query's first round; each round is twice the one before.
+FIRST = 32
 #: A list is long if it has one in so many documents; scores of long lists that a shard holds at most.
 LONG, LONG_SCORES = 16, 16_000_000
 NO_ID = -(2**63)
 
 
-def term_hashes(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
-    """``out``, h, g: two hashes of each term of the text in order."""
+def first_hash(term: Column) -> Column:
+    return F.xxhash64(term)
+
+
+def term_hashes(df: DataFrame, id_col: str, text_col: str, out: str, once: bool = False) -> DataFrame:
+    """``out``, h, g: two hashes of each term of the text in order, or of each distinct one."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), TERM_BREAK), lambda x: x != "")
-    cut = df.select(F.col(id_col).alias(out), words.alias("w"))
-    return cut.select(out, F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.transform("w", lambda x: F.xxhash64(F.lit(1), x)).alias("g"))
+    cut = df.select(F.col(id_col).alias(out), (F.array_distinct(words) if once else words).alias("w"))
+    return cut.select(out, F.transform("w", first_hash).alias("h"), F.transform("w", lambda x: F.xxhash64(F.lit(1), x)).alias("g"))
+
+
+def distinct_terms(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of hashes, in order, and which of them each is."""
+    terms, first, at = np.unique(h, return_index=True, return_inverse=True)
+    checks = g[first]
+    if (checks[at] == g).all():
+        return terms, checks, at
+    pairs, at = np.unique(np.column_stack([h, g]), axis=0, return_inverse=True)  # two terms with one h
+    return pairs[:, 0].copy(), pairs[:, 1].copy(), at.ravel()
+
+
+def positions(terms: np.ndarray, checks: np.ndarray, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Where pairs of hashes are in sorted pairs, -1 for those that aren't."""
+    at = np.searchsorted(terms, h)
+    while True:
+        near = np.minimum(at, len(terms) - 1)
+        same = (at < len(terms)) & (terms[near] == h)
+        other = same & (checks[near] != g)
+        if not other.any():
+            return np.where(same, at, -1)
+        at = at + other
 
 
 def put(uri: str, arrays: dict[str, np.ndarray]) -> None:
@@ -84,17 +113,15 @@ def write_segments(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
 
         def flushed() -> Iterator[pa.RecordBatch]:
             ids, lengths, h, g = (np.concatenate(x) for x in zip(*held))
-            terms, first, at = np.unique(h, return_index=True, return_inverse=True)
-            if (g[first][at] != g).any():
-                raise ValueError("two terms have one hash")
+            terms, checks, at = distinct_terms(h, g)
             pair, tf = np.unique(at * np.int64(len(ids)) + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
             term, doc = np.divmod(pair, max(1, len(ids)))
             df = np.bincount(term, minlength=len(terms))
             name = f"{folder}/segment-{TaskContext.get().partitionId():06d}-{number:04d}.npz"
-            put(name, {"ids": ids, "lengths": lengths.astype("<i4"), "terms": terms, "df": df.astype("<i4"), "doc": doc.astype("<i4"), "tf": tf.astype("<i4")})
+            put(name, {"ids": ids, "lengths": lengths.astype("<i4"), "terms": terms, "checks": checks, "df": df.astype("<i4"), "doc": doc.astype("<i4"), "tf": tf.astype("<i4")})
             yield pa.RecordBatch.from_pydict({"segment": [name], "n_docs": [len(ids)], "n_words": [int(lengths.sum())], "size": [len(pair) + PER_DOC * len(ids)], "h": [None], "g": [None], "df": [None]}, SEGMENT_ROWS)
             none = pa.nulls(len(terms))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.string()), *[none.cast(pa.int64())] * 3, pa.array(terms), pa.array(g[first]), pa.array(df)], schema=SEGMENT_ROWS)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.string()), *[none.cast(pa.int64())] * 3, pa.array(terms), pa.array(checks), pa.array(df)], schema=SEGMENT_ROWS)
 
         size = 0
         for batch in batches:
@@ -127,9 +154,7 @@ class Index:
         end = F.sum("size").over(W.orderBy("segment").rowsBetween(W.unboundedPreceding, 0))
         shards = segments.withColumn("shard", F.floor((end - 1) / SHARD)).groupBy("shard").agg(F.sort_array(F.collect_list("segment")).alias("segments"))
         self.shards = stored(shards, "shards")
-        same = F.min("g") == F.max("g")
-        df = F.when(same, F.sum("df")).otherwise(F.raise_error(F.lit("two terms have one hash")).cast("long"))
-        self.df = rows.where("h is not null").groupBy("h").agg(df.alias("df"))
+        self.df = rows.where("h is not null").groupBy("h", "g").agg(F.sum("df").alias("df"))
 
     def idf(self, df: Column) -> Column:
         return F.log(1 + (F.lit(float(self.n_docs)) - df + 0.5) / (df + 0.5))
@@ -137,7 +162,7 @@ class Index:
 
 def write_queries(index: Index, queries: DataFrame, folder: str, id_col: str, text_col: str) -> int:
     """Writes each block's queries and its terms' idf; returns the number of blocks."""
-    hashed = term_hashes(queries, id_col, text_col, "query_id").select("query_id", F.array_distinct("h").alias("h")).where(F.size("h") > 0)
+    hashed = term_hashes(queries, id_col, text_col, "query_id", once=True).where(F.size("h") > 0)
     hashed = stored(hashed, "queries")
     n = max(1, -(-hashed.count() // QUERIES))
     dealt = hashed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
@@ -150,18 +175,19 @@ def write_queries(index: Index, queries: DataFrame, folder: str, id_col: str, te
                 for b in np.unique(block):
                     own = batch.filter(pa.array(block == b))
                     if kind == "terms":
-                        held.setdefault(b, []).append((own.column("h").to_numpy(), own.column("idf").to_numpy()))
+                        held.setdefault(b, []).append(tuple(own.column(c).to_numpy() for c in ("h", "g", "idf")))
                     else:
                         h, lengths = flat(own.column("h"))
-                        held.setdefault(b, []).append((own.column("query_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(), lengths, h))
+                        held.setdefault(b, []).append((own.column("query_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(), lengths, h, flat(own.column("g"))[0]))
             for b, parts in held.items():
                 put(f"{folder}/{kind}-{b:06d}.npz", {f"a{i}": np.concatenate(x) for i, x in enumerate(zip(*parts))})
                 yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32())})
 
         return run
 
-    terms = dealt.select("block", F.explode("h").alias("h")).distinct().join(index.df, "h").select("block", "h", index.idf(F.col("df")).alias("idf"))
-    for kind, rows in (("terms", terms), ("queries", dealt.select("block", "query_id", "h"))):
+    pairs = dealt.select("block", F.explode(F.arrays_zip("h", "g")).alias("term")).select("block", "term.h", "term.g").distinct()
+    terms = pairs.join(index.df, ["h", "g"]).select("block", "h", "g", index.idf(F.col("df")).alias("idf"))
+    for kind, rows in (("terms", terms), ("queries", dealt.select("block", "query_id", "h", "g"))):
         rows.repartition("block").mapInArrow(write(kind), "block int").write.parquet(f"{folder}/{kind}-written")
     return n
 
@@ -169,11 +195,11 @@ def write_queries(index: Index, queries: DataFrame, folder: str, id_col: str, te
 class Shard:
     """A shard's lists for the terms of a block of queries, with scores in units."""
 
-    def __init__(self, segments: list[str], terms: np.ndarray, idf: np.ndarray, mean: float):
+    def __init__(self, segments: list[str], terms: np.ndarray, checks: np.ndarray, idf: np.ndarray, mean: float):
         term, doc, tf, ids, lengths, n = [], [], [], [], [], 0
         for s in map(get, segments):
-            at = np.minimum(np.searchsorted(terms, s["terms"]), len(terms) - 1)
-            known = terms[at] == s["terms"]
+            at = positions(terms, checks, s["terms"], s["checks"])
+            known = at >= 0
             keep = np.repeat(known, s["df"])
             term.append(np.repeat(at[known].astype(np.int32), s["df"][known]))
             doc.append(s["doc"][keep] + np.int32(n))
@@ -213,10 +239,8 @@ class Shard:
             self.long[doc[span], c] = score[span]
         self.doc, self.score = doc, score
         self.maxima = self.long.reshape(self.blocks, BLOCK, most).max(axis=1)
-        # Mean direction of each group of neighbours, to put like queries together.
-        groups = np.unique(lead, return_index=True)[1]
-        self.groups = np.add.reduceat(self.long[:n], groups, axis=0) if n else np.zeros((1, most), np.float32)
-        self.groups /= np.maximum(np.linalg.norm(self.groups, axis=1, keepdims=True), 1e-9)
+        #: Documents scored in full so far.
+        self.scored = 0
 
     def short_sums(self, lists: np.ndarray) -> np.ndarray:
         """Sums of the scores in some lists, by document."""
@@ -228,56 +252,53 @@ class Shard:
 
     def search(self, queries: list[np.ndarray], k: int, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query's position, ids, scores in units) of the k best that reach the query's known threshold; queries are positions of terms."""
-        wanted = np.zeros((len(queries), self.long.shape[1]), bool)
-        short = []
-        for i, terms in enumerate(queries):
-            c = self.column[terms]
-            wanted[i, c[c >= 0]] = True
-            short.append(terms[c < 0])
-        like = np.empty(len(queries), np.int64)
-        for at in range(0, len(queries), 1024):
-            like[at : at + 1024] = (wanted[at : at + 1024].astype(np.float32) @ self.groups.T).argmax(axis=1)
-        order = np.argsort(like, kind="stable")
-        for at in range(0, len(order), TOGETHER):
-            some = order[at : at + TOGETHER]
-            yield from self._together(some, [short[i] for i in some], wanted[some].astype(np.float32), k, known[some])
-
-    def _together(self, some: np.ndarray, short: list[np.ndarray], wanted: np.ndarray, k: int, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        sums = np.stack([self.short_sums(x) for x in short])
-        by_block = sums.reshape(len(some), self.blocks, BLOCK)
-        best = by_block.max(axis=2)
-        ceiling = wanted @ self.maxima.T
+        for at in range(0, len(queries), TOGETHER):
+            some = queries[at : at + TOGETHER]
+            wanted = np.zeros((len(some), self.long.shape[1]), np.float32)
+            for i, terms in enumerate(some):
+                c = self.column[terms]
+                wanted[i, c[c >= 0]] = 1
+            ceilings = wanted @ self.maxima.T
+            for i, terms in enumerate(some):
+                ids, units = self._best(terms[self.column[terms] < 0], wanted[i], ceilings[i], k, known[at + i])
+                if len(ids):
+                    yield at + i, ids, units
+
+    def _best(self, short: np.ndarray, wanted: np.ndarray, ceiling: np.ndarray, k: int, known: float) -> tuple[np.ndarray, np.ndarray]:
+        sums = self.short_sums(short)
+        bound = ceiling + reduce(np.maximum, sums.reshape(self.blocks, BLOCK).T)
         # A sum of float32 is off by at most this much (of the true sum's terms, each below 2 ** 24 and whole).
-        slack = ceiling.max(axis=1) * (wanted.shape[1] * 2.0**-23) + 1
-        floor = known - slack
-        tries = min(4 * k, self.blocks)
-        for i in range(len(some)):
-            blocks = np.argpartition(best[i], self.blocks - tries)[self.blocks - tries :]
-            docs = blocks * BLOCK + by_block[i, blocks].argmax(axis=1)
-            found = sums[i, docs] + self.long[docs] @ wanted[i]
-            if tries >= k:
-                floor[i] = max(floor[i], np.partition(found, tries - k)[tries - k] - slack[i])
-        pivots = np.flatnonzero((best + ceiling >= (floor - slack)[:, None]).any(axis=0))
-        if not len(pivots):
-            return
-        docs = (pivots[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        scores = (self.long.reshape(self.blocks, BLOCK, -1)[pivots].reshape(len(docs), -1) @ wanted.T).T + by_block[:, pivots].reshape(len(some), -1)
-        for i, query in enumerate(some.tolist()):
-            near = np.flatnonzero(scores[i] >= floor[i] - slack[i])
-            if len(near) > k:
-                bound = np.partition(scores[i, near], len(near) - k)[len(near) - k] - 2 * slack[i]
-                near = near[scores[i, near] >= bound]
-            if not len(near):
-                continue
-            near = docs[near]
-            columns = np.flatnonzero(wanted[i])
-            exact = sums[i, near]
-            for a in range(0, len(near), 4096):
-                exact[a : a + 4096] += self.long[near[a : a + 4096, None], columns].sum(axis=1, dtype=np.float64)
-            keep = exact >= known[i]
-            exact, ids = exact[keep], self.ids[near[keep]]
-            last = np.lexsort((ids, ids == NO_ID, -exact))[:k]
-            yield query, ids[last], exact[last].astype(np.int64)
+        slack = float(ceiling.max(initial=0)) * (len(wanted) * 2.0**-23) + 1
+        threshold = known - slack
+        pivots = np.flatnonzero(bound >= threshold)
+        pivots = pivots[np.argsort(-bound[pivots], kind="stable")]
+        rows = self.long.reshape(self.blocks, -1)
+        docs, scores, best = [np.empty(0, np.int64)], [np.empty(0)], np.empty(0)
+        at, size = 0, FIRST
+        while at < len(pivots) and bound[pivots[at]] >= threshold:
+            some = pivots[at : at + size]
+            some = some[bound[some] >= threshold]
+            own = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = sums[own] + rows[some].reshape(len(own), -1) @ wanted
+            docs.append(own)
+            scores.append(found)
+            best = np.concatenate([best, found])
+            if len(best) > k:
+                best = np.partition(best, len(best) - k)[len(best) - k :]
+            if len(best) == k:
+                threshold = max(threshold, best.min() - 2 * slack)
+            at, size = at + size, 2 * size
+        docs, scores = np.concatenate(docs), np.concatenate(scores)
+        self.scored += len(docs)
+        near = docs[scores >= threshold]
+        columns = np.flatnonzero(wanted)
+        exact = sums[near]
+        for a in range(0, len(near), 4096):
+            exact[a : a + 4096] += self.long[near[a : a + 4096, None], columns].sum(axis=1, dtype=np.float64)
+        keep = exact >= known
+        exact, ids = exact[keep], self.ids[near[keep]]
+        last = np.lexsort((ids, ids == NO_ID, -exact))[:k]
+        return ids[last], exact[last].astype(np.int64)
 
 
 FOUND = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("units", pa.int64())])
@@ -307,22 +328,22 @@ def bm25_top_k(
             files, path = opened(f"{folder}/queries-{row['block']:06d}.npz")
             if not files.get_file_info(path).is_file:
                 continue
-            terms, idf = get(f"{folder}/terms-{row['block']:06d}.npz").values()
-            order = np.argsort(terms)
-            terms, idf = terms[order], idf[order]
-            ids, lengths, h = get(f"{folder}/queries-{row['block']:06d}.npz").values()
-            at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-            known = terms[at] == h
+            terms, checks, idf = get(f"{folder}/terms-{row['block']:06d}.npz").values()
+            order = np.lexsort((checks, terms))
+            terms, checks, idf = terms[order], checks[order], idf[order]
+            ids, lengths, h, g = get(f"{folder}/queries-{row['block']:06d}.npz").values()
+            at = positions(terms, checks, h, g)
+            known = at >= 0
             # Rows that share an id are one query.
             owner, row_of = np.unique(ids, return_inverse=True)
             pairs = np.unique(np.repeat(row_of, lengths)[known] * np.int64(len(terms)) + at[known])
             mine, at = np.divmod(pairs, max(1, len(terms)))
             asked = np.split(at, np.searchsorted(mine, np.arange(1, len(owner))))
-            del h, known, pairs
+            del h, g, known, pairs
             best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(owner)
             threshold = np.ones(len(owner))
             for turn in row["shards"]:
-                for query, found, units in Shard(turn["segments"], terms, idf, mean).search(asked, k, threshold):
+                for query, found, units in Shard(turn["segments"], terms, checks, idf, mean).search(asked, k, threshold):
                     found, units = np.concatenate([best[query][0], found]), np.concatenate([best[query][1], units])
                     last = np.lexsort((found, found == NO_ID, -units))[:k]
                     best[query] = found[last], units[last]
@@ -358,7 +379,7 @@ with term as (
   from posting join size using (doc_id) join frequency using (term), corpus
 ), found as (
   select q.doc_id as query_id, d.doc_id, sum(d.units)::bigint as units
-  from posting q join part d using (term) where q.doc_id % 20 = 0 group by all
+  from posting q join part d using (term) where q.doc_id % 20 = 0 group by all having sum(d.units) > 0
 )
 select query_id, row_number() over (partition by query_id order by units desc, doc_id)::int as rank, doc_id, units / {UNIT}.0::double as score
 from found
