@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Lists of the paths made since each ``forgotten`` that is open.
+_OPEN: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders, wherever Spark finds them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+@contextmanager
+def forgotten(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end the scratch folders that were made within and are still in the list that it gives."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+        remove(spark, made)
 
 
 def kept(df: DataFrame) -> DataFrame:
