@@ -5,6 +5,7 @@ import functools
 import gzip
 import hashlib
 import json
+import os
 import random
 import re
 import struct
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import bpe, files, fingerprints, line_dedup, mixing, near_copies, queries, search, secret_scan, simhash, token_files, toxicity, warc
+from tidemark.llm import bpe, common, files, fingerprints, line_dedup, mixing, near_copies, queries, search, secret_scan, simhash, token_files, toxicity, warc
 from tidemark.llm.components import connected
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, sketch string, score int"
@@ -604,14 +605,104 @@ def test_top_k_of_nothing(spark, odd, none):
     assert search.bm25_top_k(odd, odd.where("doc_id % 20 = 0")).count() > 0
 
 
-def test_pipeline(spark):
+NAMES = ["doc_id", "source", "n_tokens", "round_trip"]
+
+
+def written(folder, docs, labels=None):
+    """A folder of tables for the pipeline."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = docs.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int") if labels is None else labels
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_the_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near copies", "mixing", "bpe"]
     own = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
         own = stage(spark, own, SMALL)
         assert own.columns == docs.columns
-    names = ["doc_id", "source", "n_tokens", "round_trip"]
-    by_hand = corpus_pipeline.STAGES[-1][1](spark, own, SMALL).select(*names).toPandas()
-    run = corpus_pipeline.run(spark, SMALL).select(*names).toPandas()
+    by_hand = corpus_pipeline.STAGES[-1][1](spark, own, SMALL).select(*NAMES).toPandas()
+    run = corpus_pipeline.run(spark, SMALL).select(*NAMES).toPandas()
     assert run.round_trip.all() and rows_of(run) == rows_of(by_hand)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Planted toxic texts, boilerplate, near copies and sources, worked out one by one on the driver."""
+    rng = random.Random(9)
+    toxic = {i: (t, y) for i, t, y in planted(rng, 400)}
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, (t, _) in toxic.items()]
+    for i in range(120):
+        words = [f"w{x}" for x in rng.sample(range(3000), 150)]
+        text = " ".join(words[:75]) + "\n" + " ".join(words[75:])
+        rows.append((1000 + 3 * i, f"cookies are good for you\n{text}", "en", f"s{i % 3}", 0))
+        if i % 4 == 0:
+            rows += [(1001 + 3 * i, text, "en", f"s{i % 3}", 0), (1002 + 3 * i, text.replace(f" {words[40]} ", " other "), "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 0, y) for i, (_, y) in toxic.items()], "doc_id long, quality int, toxic int")
+    found = corpus_pipeline.run(spark, written(tmp_path, docs, labels)).collect()
+
+    kept = {i: (t, s) for i, t, _, s, _ in rows if i >= 1000 or not toxic[i][1]}  # the grammar judges planted texts rightly
+    pages, on = {}, {}
+    for t, s in kept.values():
+        pages[s] = pages.get(s, 0) + 1
+        for line in set(t.split("\n")):
+            on[s, line] = on.get((s, line), 0) + 1
+    often = lambda s, line: line.strip() and on[s, line] >= 3 and on[s, line] / pages[s] > line_dedup.RATIO
+    cleaned = {i: ("\n".join(x for x in t.split("\n") if not often(s, x)), s) for i, (t, s) in kept.items()}
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, (t, _) in cleaned.items()}
+    gone = {i for i in cleaned for j in cleaned if j < i and len(sets[i] & sets[j]) >= 0.8 * (len(sets[i]) * len(sets[j])) ** 0.5}
+    left = {i: x for i, x in cleaned.items() if i not in gone}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", [(i, *x) for i, x in left.items()])
+    library = Tokenizer.from_file(PATH)
+    expected = []
+    for i, size, taken in con.execute(f"select doc_id, size, taken from ({mixing.SQL})").fetchall():
+        n = len(library.encode(left[i][0], add_special_tokens=False).ids)
+        expected += [(i, left[i][1], n, True)] * (taken // size)
+    assert len(gone) >= 60 and sorted(tuple(r[n] for n in NAMES) for r in found) == sorted(expected)
+
+
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+def test_pipeline_on_odd_tables(spark, tmp_path, rows):
+    docs = spark.createDataFrame([(*r, "clash", 7) for r in rows], DOCS)
+    found = corpus_pipeline.run(spark, written(tmp_path, docs)).select(*NAMES).collect()
+    assert all(r["round_trip"] for r in found) and {r["doc_id"] for r in found} <= {r[0] for r in rows}
+    assert bool(found) == bool(rows)
+    tokens = corpus_pipeline.to_tokens(spark, docs, str(tmp_path)).collect()
+    assert len(tokens) == len(rows) and all(r["round_trip"] for r in tokens)
+
+
+def test_scratch_folders_are_removed(spark, tmp_path):
+    from tidemark.sources import shared
+
+    kept, left = spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), []
+    before = set(os.listdir(kept))
+    out = common.settled(spark, lambda: common.stored(common.stored(spark.range(5), "a"), "b"), "c")
+    assert out.count() == 5
+    new = sorted(set(os.listdir(kept)) - before)
+    assert len(new) == 1 and new[0].startswith("tidemark-c-") and not shared._OPEN
+    shared.remove(spark, [f"file://{kept}/{new[0]}"])
+    assert set(os.listdir(kept)) == before
+
+
+def test_hosts(spark, monkeypatch):
+    rows = [("http://WWW.A.com/x?q=1", "head\none\nfoot"), ("https://a.com:80/y", "head\ntwo\nfoot"), ("http://u@a.com", "head\nthree"), ("http://b.org/", "head\nfour"), ("no url", "head\nfive"), (None, "head\nsix"), ("http://b.org/z", None)]
+    pages = spark.createDataFrame([(i, *r, "clash") for i, r in enumerate(rows)], "page_id long, url string, html string, host string")
+    for limit in line_dedup.BROADCAST_LINES, 0:  # broadcast, and joined beyond the bound
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", limit)
+        found = {r["page_id"]: r for r in line_dedup.site_pages(pages, least=2).collect()}
+        assert [found[i]["tidemark_host"] for i in range(7)] == ["a.com", "a.com", "a.com", "b.org", None, None, "b.org"]
+        assert [found[i]["html"] for i in range(7)] == ["one", "two", "three", "head\nfour", "five", "six", None]
+    real = line_dedup.site_pages(spark.read.parquet(f"{SMALL}/pages.parquet"))
+    assert real.where("tidemark_host is null").count() == 0 and real.count() == spark.read.parquet(f"{SMALL}/pages.parquet").count()
+
+
+def test_bpe_replaces_columns_of_its_names(spark):
+    docs = spark.createDataFrame([("a text", "x", 5)], "text string, ids string, decoded int")
+    row = bpe.encode_and_decode(docs, PATH).first()
+    assert row["decoded"] == "a text" == bpe.decode_bpe(bpe.encode_bpe(docs, PATH), PATH).first()["decoded"] and list(row["ids"]) == Tokenizer.from_file(PATH).encode("a text").ids
+    odd = spark.createDataFrame([([1, 2],), (None,), ([],)], "ids array<int>")
+    assert [r["decoded"] for r in bpe.decode_bpe(odd, PATH).collect()][1:] == ["", ""]

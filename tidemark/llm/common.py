@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.shared import scratch, shared_dir
+from tidemark.sources.shared import forgotten, scratch, shared_dir
 
 __all__ = ["scratch", "shared_dir"]
 
@@ -29,6 +29,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` returns, stored; all other folders that were made for it are removed."""
+    with forgotten(spark) as made:
+        out = stored(make(), label)
+        made.pop()  # the result itself
+    return out
+
+
 #: Rows that an executor's Python holds as objects at once.
 SLICE = 256
 

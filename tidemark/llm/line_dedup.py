@@ -24,6 +24,11 @@ RATIO, LEAST = 0.02, 3
 BROADCAST_LINES = 100_000
 
 
+def host_of(url: Column) -> Column:
+    """A URL's host in lower case, without a leading www; null where there is none."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -69,6 +74,12 @@ def site_lines(docs: DataFrame) -> DataFrame:
     return cleaned.select("doc_id", "text", F.col("tidemark_lines").alias("n_lines"), F.col("tidemark_dropped").alias("n_dropped"))
 
 
+def site_pages(pages: DataFrame, url: str = "url", html: str = "html", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+    """The pages with tidemark_host, the host of their URL, and their html without its boilerplate lines; pages without a host are one site."""
+    cleaned = drop_boilerplate(pages.withColumn("tidemark_host_of", host_of(F.col(url))), "tidemark_host_of", html, ratio, least)
+    return cleaned.select(*pages.columns, F.col("tidemark_host_of").alias("tidemark_host"), "tidemark_lines", "tidemark_dropped")
+
+
 SQL = rf"""
 with line as (
   select distinct doc_id, source, unnest(string_split(text, chr(10))) as line, row_no
