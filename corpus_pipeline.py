@@ -1,7 +1,12 @@
 """Documents to training tokens: the stages in order, each over all rows that its predecessor kept.
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents; ``run`` writes a
-stage's result in the shared folder and gives it to the next, so a lost executor repeats one stage at most.
+stage's result in the shared folder and gives it to the next, so a lost executor repeats one stage at most, and removes
+what earlier stages have left there.
+
+Edge cases: a null text counts as empty and passes all stages; a null id or source is a value like any other; rows that are
+equal in id and text are one after the near-copy stage; an empty table gives an empty result of the same columns; texts are
+used whole. The stages expect the columns of documents and read no others.
 """
 
 from __future__ import annotations
@@ -11,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, line_dedup, mixing, near_copies, toxicity
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import settled, table
+from tidemark.sources.shared import remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        remove(spark, before)
+        before = docs.inputFiles() and [docs.inputFiles()[0].rpartition("/")[0]]
     return STAGES[-1][1](spark, docs, sf_dir)
