@@ -270,6 +270,13 @@ def test_merged_sketches(spark, monkeypatch):
     own = spark.createDataFrame([(merged["k"], fingerprints.sketch(LONG).tolist())], "a array<bigint>, b array<bigint>")
     r = own.select(fingerprints.resemblance(F.col("a"), F.col("a")), fingerprints.containment(F.col("a"), F.col("b")), fingerprints.distinct_shingles(F.col("a"))).first()
     assert r[0] == 1 and r[1] == 0 and abs(r[2] - 2196) < 600
+    texts = ["", "a b", " ".join(f"w{i}" for i in range(90)), " ".join(f"w{i}" for i in range(500)), " ".join(f"w{i}" for i in range(300, 900))]
+    sketches = [fingerprints.sketch(t) for t in texts]
+    pairs = spark.createDataFrame([(i, j, a.tolist(), b.tolist()) for i, a in enumerate(sketches) for j, b in enumerate(sketches)], "i int, j int, a array<bigint>, b array<bigint>")
+    a, b = F.col("a"), F.col("b")
+    for r in pairs.select("i", "j", fingerprints.resemblance(a, b).alias("r"), fingerprints.containment(a, b).alias("c"), fingerprints.distinct_shingles(a).alias("n")).collect():
+        x, y = sketches[r["i"]], sketches[r["j"]]
+        assert r["r"] == pytest.approx(fingerprints.likeness(x, y)) and r["c"] == pytest.approx(fingerprints.contained(x, y)) and r["n"] == pytest.approx(fingerprints.counted(x))
 
 
 def brute_simhash(text):

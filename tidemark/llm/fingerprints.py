@@ -50,6 +50,19 @@ def likeness(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     return float(np.count_nonzero(both <= union[-1]) / len(union))
 
 
+def counted(a: np.ndarray, k: int = K) -> float:
+    """``distinct_shingles`` of one sketch."""
+    return float(len(a)) if len(a) < k else (k - 1) * float(2**63) / float(a[-1])
+
+
+def contained(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
+    """``containment`` of two sketches."""
+    if not len(a):
+        return 1.0
+    j = likeness(a, b, k)
+    return min(1.0, j * (counted(a, k) + counted(b, k)) / (1 + j) / counted(a, k))
+
+
 def with_sketch(docs: DataFrame, text_col: str = "text", sketch_col: str = "sketch", k: int = K, words: int = WORDS) -> DataFrame:
     """Adds ``sketch_col`` (array<bigint>)."""
     docs = docs.drop(sketch_col)
@@ -147,12 +160,15 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return dealt.repartitionById(parts + 1, "part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text")
 
 
-PAIRS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("sketch", pa.list_(pa.int64())), ("edited_sketch", pa.list_(pa.int64())), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("source", pa.string())])
-PAIRS_DDL = "doc_id bigint, n_chars bigint, edited_sha256 string, sketch array<bigint>, edited_sketch array<bigint>, near_edited double, near_next double, source string"
+PAIRS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("sketch", pa.list_(pa.int64())), ("edited_sketch", pa.list_(pa.int64())), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_shingles", pa.float64()), ("kept_in_edited", pa.float64()), ("source", pa.string())])
+PAIRS_DDL = "doc_id bigint, n_chars bigint, edited_sha256 string, sketch array<bigint>, edited_sketch array<bigint>, near_edited double, near_next double, n_shingles double, kept_in_edited double, source string"
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Every document's sketch, that of its text with the last third taken from the next document, and likenesses."""
+    """Every document's sketch, that of its text with the last third taken from the next document, and likenesses.
+
+    n_shingles: distinct shingles of the text; kept_in_edited: the share of them that the edited text has.
+    """
 
     def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows = None, []  # last: part, id, source, text, sketch
@@ -162,7 +178,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cut = len(before) // 3
             edited = before[: len(before) - cut] + text[:cut]
             other = sketch(edited)
-            rows.append((doc_id, len(before), hashlib.sha256(edited.encode("utf-8")).hexdigest(), sketched, other, likeness(sketched, other), likeness(sketched, own), source))
+            rows.append((doc_id, len(before), hashlib.sha256(edited.encode("utf-8")).hexdigest(), sketched, other, likeness(sketched, other), likeness(sketched, own), counted(sketched), contained(sketched, other), source))
 
         for batch in slices(batches):
             for part, halo, doc_id, source, text in zip(*(batch.column(c).to_pylist() for c in ("part", "halo", "doc_id", "source", "text"))):
@@ -186,16 +202,10 @@ def source_shingles(docs: DataFrame, source_col: str = "source", text_col: str =
 
 
 def fingerprint_digests(pairs: DataFrame) -> DataFrame:
-    """The pairs with sketches as strings (hexadecimal hashes, dot-separated), and what else sketches tell.
-
-    n_shingles: distinct shingles of the text; kept_in_edited: the share of them that the edited text has.
-    """
+    """The pairs with sketches as strings: hexadecimal hashes, dot-separated."""
     text = lambda c: F.array_join(F.transform(c, F.hex), ".")
-    rest = [c for c in pairs.columns if c not in PAIRS.names[:-1]]
-    return pairs.select(
-        "doc_id", "n_chars", "edited_sha256", text("sketch").alias("fingerprint"), text("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next",
-        distinct_shingles(F.col("sketch")).alias("n_shingles"), containment(F.col("sketch"), F.col("edited_sketch")).alias("kept_in_edited"), *rest,
-    )
+    rest = [c for c in pairs.columns if c not in ("sketch", "edited_sketch")]
+    return pairs.select(text("sketch").alias("fingerprint"), text("edited_sketch").alias("edited_fingerprint"), *rest)
 
 
 def documents_and_sources(docs: DataFrame) -> DataFrame:
