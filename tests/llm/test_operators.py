@@ -610,6 +610,8 @@ def test_weak_and_skips_documents(tmp_path):
 def test_top_k_of_nothing(spark, odd, none):
     assert search.bm25_top_k(none, none).count() == 0 and search.bm25_top_k(odd, none).count() == 0 and search.bm25_top_k(none, odd).count() == 0
     assert search.bm25_top_k(odd, odd.where("doc_id % 20 = 0")).count() > 0
+    strange = odd.limit(1).select(F.lit(5).cast("long").alias("doc_id"), F.lit("unheard of terms qqq").alias("text"))
+    assert search.bm25_top_k(odd, strange.withColumn("text", F.lit("qqq zzz"))).count() == 0 and search.bm25_top_k(odd, strange.withColumn("text", F.lit("qqq text"))).count() > 0
 
 
 NAMES = ["doc_id", "source", "n_tokens", "round_trip"]

@@ -325,9 +325,9 @@ def bm25_top_k(
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
-            files, path = opened(f"{folder}/queries-{row['block']:06d}.npz")
+            files, path = opened(f"{folder}/terms-{row['block']:06d}.npz")
             if not files.get_file_info(path).is_file:
-                continue
+                continue  # no query of the block has a term of any document
             terms, checks, idf = get(f"{folder}/terms-{row['block']:06d}.npz").values()
             order = np.lexsort((checks, terms))
             terms, checks, idf = terms[order], checks[order], idf[order]
