@@ -16,7 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session. Where it is unset and all runs on one machine a temporary folder; else SetupError."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise SetupError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", named)
