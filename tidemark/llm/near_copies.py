@@ -9,7 +9,7 @@ nearest anchor in each block and is replicated to the anchors within one bit mor
 at the limit meet in a block with a chance of ``MEET``, so the number of blocks follows from the links that may be missed (``MISS``, at the
 limit itself; of texts with a resemblance of 0.8, where a block's chance is 0.4, one in a thousand). Beyond ``AT_ANCHOR``
 texts an anchor, bits outside the blocks are appended to the code, with covering radius 0, and the blocks become
-more for it: comparisons for a text then grow with the number of blocks, about the fifth root of the table, not with the table.
+more for it: comparisons for a text then grow with the number of blocks, about the cube root of the table, not with the table.
 
 At an anchor homes are compared with homes and visitors, and each class is reported as a star around its least
 node, so the same class at many anchors gives the same links. An anchor of more than ``HOT`` homes is dealt into parts by node;
