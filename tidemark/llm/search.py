@@ -47,7 +47,7 @@ QUERIES, TOGETHER, BLOCK, IN_TURN = 16_384, 64, 4, 2
 #: Blocks of a query's first round; each round is twice the one before.
 FIRST = 32
 #: A list is long if it has one in so many documents; scores of long lists that a shard holds at most.
-LONG, LONG_SCORES = 16, 16_000_000
+LONG, LONG_SCORES = 8, 16_000_000
 NO_ID = -(2**63)
 
 
@@ -272,14 +272,14 @@ class Shard:
         threshold = known - slack
         pivots = np.flatnonzero(bound >= threshold)
         pivots = pivots[np.argsort(-bound[pivots], kind="stable")]
-        rows = self.long.reshape(self.blocks, -1)
         docs, scores, best = [np.empty(0, np.int64)], [np.empty(0)], np.empty(0)
         at, size = 0, FIRST
         while at < len(pivots) and bound[pivots[at]] >= threshold:
             some = pivots[at : at + size]
             some = some[bound[some] >= threshold]
             own = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = sums[own] + rows[some].reshape(len(own), -1) @ wanted
+            own = own[sums[own] + np.repeat(ceiling[some], BLOCK) >= threshold]
+            found = sums[own] + self.long[own] @ wanted
             docs.append(own)
             scores.append(found)
             best = np.concatenate([best, found])
