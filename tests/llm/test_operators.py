@@ -404,6 +404,8 @@ def test_near_copies(spark, odd, none):
             rows.append((i * 10 + k, " ".join(v)))
             truth[i * 10 + k] = i * 10
     assert near_roots(spark.createDataFrame(rows, "doc_id long, text string")) == truth
+    with pytest.raises(ValueError):
+        near_copies.near_classes(none, similarity=0.7)
     kept = near_copies.one_of_each(odd)
     assert kept.columns == odd.columns and near_copies.one_of_each(none).count() == 0
     assert sorted(r["doc_id"] for r in kept.where("text = 'same text here'").collect()) == [5]

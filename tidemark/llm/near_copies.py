@@ -13,8 +13,8 @@ more for it: comparisons for a text then grow with the number of blocks, about t
 
 At an anchor homes are compared with homes and visitors, and each class is reported as a star around its least
 node, so the same class at many anchors gives the same links. An anchor of more than ``HOT`` homes is dealt into parts by node;
-visitors go to all parts and a home visits the parts before its own, so all that meet in the whole meet in one part. What belongs
-to a class already is not compared with it again, so a large group of copies costs little more than its rows.
+visitors go to all parts and a home visits the parts before its own, so all that meet in the whole meet in one part; its rows are
+copied once for each part. What belongs to a class already is not compared with it again, so a large group of copies costs little more than its rows.
 
 Edge cases: a null text counts as empty; texts without words are alike, and a text of fewer words than a shingle is one
 shingle; a null id takes part and is the largest; rows equal in id and text are one; of each group the row with the smallest id
@@ -53,7 +53,12 @@ COUNTED = BITS.astype(np.float32)
 
 
 def blocks_for(rows: int, similarity: float = SIMILARITY) -> tuple[int, int]:
-    """The number of blocks, and of bits beside each, for a table of so many rows."""
+    """The number of blocks, and of bits beside each, for a table of so many rows.
+
+    ``MEET`` is the chance at ``SIMILARITY``; a higher similarity makes it higher, a lower one raises ValueError.
+    """
+    if similarity < SIMILARITY:
+        raise ValueError(f"blocks are counted for similarities of {SIMILARITY} or more")
     beside = min(64 - 2 * BLOCK, max(0, ceil(log2(max(1, rows) / (AT_ANCHOR * ANCHORS)))))
     met = MEET * (1 - acos(similarity) / pi) ** beside
     return min(2 * len(MIXES), ceil(log(MISS) / log(1 - met))), beside
@@ -62,7 +67,7 @@ def blocks_for(rows: int, similarity: float = SIMILARITY) -> tuple[int, int]:
 def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     """So many words of 64 bits; a bit is 1 if set in over half of a mix of the hashes. No hashes give zero."""
     n = len(hashes)
-    ones = np.zeros((8 * words, 8), np.float32)
+    ones = np.zeros((8 * words, 8))
     for at in range(0, n, 4096):
         x = hashes[at : at + 4096, None] * MIXES[:words]
         x = (x ^ x >> np.uint64(31)) * LAST_MIX
