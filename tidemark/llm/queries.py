@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprints, line_dedup, mixing, search, secret_scan, simhash, token_files, toxicity, warc
+from tidemark.llm import bpe, divergence, fingerprints, line_dedup, merkle, mixing, search, secret_scan, simhash, token_files, toxicity, warc
 from tidemark.llm.common import scratch, table, texts_of
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -62,6 +62,15 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25_top_k(docs, docs.where("doc_id % 20 = 0"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.tampered(docs))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -73,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
     "op10_top_k_search": op10_top_k_search,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE: dict[str, str] = {
@@ -80,4 +91,6 @@ ORACLE: dict[str, str] = {
     "op7_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
     "op10_top_k_search": search.top_k_sql(),
+    "op11_merkle_manifest": merkle.manifest_sql(),
+    "op13_source_divergence": divergence.SQL,
 }
