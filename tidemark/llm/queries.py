@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, divergence, fingerprints, line_dedup, merkle, mixing, search, secret_scan, simhash, token_files, toxicity, warc
+from tidemark.llm import bpe, divergence, fingerprints, line_dedup, merkle, mixing, search, secret_scan, sentence_pieces, simhash, token_files, toxicity, warc
 from tidemark.llm.common import scratch, table, texts_of
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, merkle.tampered(docs))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PIECE_BPE)
+    return sentence_pieces.piece_digests(sentence_pieces.encode_and_decode(texts_of(table(spark, sf_dir, "documents")), path))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
     "op10_top_k_search": op10_top_k_search,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sentencepiece": op12_sentencepiece,
     "op13_source_divergence": op13_source_divergence,
 }
 
