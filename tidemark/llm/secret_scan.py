@@ -18,6 +18,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,10 +41,11 @@ KINDS = (*BASE_KINDS, "pem", "signed", "key", "ssh", "nested")
 
 #: A line's end, also as written in JSON and source code.
 BREAK = r"(?:\r?\n|(?:\\r)?\\n)"
-PEM = re.compile(
-    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:\s|\\[rn])*((?:[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*" + BREAK + r"[ \t]*)*)"
-    r"((?:[A-Za-z0-9+/=\s]|\\[rn])+?)-----END \1-----"
-)
+#: Lines around a key; blocks are found by these first, and what stands between two of them is then read once.
+MARKER = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+LEAD = re.compile(r"(?:\s|\\[rn])*")
+HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*" + BREAK + r"[ \t]*")
+BODY = re.compile(r"(?:[A-Za-z0-9+/=\s]|\\[rn])+")
 #: The base64 of a JSON object begins with e and w or y.
 SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])(e[wy][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 #: The shortest base secret is an assignment of 12 characters ("token=abcdef"): 16 characters of base64, 24 of hex.
@@ -193,6 +195,38 @@ def is_pem_key(headers: str, body: str) -> bool:
     return is_der_key(data) or is_ssh_key(data)
 
 
+def pem_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Blocks whose body is a key. A block's markers follow one another, so blocks don't overlap and each is read once."""
+    begin = None
+    for m in MARKER.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin is not None:
+            first = at = LEAD.match(text, begin.end(), m.start()).end()
+            while header := HEADER.match(text, at, m.start()):
+                at = header.end()
+            if begin[2] == m[2] and BODY.fullmatch(text, at, m.start()) and is_pem_key(text[first:at], text[at : m.start()]):
+                yield begin.start(), m.end()
+            begin = None
+
+
+class Covered:
+    """Spans in order of their starts, and whether one of them has another span within."""
+
+    def __init__(self, spans: list[tuple[int, int]] = ()):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            self.add(a, b)
+
+    def add(self, start: int, end: int) -> None:
+        self.starts.append(start)
+        self.ends.append(max(end, self.ends[-1] if self.ends else 0))  # the furthest end so far
+
+    def has(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start)
+        return i > 0 and self.ends[i - 1] >= end
+
+
 def run_kind(run: str) -> str | None:
     """The kind of secret that a run of hex or base64 decodes to."""
     data = bytes.fromhex(run) if len(run) % 2 == 0 and HEX_RUN.fullmatch(run) else None
@@ -233,25 +267,22 @@ def confirmed_spans(text: str) -> list[Span]:
     """What decoding confirms."""
     found: list[Span] = []
     if "-----BEGIN" in text:
-        for m in PEM.finditer(text):
-            if is_pem_key(m[2], m[3]):
-                found.append(("pem", m.start(), m.end()))
+        found += [("pem", a, b) for a, b in pem_spans(text)]
     if "." in text:
         found += [("signed", m.start(), m.end()) for m in SIGNED.finditer(text) if is_signed_header(m[1])]
-    inside = lambda a, b: any((k in ("pem", "signed") or (s, e) in wraps) and s <= a and b <= e for k, s, e in found)
-    wraps: set[tuple[int, int]] = set()
     if not LONG_RUN.search(text):
         return found
+    known, wraps = Covered([(a, b) for _, a, b in found]), Covered()
     for m in WRAPPED.finditer(text):
         for lines in wrapped_lines(text, m):
             a, b = lines[0][0], lines[-1][1]
             b += len(PADDING.match(text, b)[0])
-            if not inside(a, b) and (kind := run_kind("".join(text[x:y] for x, y in lines))):
+            if not known.has(a, b) and not wraps.has(a, b) and (kind := run_kind("".join(text[x:y] for x, y in lines))):
                 found.append((kind, a, b))
-                wraps.add((a, b))
+                wraps.add(a, b)
     for m in CANDIDATE.finditer(text):
         for a in sorted({m.start(), after_break(text, m.start())}):
-            if not inside(a, m.end()) and (kind := run_kind(text[a : m.end()])):
+            if not known.has(a, m.end()) and not wraps.has(a, m.end()) and (kind := run_kind(text[a : m.end()])):
                 found.append((kind, a, m.end()))
                 break
     return found
