@@ -23,7 +23,9 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
@@ -42,6 +44,8 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nConte
 #: WARC 1.1's profile of a revisit whose payload is identical.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the name space of URLs
+#: Ids that fit a long.
+PAGE_ID = re.compile(r"-?[0-9]{1,18}|-?[1-8][0-9]{18}")
 #: Characters that stay as they are in a written URI.
 URI = "!#$%&'()*+,/:;=?@[]~"
 
@@ -184,6 +188,8 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             name, _, value = text.partition(":")
             name = name.strip().lower()
             head[name] = value.strip()
+        if not head.get("content-length", "").isdecimal():
+            raise ValueError("a record does not state its length")
         size = int(head["content-length"])
         block = stream.read(size)
         if len(block) != size:
@@ -191,9 +197,11 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, block
 
 
-#: A row a record. stated_digest is that of the headers; payload_digest bare if it is of SHA-256.
-RECORDS = "page_id bigint, url string, date string, record_id string, record_type string, payload_digest string, stated_digest string, refers_to_record string, payload binary, payload_bytes bigint"
+#: A row a record. stated_digest is that of the headers; payload_digest bare if it is of SHA-256; error says why an archive was read no further.
+RECORDS = "page_id bigint, url string, date string, record_id string, record_type string, payload_digest string, stated_digest string, refers_to_record string, payload binary, payload_bytes bigint, error string"
 KINDS = pa.schema([(c.split()[0], {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in RECORDS.split(", ")])
+#: The record type of the row that stands for the rest of an archive that can't be read.
+MALFORMED = "malformed"
 #: Record types that have a payload of their own.
 WITH_PAYLOAD = ("response", "resource", "conversion")
 
@@ -207,17 +215,26 @@ def as_row(head: dict[str, str], block: bytes, with_payload: bool) -> tuple:
         digest = hashlib.sha256(payload).hexdigest()
     elif stated:
         digest = stated.removeprefix("sha256:")
-    page, exact, uri = head.get("x-page-id"), head.get("x-target-text"), head.get("warc-target-uri")
-    url = json.loads(exact) if exact else uri and uri.removeprefix("<").removesuffix(">")
+    page, exact, uri = head.get("x-page-id", ""), head.get("x-target-text"), head.get("warc-target-uri")
+    url = uri and uri.removeprefix("<").removesuffix(">")
+    if exact:
+        try:
+            url = str(json.loads(exact))
+        except ValueError:  # a header of another writer
+            pass
     return (
-        int(page) if page else None, url, head.get("warc-date"), head.get("warc-record-id"), kind, digest, stated or digest and f"sha256:{digest}",
-        head.get("warc-refers-to"), payload if with_payload else None, None if payload is None else len(payload),
+        int(page) if PAGE_ID.fullmatch(page) else None, url, head.get("warc-date"), head.get("warc-record-id"), kind, digest, stated or digest and f"sha256:{digest}",
+        head.get("warc-refers-to"), payload if with_payload else None, None if payload is None else len(payload), None,
     )
 
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """A row a record of all archives (``*.warc``, ``*.warc.gz``) below a folder, whoever wrote them, as RECORDS says."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", "true").load(folder).select("path")
+    """A row a record of all archives (``*.warc``, ``*.warc.gz``) below a folder, whoever wrote them, as RECORDS says.
+
+    Where an archive is cut or a record malformed, one row of type ``MALFORMED`` with an ``error`` stands for what follows in that archive;
+    others are read on. Files that a lost attempt has left have other names and are not read.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").option("recursiveFileLookup", "true").load(folder).select("path")
     dealt = listed.repartitionByRange(max(1, listed.count()), "path")
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +249,16 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
             files, at = opened(path)
             with files.open_input_stream(at, compression=None) as raw:
                 with gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw) as stream:
-                    for head, block in records(stream):
-                        rows.append(as_row(head, block, with_payload))
+                    found = records(stream)
+                    while True:
+                        try:
+                            row = next(found, None)
+                        except (ValueError, EOFError, zlib.error, gzip.BadGzipFile) as wrong:
+                            rows.append((*[None] * 4, MALFORMED, *[None] * 5, f"{path}: {wrong}"))
+                            break
+                        if row is None:
+                            break
+                        rows.append(as_row(*row, with_payload))
                         if len(rows) == 256:
                             yield flushed()
         if rows:
@@ -244,10 +269,11 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
 
 def resolve_revisits(read: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the responses and revisits among records."""
-    heads = stored(read.where("record_type in ('response', 'revisit')").drop("payload"), "records")
+    heads = stored(read.where("record_type in ('response', 'revisit')").drop("payload", "error"), "records")
     responses = heads.where("record_type = 'response'")
-    of = [F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("of_bytes"), F.col("payload_digest").alias("of_digest")]
-    named = responses.select(F.col("record_id").alias("refers_to_record"), *of).dropDuplicates(["refers_to_record"])
+    # Of responses with one id the one with the least page_id is meant.
+    named = responses.groupBy(F.col("record_id").alias("refers_to_record")).agg(F.min(F.struct("page_id", "payload_bytes", "payload_digest")).alias("of"))
+    named = named.select("refers_to_record", *(F.col(f"of.{c}").alias(n) for c, n in (("page_id", "refers_to"), ("payload_bytes", "of_bytes"), ("payload_digest", "of_digest"))))
     by_digest = responses.groupBy("stated_digest").agg(F.min(F.struct("page_id", "payload_bytes", "payload_digest")).alias("of"))
     revisits = heads.where("record_type = 'revisit'")
     found = revisits.where("refers_to_record is not null").join(stored(named, "responses"), "refers_to_record", "left")
