@@ -124,7 +124,7 @@ def totals(docs: DataFrame, vectors: DataFrame) -> DataFrame:
 def share(count: Column, n: Column, v: Column) -> Column:
     """1 + floor(10^9 (count + 1) / (n + v)), exact for counts of any size."""
     over = (count + 1).cast("decimal(19,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    return F.lit(1) + F.call_function("div", over, (n + v).cast("decimal(19,0)"))
+    return F.lit(1) + F.call_function("div", over, n.cast("decimal(19,0)") + v.cast("decimal(19,0)"))
 
 
 def part_of(p: Column, q: Column) -> Column:
