@@ -13,6 +13,8 @@ from tidemark.errors import ResolveError
 from tidemark.functions.codec import Codec, EventType, key_of
 
 PROJECTION, SUBSCRIBE, PROCESS_SUBSCRIBER = "projection", "subscribe", "process-subscriber"
+#: Projections whose steps combine.
+COMPOSITION = "composition"
 
 
 class ResolveType(NamedTuple):
@@ -38,6 +40,15 @@ class Fold:
     kind: str = PROJECTION
 
 
+@dataclass(frozen=True)
+class Change:
+    """The change of a monoid (``functions.monoids``) that an event is; null is an error."""
+
+    decode: Codec
+    change: Callable[[Column], Column]
+    kind: str = COMPOSITION
+
+
 @dataclass(frozen=True)
 class Callback:
     """What a subscriber does with the rows of an event type, decoded as ``event``."""
@@ -104,10 +115,14 @@ def last_registered(registrations: DataFrame) -> DataFrame:
     return registrations.groupBy("event", "kind").agg(F.max_by("handler", "turn").alias("handler"))
 
 
+def of_kind(mapping: DataFrame, kind: str) -> DataFrame:
+    """event, handler of the pairs of a kind."""
+    return mapping.where(F.col("kind") == kind).select("event", "handler")
+
+
 def resolved(journal: DataFrame, mapping: DataFrame, kind: str) -> DataFrame:
     """The rows whose key has a handler of the kind, with it. A mapping has a row for each registered pair, so it is small."""
-    chosen = mapping.where(F.col("kind") == kind).select(F.col("event").alias("registry_key"), "handler")
-    return journal.join(chosen, "registry_key")
+    return journal.join(of_kind(mapping, kind).withColumnRenamed("event", "registry_key"), "registry_key")
 
 
 def unmapped(journal: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,9 +52,12 @@ def journal_dedup(journal: DataFrame) -> DataFrame:
     return kept.select(*(F.col(f"least.{c}").alias(c) if c in rest else F.col(c) for c in journal.columns))
 
 
-def fixture_dedup(journal: DataFrame) -> DataFrame:
-    """Without rows whose next row of the entity has the same sequence and bytes."""
-    w = W.partitionBy("id", "sequence_id").orderBy("created_at", "registry_key", "bytes")
+def fixture_dedup(journal: DataFrame, *with_: str) -> DataFrame:
+    """Without rows whose next row of the entity has the same sequence and bytes.
+
+    with_: columns that follow from id and sequence, by which the rows are partitioned already.
+    """
+    w = W.partitionBy("id", *with_, "sequence_id").orderBy("created_at", "registry_key", "bytes")
     marked = journal.withColumn("tidemark_next", F.lead("bytes").over(w)).withColumn("tidemark_last", F.lead(F.lit(1)).over(w).isNull())
     kept = marked.where(F.col("tidemark_last") | ~F.col("tidemark_next").eqNullSafe(F.col("bytes")))
     return kept.drop("tidemark_next", "tidemark_last")

@@ -7,7 +7,8 @@ is atomic: deciding and applying never interleave with another batch.
 Rules that look only at a command are column rules and need no Python; deciding alone (``handle``) may also look at
 the state before the batch. Rules that look at the state as it changes are a ``Behaviour``, which commands stream through
 entity by entity. An entity stops at poison (the command kind ``POISON``), when its behaviour asks for it, and, in a
-stream, when it was idle too long; what comes then is rejected until a command of kind ``SPAWN`` starts it again.
+stream, when it was idle too long; what comes then is rejected until a command of kind ``SPAWN`` starts it again. States carry
+``active``, so an entity that one batch stops stays stopped in the next; ``operators.status`` keeps them over batches.
 """
 
 from __future__ import annotations
@@ -17,13 +18,12 @@ from dataclasses import dataclass
 from itertools import chain, groupby
 from operator import itemgetter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.errors import AlreadyExist, InvalidCast, NotFound, StaleState
-from tidemark.operators.projection import in_batches, streamed
+from tidemark.operators.projection import mapped_rows
 
 POISON, SPAWN, STOPPED = "poison", "spawn", "stopped"
 
@@ -92,11 +92,19 @@ def to_journal(events: DataFrame, created_at: Column | None = None) -> DataFrame
 
 @dataclass
 class Context:
-    """What a behaviour can know of its process, and how it ends it. Other processes are looked up by joins (``found``)."""
+    """What a behaviour can know of its process and of the one that a command names, and how it ends its own."""
 
     id: str
     sequence: int
     active: bool = True
+    #: The process that the present command names, as it was before the batch: process_type and sequence, or None.
+    named: tuple[str, int] | None = None
+
+    def find(self, process_type: str) -> int | None:
+        """The sequence of the process that the command names, None if it doesn't run; one of another type raises InvalidCast."""
+        if self.named is not None and self.named[0] != process_type:
+            raise InvalidCast(f"it is a {self.named[0]}, not a {process_type}")
+        return None if self.named is None else self.named[1]
 
     def poison(self) -> None:
         """Stops the process after this command."""
@@ -132,7 +140,7 @@ class Behaviour:
         return state
 
 
-OUT = "id string, what string, arrival bigint, kind string, sequence_id bigint, event_key string, event_bytes binary, reason string, sequence bigint, state {state}"
+OUT = "id string, what string, arrival bigint, kind string, sequence_id bigint, event_key string, event_bytes binary, reason string, sequence bigint, active boolean, state {state}"
 OUT_KINDS = dict.fromkeys((c.split()[0] for c in OUT.split(", ")), "") | dict.fromkeys(("arrival", "sequence_id", "sequence"), "long")
 
 
@@ -141,14 +149,15 @@ def out_row(**known) -> tuple:
 
 
 def run_entity(behaviour: Behaviour, id: str, state, sequence: int, commands: Iterable[tuple], active: bool = True) -> Iterator[tuple]:
-    """The rows of OUT for one entity's commands (arrival, kind, bytes) in order: events, rejections, then the state.
+    """The rows of OUT for one entity's commands (arrival, kind, bytes, and the process that they name) in order: events, rejections, then the state.
 
     The last row's ``what`` is state, or stopped where the entity isn't active any more.
     """
     context = behaviour.context = Context(id, sequence, active)
     if active:
         state = behaviour.start(state)
-    for arrival, kind, body in commands:
+    for arrival, kind, body, *named in commands:
+        context.named = named[0] if named else None
         if not context.active:
             if kind == SPAWN:
                 context.active, state = True, behaviour.start(state)
@@ -171,45 +180,50 @@ def run_entity(behaviour: Behaviour, id: str, state, sequence: int, commands: It
                 context.sequence += 1
         if not context.active:
             state = behaviour.stop(state)
-    yield out_row(id=id, what="state" if context.active else STOPPED, sequence=context.sequence, state=state)
+    yield out_row(id=id, what="state" if context.active else STOPPED, sequence=context.sequence, active=context.active, state=state)
 
 
-def entrust(commands: DataFrame, states: DataFrame, behaviour: Behaviour, state: str) -> DataFrame:
+def entrust(commands: DataFrame, states: DataFrame, behaviour: Behaviour, state: str, running: DataFrame | None = None, names: Column | None = None) -> DataFrame:
     """Runs a behaviour over a batch: rows of events, rejections and the new states, told apart by ``what``.
 
-    states: id, state, sequence. state: the state's SQL type. Entities without commands keep their state. A task holds one
+    states: id, state, sequence and, if entities may be stopped, active. state: the state's SQL type. Entities without commands keep their state.
+    running and names: the processes (id, process_type, sequence) and the id that a command names, for ``Context.find``. A task holds one
     entity's state and streams its commands.
     """
     null = lambda kind: F.lit(None).cast(kind)
-    held = states.select("id", null("bigint").alias("arrival"), null("string").alias("kind"), null("binary").alias("bytes"), F.col("state").cast(state).alias("state"), F.col("sequence").cast("long").alias("sequence"), F.lit(0).alias("turn"))
-    sent = commands.select("id", "arrival", "kind", "bytes", null(state).alias("state"), null("bigint").alias("sequence"), F.lit(1).alias("turn"))
+    active = F.coalesce("active", F.lit(True)) if "active" in states.columns else F.lit(True)
+    held = states.select("id", null("bigint").alias("arrival"), null("string").alias("kind"), null("binary").alias("bytes"), F.col("state").cast(state).alias("state"), F.col("sequence").cast("long").alias("sequence"), active.alias("active"), null("string").alias("other_type"), null("long").alias("other_sequence"), F.lit(0).alias("turn"))
+    sent = commands.withColumns({"other_type": null("string"), "other_sequence": null("long")})
+    if running is not None and names is not None:
+        others = running.select(F.col("id").alias("tidemark_other"), F.col("process_type").alias("other_type"), F.col("sequence").cast("long").alias("other_sequence"))
+        sent = commands.withColumn("tidemark_other", names.cast("string")).join(others, "tidemark_other", "left")
+    sent = sent.select("id", "arrival", "kind", "bytes", null(state).alias("state"), null("bigint").alias("sequence"), null("boolean").alias("active"), "other_type", "other_sequence", F.lit(1).alias("turn"))
     ordered = held.unionByName(sent).repartition("id").sortWithinPartitions("id", "turn", "arrival", "kind", "bytes")
 
-    def entities(batches: Iterable[pd.DataFrame]) -> Iterator[tuple]:
-        for id, own in groupby(streamed(batches), itemgetter(0)):
+    def entities(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for id, own in groupby(rows, itemgetter(0)):
             first = next(own)
-            begun = first[6] == 0
-            now, at = (first[4], int(first[5])) if begun else (None, 0)
+            begun = first[9] == 0
+            now, at, on = (first[4], first[5], first[6]) if begun else (None, 0, True)
             rest = own if begun else chain([first], own)
-            yield from run_entity(behaviour, id, now, at, ((int(r[1]), r[2], r[3]) for r in rest))
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from in_batches(entities(batches), OUT_KINDS)
+            yield from run_entity(behaviour, id, now, at, ((r[1], r[2], r[3], None if r[7] is None else (r[7], r[8])) for r in rest), on)
 
-    return ordered.mapInPandas(run, OUT.format(state=state))
+    return mapped_rows(ordered, entities, OUT.format(state=state))
 
 
 def spawn(running: DataFrame, wanted: DataFrame, strict: bool = True) -> DataFrame:
     """``running`` (id, process_type, sequence, ...) with the wanted processes added.
 
     An id that runs already raises AlreadyExist (an action), or is left as it is if not strict; so is the same
-    id wanted twice.
+    id wanted twice, of which the first by type, then sequence counts.
     """
     if strict:
         taken = conflicts(running, wanted).select("id").limit(20).collect()
         if taken:
             raise AlreadyExist([r["id"] for r in taken])
-    fresh = wanted.join(running.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    order = [c for c in ("process_type", "sequence") if c in wanted.columns]
+    one = F.min(F.struct(*order, *(c for c in wanted.columns if c not in ("id", *order)))).alias("one")
+    fresh = wanted.join(running.select("id"), "id", "left_anti").groupBy("id").agg(one).select("id", "one.*")
     return running.unionByName(fresh)
 
 

@@ -6,7 +6,8 @@ sequence plus one where there are gaps. The next replay begins at that sequence,
 
 A column fold gathers an entity's events in a list of at most ``step`` of them: where an entity has more, its events are dealt into
 blocks that are folded one after the other, each from the state before. A fold in Python streams over an entity's events
-and holds one state.
+and holds one state. Steps that combine (``replay_composed``) need neither: segments of an entity's events are combined in parallel, then
+the segments, so an entity of any size takes one job.
 """
 
 from __future__ import annotations
@@ -16,25 +17,55 @@ from itertools import groupby
 from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.errors import ApplyEvent, EmptyJournal, FirstFormation, NotCompatible, ProjectionError
-from tidemark.operators.mapping import PROJECTION, Fold, Mapper, unmapped
+from tidemark.functions.monoids import Monoid
+from tidemark.operators.mapping import COMPOSITION, PROJECTION, Change, Fold, Mapper, unmapped
 from tidemark.operators.ordering import fixture_dedup, with_replay_position
-from tidemark.sources.shared import kept, scratch
+from tidemark.sources.shared import kept, remove, scratch
 
 FIRST, DECODE = "no state to begin with", "body can't be decoded"
 #: Events of an entity in one list.
 STEP = 100_000
+#: Events in a segment, and segments in one of the next level, where steps combine.
+SEGMENT = 4_096
+#: Event types that an error names.
+NAMED = 20
 #: Rows of a batch that a Python fold returns.
 ROWS = 5_000
 
 
-def streamed(batches: Iterable[pd.DataFrame]) -> Iterator[tuple]:
-    """The rows of a partition one by one."""
+def streamed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of a partition one by one, as Python values."""
     for batch in batches:
-        yield from batch.itertuples(index=False, name=None)
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def in_record_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of a bounded size."""
+    held: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
+
+
+def mapped_rows(df: DataFrame, make: Callable[[Iterator[tuple]], Iterable[tuple]], ddl: str) -> DataFrame:
+    """What ``make`` gives for each partition's rows, streamed through it."""
+    schema = df.sparkSession.createDataFrame([], ddl).schema
+    kinds = to_arrow_schema(schema)
+    return df.mapInArrow(lambda batches: in_record_batches(make(streamed(batches)), kinds), schema)
 
 
 def in_batches(rows: Iterable[tuple], columns: dict[str, str], size: int = ROWS) -> Iterator[pd.DataFrame]:
@@ -64,31 +95,45 @@ class Projector:
     def __init__(self, journal: DataFrame, mapper: Mapper, state: str, keep_duplicates: bool = False, by_id: bool = False):
         self.journal, self.state, self.keep_duplicates, self.by_id = journal, state, keep_duplicates, by_id
         self.handlers: dict[str, Fold] = mapper.of_kind(PROJECTION)
+        self.changes: dict[str, Change] = mapper.of_kind(COMPOSITION)
 
     def over(self, rows: DataFrame) -> Projector:
         """The same over some rows of the journal."""
         out = Projector(rows, Mapper(), self.state, self.keep_duplicates, self.by_id)
-        out.handlers = self.handlers
+        out.handlers, out.changes = self.handlers, self.changes
         return out
 
     def unmapped(self) -> DataFrame:
         """registry_key, n: event types without a handler."""
         return unmapped(self.journal, list(self.handlers))
 
-    def _rows(self, snapshot: DataFrame | None, on_unmapped: str, complete: bool = False) -> DataFrame:
+    def _since(self, snapshot: DataFrame | None, complete: bool) -> DataFrame:
+        """The journal's rows from the snapshot's least sequence on, if that is complete."""
         rows = self.journal.select("id", "sequence_id", "registry_key", "bytes", "created_at")
+        if snapshot is not None and complete:  # reaches the scan
+            least = snapshot.agg(F.min("sequence")).first()[0]
+            rows = rows.where(F.col("sequence_id") >= F.lit(least))
+        return rows
+
+    def _measured(self, rows: DataFrame, keys: list[str], on_unmapped: str) -> tuple[DataFrame, int, int]:
+        """The rows with a handler, the most rows of an entity and the largest sequence. One pass; strict raises NotCompatible."""
+        known = F.col("registry_key").isin(keys)
+        if on_unmapped != "error":
+            rows = rows.where(known)
+        by_id = rows.groupBy("id").agg(F.count("*").alias("n"), F.max("sequence_id").alias("last"), F.max(~known).alias("strange"))
+        n, last, strange = by_id.agg(F.max("n"), F.max("last"), F.max("strange")).first()
+        if strange:
+            raise NotCompatible([r["registry_key"] for r in unmapped(rows, keys).select("registry_key").orderBy("registry_key").limit(NAMED).collect()])
+        return rows, n or 0, last or 0
+
+    def _rows(self, snapshot: DataFrame | None, complete: bool = False) -> DataFrame:
+        rows = self._since(snapshot, complete)
         if snapshot is not None:
-            if complete:  # reaches the scan
-                least = snapshot.agg(F.min("sequence")).first()[0]
-                rows = rows.where(F.col("sequence_id") >= F.lit(least))
             since = snapshot.select("id", F.col("sequence").alias("since"))
             rows = rows.join(since, "id", "left").where("since is null or sequence_id >= since").drop("since")
-        if on_unmapped == "error":
-            missing = [r["registry_key"] for r in unmapped(rows, list(self.handlers)).select("registry_key").collect()]
-            if missing:
-                raise NotCompatible(missing)
-        else:
-            rows = rows.where(F.col("registry_key").isin(list(self.handlers)))
+        return rows
+
+    def _own(self, rows: DataFrame) -> DataFrame:
         rows = rows if self.by_id else rows.repartition("id")
         return rows if self.keep_duplicates else fixture_dedup(rows)
 
@@ -144,35 +189,95 @@ class Projector:
         handler in all rows to be read and raises NotCompatible (an action). An entity's fold stops at its first
         error; 'raise' raises it (an action, whose states are kept in the checkpoint folder), 'keep' returns it with the state before.
         """
-        own = self._rows(snapshot, on_unmapped, complete)
-        start = None
-        if snapshot is not None:
-            begun = F.struct(F.col("state").cast(self.state).alias("state"), F.col("sequence").cast("long").alias("sequence"), F.lit(None).cast("string").alias("error"))
-            start = snapshot.select("id", begun.alias("start"))
-        most = self.journal.groupBy("id").count().agg(F.max("count")).first()[0] or 0
+        rows, most, _ = self._measured(self._rows(snapshot, complete), list(self.handlers), on_unmapped)
+        own, start = self._own(rows), self._start(snapshot)
         if most <= step:
             folded = self._folded(*self._decoded(own), start, "full")
         else:
             folded = self._in_blocks(own, start, step)
         return self._checked(folded.select("id", "r.state", "r.sequence", "r.error"), on_error)
 
+    def _start(self, snapshot: DataFrame | None) -> DataFrame | None:
+        if snapshot is None:
+            return None
+        begun = F.struct(F.col("state").cast(self.state).alias("state"), F.col("sequence").cast("long").alias("sequence"), F.lit(None).cast("string").alias("error"))
+        return snapshot.select("id", begun.alias("start"))
+
     def _in_blocks(self, rows: DataFrame, start: DataFrame | None, step: int) -> DataFrame:
-        """Folds blocks of events one after the other; each block is read once, an entity's last state is its result."""
-        path = scratch(self.journal.sparkSession, "blocks")
+        """Folds blocks of events one after the other; each block is read once, an entity's last state is its result.
+
+        Each round's entities that have no more events go to one folder, which is read at the end; running ones are written for the next round.
+        """
+        spark = self.journal.sparkSession
+        path, ended = scratch(spark, "blocks"), scratch(spark, "ended")
         placed = with_replay_position(rows, "tidemark_at").withColumn("tidemark_block", F.floor(F.col("tidemark_at") / step).cast("int"))
         placed.drop("tidemark_at").write.partitionBy("tidemark_block").parquet(path)
-        blocks = self.journal.sparkSession.read.schema(placed.drop("tidemark_at").schema).parquet(path)
+        blocks = spark.read.schema(placed.drop("tidemark_at").schema).parquet(path)
         n = (blocks.agg(F.max("tidemark_block")).first()[0] or 0) + 1
-        now, done = start, []
+        now, before, kind = start, None, None
         for k in range(n):
             block, bodies = self._decoded(blocks.where(F.col("tidemark_block") == k).drop("tidemark_block"))
             if now is not None:
-                done.append(now.join(block.select("id").distinct(), "id", "left_anti").withColumnRenamed("start", "r"))
-            now = kept(self._folded(block, bodies, now, "left")).withColumnRenamed("r", "start")
-        out = now.withColumnRenamed("start", "r")
-        for earlier in done:
-            out = out.unionByName(earlier)
-        return out
+                now.join(block.select("id").distinct(), "id", "left_anti").withColumnRenamed("start", "r").write.mode("append").parquet(ended)
+            folded = self._folded(block, bodies, now, "left")
+            kind, written = folded.schema, scratch(spark, "running")
+            folded.write.parquet(written)
+            now = spark.read.schema(kind).parquet(written).withColumnRenamed("r", "start")
+            remove(spark, [before] if before else [])
+            before = written
+        now.withColumnRenamed("start", "r").write.mode("append").parquet(ended)
+        remove(spark, [before, path])
+        return spark.read.schema(kind).parquet(ended)
+
+    def replay_composed(self, monoid: Monoid, snapshot: DataFrame | None = None, on_unmapped: str = "error", on_error: str = "raise", segment: int = SEGMENT, complete: bool = False) -> DataFrame:
+        """``replay`` for handlers that are changes of a monoid, in one job whatever the size of an entity.
+
+        Rows are shuffled by entity and segment of sequences, so an entity with a third of all events is spread over tasks; each
+        segment becomes one change, and each ``segment`` of these one of the next level, up to one for an entity. A body that can't be decoded, or is no
+        change, stops its entity as an error does in ``replay``.
+        """
+        rows, _, last = self._measured(self._since(snapshot, complete), list(self.changes), on_unmapped)
+        part = F.floor(F.col("sequence_id") / segment)
+        rows = rows.withColumn("part", part).repartition("id", "part")
+        if snapshot is not None:
+            # Rows of the segment where an entity begins are compared with its sequence; earlier segments go as a whole, below.
+            begins = snapshot.select("id", F.floor(F.col("sequence") / segment).alias("part"), F.col("sequence").alias("since"))
+            rows = rows.join(begins, ["id", "part"], "left").where("since is null or sequence_id >= since").drop("since")
+        rows = rows if self.keep_duplicates else fixture_dedup(rows, "part")
+        change = F.lit(None).cast(monoid.kind)
+        for key, h in self.changes.items():
+            change = F.when(F.col("registry_key") == key, h.change(h.decode(F.col("bytes"))).cast(monoid.kind)).otherwise(change)
+
+        def made(c: Column, n: Column, error: Column) -> Column:
+            return F.struct(c.cast(monoid.kind).alias("change"), n.cast("long").alias("n"), error.cast("string").alias("error"))
+
+        def combined(a: Column, b: Column) -> Column:
+            later = made(monoid.combine(a["change"], b["change"]), a["n"] + b["n"], b["error"])
+            return F.when(a["error"].isNotNull(), a).otherwise(later)
+
+        none = made(monoid.none(), F.lit(0), F.lit(None))
+        one = F.when(F.col("made").isNull(), made(monoid.none(), F.lit(0), F.lit(DECODE))).otherwise(made(F.col("made"), F.lit(1), F.lit(None)))
+        ordered = rows.withColumn("made", change).select("id", "part", F.struct("sequence_id", "created_at", "registry_key", "bytes", one.alias("r")).alias("x"))
+        level = ordered.groupBy("id", "part").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+        level = level.select("id", "part", F.aggregate("xs", none, lambda acc, x: combined(acc, x["r"])).alias("r"))
+        if snapshot is not None:
+            level = level.join(snapshot.select("id", F.floor(F.col("sequence") / segment).alias("since")), "id", "left").where("since is null or part >= since").drop("since")
+        parts = last // segment + 1
+        while parts > 1:
+            parts = -(-parts // segment)
+            x = F.struct("part", "r")
+            up = F.floor(F.col("part") / segment).alias("part") if parts > 1 else F.lit(0).cast("long").alias("part")
+            level = level.select("id", up, x.alias("x")).groupBy("id", "part").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+            level = level.select("id", "part", F.aggregate("xs", none, lambda acc, x: combined(acc, x["r"])).alias("r"))
+        whole = level.select("id", "r")
+        state, since = F.lit(None).cast(self.state), F.lit(0).cast("long")
+        if snapshot is not None:
+            whole = whole.join(snapshot.select("id", F.col("state").cast(self.state).alias("begun"), F.col("sequence").cast("long").alias("since")), "id", "full")
+            state, since = F.col("begun"), F.coalesce("since", F.lit(0).cast("long"))
+        r = F.coalesce("r", none)
+        # An entity without events keeps its state, which may be null.
+        after = F.when(r["n"] == 0, state).otherwise(monoid.act(state, r["change"]).cast(self.state))
+        return self._checked(whole.select("id", after.alias("state"), (since + r["n"]).alias("sequence"), r["error"].alias("error")), on_error)
 
     @staticmethod
     def _checked(out: DataFrame, on_error: str) -> DataFrame:
@@ -217,7 +322,9 @@ class Projector:
         in order, entity by entity; it holds one state.
         """
         null = lambda kind: F.lit(None).cast(kind)
-        rows = self._rows(snapshot, on_unmapped, complete).withColumns({"state": null(state), "since": null("long")})
+        rows = self._rows(snapshot, complete)
+        rows = self._measured(rows, list(self.handlers), on_unmapped)[0] if on_unmapped == "error" else rows.where(F.col("registry_key").isin(list(self.handlers)))
+        rows = self._own(rows).withColumns({"state": null(state), "since": null("long")})
         if snapshot is not None:
             begun = snapshot.select("id", null("long").alias("sequence_id"), null("string").alias("registry_key"), null("binary").alias("bytes"), null("timestamp").alias("created_at"), F.col("state").cast(state).alias("state"), F.col("sequence").cast("long").alias("since"))
             rows = rows.unionByName(begun)
@@ -225,12 +332,12 @@ class Projector:
         rows = rows.select("id", "registry_key", "bytes", "since", "state", "sequence_id", "created_at")
         ordered = rows.repartition("id").sortWithinPartitions("id", F.col("sequence_id").asc_nulls_first(), "created_at", "registry_key", "bytes")
 
-        def states(batches: Iterable[pd.DataFrame]) -> Iterator[tuple]:
-            for id, own in groupby(streamed(batches), itemgetter(0)):
+        def states(rows: Iterator[tuple]) -> Iterator[tuple]:
+            for id, own in groupby(rows, itemgetter(0)):
                 now, at = None, 0
                 for _, key, body, since, begun, _, _ in own:
                     if key is None:
-                        now, at = begun, int(since)
+                        now, at = begun, since
                         continue
                     try:
                         now = step(now, key, body)
@@ -239,7 +346,4 @@ class Projector:
                     at += 1
                 yield id, now, at
 
-        def fold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield from in_batches(states(batches), {"id": "string", "state": "state", "sequence": "long"})
-
-        return ordered.mapInPandas(fold, f"id string, state {state}, sequence bigint")
+        return mapped_rows(ordered, states, f"id string, state {state}, sequence bigint")

@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions import codec, envelope
+from tidemark.functions import codec, envelope, monoids
 from tidemark.functions.codec import EventType
 from tidemark.operators import audit, mapping, ordering, process
-from tidemark.operators.mapping import Callback, Fold, Mapper, Reaction
+from tidemark.operators.mapping import Callback, Change, Fold, Mapper, Reaction
 from tidemark.operators.process import Behaviour, Rule
 from tidemark.operators.projection import Projector
+from tidemark.operators.status import Processes
 from tidemark.schema import as_journal
 from tidemark.sources.journal import Journal
+from tidemark.sources.shared import scratch
 from tidemark.streaming.stream import fanned_out, reacted, subscribed
 
 MONEY = "decimal(18,2)"
@@ -250,38 +252,38 @@ SQL["fixture_dedup"] = f"""with {J}, rows as (
 )
 select id, sequence_id, registry_key, body, created_at from marked where is_last or following is distinct from body"""
 
-#: A table of registrations, in order.
-REGISTERED = [("click", "projection", "Clicks", 1), ("click", "projection", "Visits", 2), ("purchase", "projection", "Sales", 3), ("purchase", "subscribe", "Mail", 4), ("view", "process-subscriber", "Visits", 5), ("click", "projection", "Clicks2", 6)]
-VALUES = "r(event, kind, handler, turn) as (values " + ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in REGISTERED) + ")"
+#: Every event as a registration of its type, in order of event_id.
+R = """r as (select event_type as event, case event_id % 3 when 0 then 'projection' when 1 then 'subscribe' else 'process-subscriber' end as kind,
+  'handler' || event_id % 7 as handler, event_id as turn from events)"""
 LAST = "last_one as (select event, kind, arg_max(handler, turn) as handler from r group by event, kind)"
 
 
-def registered(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REGISTERED, "event string, kind string, handler string, turn int")
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, n = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    kind = F.when(n % 3 == 0, "projection").when(n % 3 == 1, "subscribe").otherwise("process-subscriber")
+    return e.select(F.col("event_type").alias("event"), kind.alias("kind"), F.concat(F.lit("handler"), n % 7).alias("handler"), n.alias("turn"))
 
 
-@query(f"with {VALUES} select event || '-' || kind as shown, handler from r", False)
+@query(f"with {R} select event || '-' || kind as shown, handler, count(*) as n from r group by all", False)
 def resolve_type_display(spark, sf_dir):
-    return registered(spark).select(envelope.resolve_type(F.col("event"), F.col("kind")).alias("shown"), "handler")
+    r = registered(spark, sf_dir)
+    return r.groupBy(envelope.resolve_type(F.col("event"), F.col("kind")).alias("shown"), "handler").agg(F.count("*").alias("n"))
 
 
-@query(f"with {VALUES}, {LAST} select * from last_one", False)
+@query(f"with {R}, {LAST} select * from last_one", False)
 def mapper_last_wins(spark, sf_dir):
-    return mapping.last_registered(registered(spark))
+    return mapping.last_registered(registered(spark, sf_dir))
 
 
-@query(f", {VALUES}, {LAST} select id, sequence_id, registry_key, handler from j join last_one on event = registry_key and kind = 'projection'")
+@query(f", {R}, {LAST} select id, sequence_id, registry_key, handler from j join last_one on event = registry_key and kind = 'projection'")
 def mapper_find(spark, sf_dir):
-    last = mapping.last_registered(registered(spark))
+    last = mapping.last_registered(registered(spark, sf_dir))
     return mapping.resolved(events_journal(spark, sf_dir), last, "projection").select("id", "sequence_id", "registry_key", "handler")
 
 
-@query(f"with {VALUES}, {LAST} select event, kind as handler from last_one where kind = 'projection'", False)
+@query(f"with {R}, {LAST} select event, handler from last_one where kind = 'projection'", False)
 def mapper_filter(spark, sf_dir):
-    m = Mapper()
-    for event, kind, _, _ in REGISTERED:
-        m.register(event, Fold(amount, lambda s, e: e, kind=kind))
-    return m.filter(lambda t: t.handler == "projection").as_rows(spark)
+    return mapping.of_kind(mapping.last_registered(registered(spark, sf_dir)), "projection")
 
 
 FULL = f"select * from {BALANCE.format(where='true')}"
@@ -297,6 +299,28 @@ def replay_from_snapshot(spark, sf_dir):
     return balances(projector(spark, sf_dir).replay(snapshot(spark, sf_dir), complete=True))
 
 
+def composing(spark: SparkSession, sf_dir: str) -> Projector:
+    """The same balances by changes that combine: an amount is added, an error resets."""
+    m = Mapper()
+    for key in KEYS:
+        change = lambda e, key=key: F.when(e.isNotNull(), F.struct(F.struct(F.lit(key == "error").alias("reset"), (F.lit(0) if key == "error" else e).cast(MONEY).alias("add")).alias("balance"), F.lit(1).alias("events")))
+        m.register(key, Change(amount, change))
+    return Projector(at_rest(spark, sf_dir).rows(), m, STATE)
+
+
+BALANCES = monoids.together(balance=monoids.resetting(MONEY), events=monoids.adding("int"))
+
+
+@query(FULL)
+def replay_composed(spark, sf_dir):
+    return balances(composing(spark, sf_dir).replay_composed(BALANCES))
+
+
+@query(FULL)
+def replay_composed_from_snapshot(spark, sf_dir):
+    return balances(composing(spark, sf_dir).replay_composed(BALANCES, snapshot(spark, sf_dir), complete=True))
+
+
 @query("select id, cast(balance as double) as balance, sequence from " + BALANCE.format(where="true"))
 def replay_python(spark, sf_dir):
     """The same fold in Python, in whole cents."""
@@ -421,6 +445,55 @@ union all
 select id, 'state', null, null, null, null, null, sequence, balance from (select *, row_number() over (partition by id order by arrival desc) as back from run) where back = 1"""
 
 
+class Stopping(Covered):
+    """Every command but poison and spawn is accepted."""
+
+    def decide(self, state, kind, body):
+        return kind, body
+
+    def evolve(self, state, key, body):
+        return (state or 0) + self._cents(body)
+
+
+@query("")
+def process_status(spark, sf_dir):
+    """Two batches of commands: errors are poison, signups spawn. What the first batch stops, the second finds stopped."""
+    j = at_rest(spark, sf_dir).rows()
+    kind = F.when(F.col("registry_key") == "error", process.POISON).when(F.col("registry_key") == "signup", process.SPAWN).otherwise(F.col("registry_key"))
+    sent = j.select("id", F.col("sequence_id").alias("arrival"), kind.alias("kind"), "bytes")
+    kept = Processes(spark, scratch(spark, "processes"), Stopping(), "bigint")
+    parts = [kept.run(sent.where(F.col("arrival") < SNAP), 0), kept.run(sent.where(F.col("arrival") >= SNAP), 1)]
+    out = ["id", "what", "arrival", "kind", "sequence_id", "reason", "sequence", "active", F.col("state").alias("cents")]
+    made = [rows.select(F.lit(n).alias("batch"), *out) for n, rows in enumerate(parts)]
+    last = kept.states().withColumns({c: F.lit(None).cast(k) for c, k in (("arrival", "long"), ("kind", "string"), ("sequence_id", "long"), ("reason", "string"))})
+    return made[0].unionByName(made[1]).unionByName(last.select(F.lit(2).alias("batch"), "id", F.lit("last").alias("what"), *out[2:]))
+
+
+SQL["process_status"] = f"""with {J}, c as (
+  select id, sequence_id as arrival, case registry_key when 'error' then 'poison' when 'signup' then 'spawn' else registry_key end as kind,
+    cast(amount * 100 as bigint) as cents, sequence_id >= {SNAP} as later from j
+), seen as (
+  select *, coalesce(last_value(case when kind in ('poison', 'spawn') then kind end ignore nulls) over (partition by id order by arrival rows between unbounded preceding and 1 preceding), 'spawn') = 'spawn' as active from c
+), taken as (
+  select *, active and kind not in ('poison', 'spawn') as ok from seen
+), counted as (
+  select *, cast(coalesce(sum(case when ok then 1 else 0 end) over (partition by id order by arrival), 0) as bigint) as n,
+    cast(sum(case when ok then cents end) over (partition by id order by arrival) as bigint) as total from taken
+), ends as (
+  select id, later, arg_max(n, arrival) as n, arg_max(coalesce(total, -1), arrival) as total, arg_max(case when kind = 'poison' then false when kind = 'spawn' then true else active end, arrival) as active
+  from counted group by id, later
+), states as (
+  select id, later, n, case when total >= 0 then total end as total, active from ends
+)
+select cast(later as int) as batch, id, case when ok then 'event' else 'rejection' end as what, arrival, kind, case when ok then n - 1 end as sequence_id,
+  case when ok then null when active then 'running already' else 'stopped' end as reason, null as sequence, null as active, null as cents
+from counted where ok or (active and kind = 'spawn') or (not active and kind <> 'spawn')
+union all
+select cast(later as int), id, case when active then 'state' else 'stopped' end, null, null, null, null, n, active, total from states
+union all
+select 2, id, 'last', null, null, null, null, arg_max(n, later), arg_max(active, later), max(total) from states group by id"""
+
+
 @query(
     """select id, coalesce(count(*) filter (where registry_key = 'view'), 0) as views, count(*) filter (where registry_key = 'purchase') as sequence
     from j group by id"""
