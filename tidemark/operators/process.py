@@ -26,6 +26,8 @@ from tidemark.errors import AlreadyExist, InvalidCast, NotFound, StaleState
 from tidemark.operators.projection import mapped_rows
 
 POISON, SPAWN, STOPPED = "poison", "spawn", "stopped"
+#: The reason of a stop after idle time, and what stands among an entity's commands where it had been idle too long.
+IDLE, IDLED = "idle", object()
 
 
 @dataclass(frozen=True)
@@ -128,6 +130,10 @@ class Behaviour:
         """The state that an entity leaves when it is stopped."""
         return state
 
+    def begin(self, state, sequence: int, body: bytes) -> tuple:
+        """(state, sequence) that a spawn command starts an entity with; given are those that it ended with, None and 0 where it isn't known."""
+        return state, sequence
+
     def decide(self, state, kind: str, body: bytes) -> tuple[str, bytes] | str:
         """(event key, event bytes), or the reason to reject."""
         raise NotImplementedError
@@ -160,10 +166,16 @@ def run_entity(behaviour: Behaviour, id: str, state, sequence: int, commands: It
         context.named = named[0] if named else None
         if not context.active:
             if kind == SPAWN:
+                state, context.sequence = behaviour.begin(state, context.sequence, body)
                 context.active, state = True, behaviour.start(state)
-            else:
+            elif kind is not IDLED:
                 yield out_row(id=id, what="rejection", arrival=arrival, kind=kind, reason=STOPPED)
             continue
+        if kind is IDLED:
+            context.poison()
+            state = behaviour.stop(state)
+            yield out_row(id=id, what=STOPPED, reason=IDLE, sequence=context.sequence, active=False, state=state)
+            continue
         if kind == POISON:
             context.poison()
         elif kind == SPAWN:

@@ -126,8 +126,11 @@ class BatchLog:
         return self._reader(self.spark.read).parquet(self._folder(writer, number)).select(*self.names)
 
     def stream(self, files: int = 100) -> DataFrame:
-        """The same rows as a streaming DataFrame, files at a time."""
-        return self._reader(self.spark.readStream).option("maxFilesPerTrigger", files).parquet(self.path)
+        """The same rows as a streaming DataFrame, files at a time.
+
+        No file is too old to be read, whatever its time; Spark then remembers the names of all files of the log, some 200 bytes each.
+        """
+        return self._reader(self.spark.readStream).option("maxFilesPerTrigger", files).option("maxFileAge", "36500d").parquet(self.path)
 
 
 def after(offsets: dict[str, int]) -> Column:

@@ -1,6 +1,9 @@
 """Streaming operators with state for each entity, on ``transformWithStateInPandas``.
 
-They need the RocksDB state store: spark.sql.streaming.stateStore.providerClass.
+They need the RocksDB state store: spark.sql.streaming.stateStore.providerClass. Both can begin at states that a batch left (``initial``), and
+then go on as the batch would have. What a running stream knows of its entities is read from its state store (``running``).
+
+A group's rows of one micro-batch are sorted in a task, so a trigger's limits (files or offsets a batch) bound what a hot entity takes.
 """
 
 from __future__ import annotations
@@ -9,13 +12,29 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators.process import OUT, OUT_KINDS, STOPPED, Behaviour, out_row, run_entity
+from tidemark.operators.process import IDLE, IDLED, OUT, OUT_KINDS, STOPPED, Behaviour, out_row, run_entity
 from tidemark.operators.projection import in_batches
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What becomes of the state of an entity that has ended.
+KEEP, REMOVE = "keep", "remove"
+
+
+def held(initial: DataFrame, state: str, active: bool = False):
+    """States as groups for a processor to begin with; in a struct, so that whole numbers stay whole beside nulls."""
+    on = F.coalesce("active", F.lit(True)) if active and "active" in initial.columns else F.lit(True)
+    row = F.struct(F.col("state").cast(state).alias("state"), F.col("sequence").cast("long").alias("sequence"), on.alias("active"))
+    return initial.select("id", row.alias("held")).groupBy("id")
+
+
+def begun(initial: pd.DataFrame) -> tuple:
+    """(state, sequence, active) of one entity's row."""
+    row = initial["held"].iloc[0]
+    return tuple(row[c] for c in ("state", "sequence", "active"))
 
 
 class ReplayProcessor(StatefulProcessor):
@@ -36,6 +55,10 @@ class ReplayProcessor(StatefulProcessor):
         self.now = handle.getValueState("now", f"state {self.kind}, folded bigint, next bigint")
         self.waiting = handle.getMapState("waiting", "sequence_id bigint", "parts binary")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        state, sequence, _ = begun(initialState)
+        self.now.update((state, sequence, sequence))
+
     def _fold(self, state, folded: int, sequence: int):
         parts = sorted(pickle.loads(self.waiting.getValue((sequence,))[0]))
         self.waiting.removeKey((sequence,))
@@ -76,47 +99,100 @@ class ReplayProcessor(StatefulProcessor):
 class CommandProcessor(StatefulProcessor):
     """Runs a behaviour: events and rejections go out, state, sequence and whether the entity is active stay.
 
-    timeout (milliseconds): an entity that gets no command for so long is stopped; its row of that goes out.
+    timeout (milliseconds): an entity that gets no command for so long is stopped; its row of that goes out. Time is the clock's, or with
+    ``by_events`` that of the commands: then a longer gap between two commands stops an entity wherever it comes, in one micro-batch or over several, and
+    the watermark stops those after which nothing comes. ended: REMOVE deletes what the store has of a stopped entity; only a spawn command
+    starts such an entity, and one that was never there.
     """
 
-    def __init__(self, behaviour: Behaviour, state: str, timeout: int | None = None):
-        self.behaviour, self.kind, self.timeout = behaviour, state, timeout
+    def __init__(self, behaviour: Behaviour, state: str, timeout: int | None = None, by_events: bool = False, ended: str = KEEP):
+        self.behaviour, self.kind, self.timeout, self.by_events, self.ended = behaviour, state, timeout, by_events, ended
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", f"state {self.kind}, sequence bigint, active boolean, due bigint")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        state, sequence, active = begun(initialState)
+        if active or self.ended == KEEP:
+            self.now.update((state, sequence, active, None))
+
+    def _set(self, state, sequence: int, active: bool, due: int | None) -> None:
+        if active or self.ended == KEEP:
+            self.now.update((state, sequence, active, due))
+        elif self.now.exists():
+            self.now.clear()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, sequence, active, _ = self.now.get() if self.now.exists() else (None, 0, True, None)
-        batch = pd.concat(list(rows)).sort_values("arrival", kind="stable")
-        out = list(run_entity(self.behaviour, key[0], state, sequence, zip(batch["arrival"], batch["kind"], batch["bytes"]), active))
-        last = dict(zip(OUT_KINDS, out[-1]))
-        due = None if self.timeout is None else timerValues.getCurrentProcessingTimeInMs() + self.timeout
-        self.now.update((last["state"], last["sequence"], last["what"] != STOPPED, due))
-        if due is not None and last["what"] != STOPPED:
-            self.handle.registerTimer(due)
+        state, sequence, active, due = self.now.get() if self.now.exists() else (None, 0, self.ended == KEEP, None)
+        # In a batch's order: by arrival, then kind and body.
+        sent = sorted((int(a), k, bytes(b), int(t)) for part in rows for a, k, b, t in zip(part["arrival"], part["kind"], part["bytes"], part["tidemark_at"]))
+        last = [due]
+
+        def timed() -> Iterator[tuple]:
+            for arrival, kind, body, at in sent:
+                if self.by_events and self.timeout is not None:
+                    if last[0] is not None and at > last[0]:
+                        yield None, IDLED, None
+                    last[0] = at + self.timeout
+                yield arrival, kind, body
+
+        out = list(run_entity(self.behaviour, key[0], state, sequence, timed(), active))
+        end = dict(zip(OUT_KINDS, out[-1]))
+        if self.timeout is not None and not self.by_events:
+            last[0] = timerValues.getCurrentProcessingTimeInMs() + self.timeout
+        self._set(end["state"], end["sequence"], end["active"], last[0])
+        if self.timeout is not None and end["active"]:
+            self.handle.registerTimer(last[0] + self.by_events)  # a command that comes just in time is not late
         yield from in_batches(out, OUT_KINDS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.now.exists():
+            return
         state, sequence, active, due = self.now.get()
         if active and due is not None and expiredTimerInfo.getExpiryTimeInMs() >= due:  # no command came since the timer was set
             state = self.behaviour.stop(state)
-            self.now.update((state, sequence, False, None))
-            yield from in_batches([out_row(id=key[0], what=STOPPED, reason="idle", sequence=sequence, state=state)], OUT_KINDS)
+            self._set(state, sequence, False, None)
+            yield from in_batches([out_row(id=key[0], what=STOPPED, reason=IDLE, sequence=sequence, active=False, state=state)], OUT_KINDS)
 
     def close(self) -> None:
         pass
 
 
-def replay(events: DataFrame, step: Callable, state: str, patience: int | None = None) -> DataFrame:
-    """id, state, sequence after each batch, of a stream of journal rows; patience as in ReplayProcessor."""
+def replay(events: DataFrame, step: Callable, state: str, patience: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """id, state, sequence after each batch, of a stream of journal rows; patience as in ReplayProcessor.
+
+    initial: id, state, sequence (the first to read), such as a batch replay's result; entities without a row begin at 0.
+    """
     return events.groupBy("id").transformWithStateInPandas(
-        ReplayProcessor(step, state, patience=patience), f"id string, state {state}, sequence bigint", outputMode="Update", timeMode="None" if patience is None else "ProcessingTime"
-    )
+        ReplayProcessor(step, state, patience=patience), f"id string, state {state}, sequence bigint",
+        outputMode="Update", timeMode="None" if patience is None else "ProcessingTime", initialState=None if initial is None else held(initial, state),
+    )
+
+
+def process(commands: DataFrame, behaviour: Behaviour, state: str, timeout: int | None = None, initial: DataFrame | None = None, delay: str | None = None, ended: str = KEEP) -> DataFrame:
+    """The rows of ``operators.process.entrust`` for a stream of commands; timeout and ended as in CommandProcessor.
+
+    initial: id, state, sequence and perhaps active, such as ``Processes.states()``. delay: time is that of the commands' created_at, by how
+    much they may come late (an interval); later ones are left out.
+    """
+    if ended not in (KEEP, REMOVE):
+        raise ValueError("ended is keep or remove")
+    by_events = delay is not None
+    at = F.unix_millis(F.col("created_at").cast("timestamp")) if by_events else F.lit(0)
+    own = commands.withWatermark("created_at", delay) if by_events else commands
+    return own.withColumn("tidemark_at", at.cast("long")).groupBy("id").transformWithStateInPandas(
+        CommandProcessor(behaviour, state, timeout, by_events, ended), OUT.format(state=state), outputMode="Append",
+        timeMode="EventTime" if by_events else "None" if timeout is None else "ProcessingTime", initialState=None if initial is None else held(initial, state, True),
+    )
+
+
+def running(spark: SparkSession, checkpoint: str, process_type: str = "process", operator: int = 0) -> DataFrame:
+    """id, process_type, state, sequence of the entities that are active in a stream of commands, as of its last finished batch.
+
+    checkpoint: the stream's folder. The rows are what ``process.found`` and ``entrust`` look up; they are read from the state store beside the running stream.
+    """
+    own = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", "now").load(checkpoint)
+    return own.where("value.active").select(F.col("key.id").alias("id"), F.lit(process_type).alias("process_type"), "value.state", "value.sequence")
 
 
-def process(commands: DataFrame, behaviour: Behaviour, state: str, timeout: int | None = None) -> DataFrame:
-    """The rows of ``operators.process.entrust`` for a stream of commands; timeout as in CommandProcessor."""
-    return commands.groupBy("id").transformWithStateInPandas(
-        CommandProcessor(behaviour, state, timeout), OUT.format(state=state), outputMode="Append", timeMode="None" if timeout is None else "ProcessingTime"
-    )
