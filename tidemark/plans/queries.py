@@ -20,9 +20,11 @@ from tidemark.operators.process import Behaviour, Rule
 from tidemark.operators.projection import Projector
 from tidemark.operators.status import Processes
 from tidemark.schema import as_journal
+from tidemark.sources.batches import BatchLog
 from tidemark.sources.journal import Journal
 from tidemark.sources.shared import scratch
-from tidemark.streaming.stream import fanned_out, reacted, subscribed
+from tidemark.streaming import stateful
+from tidemark.streaming.stream import BEGINNING, EventStream, fanned_out, once_each, reacted, subscribed
 
 MONEY = "decimal(18,2)"
 STATE = f"struct<balance:{MONEY},events:int>"
@@ -557,6 +559,86 @@ def idle_timeout(spark, sf_dir):
     return process.idle_cutoff(events_journal(spark, sf_dir), "24 hours", ["sequence_id"]).select("id", "sequence_id", "registry_key")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str, run: Callable[[str], DataFrame], mode: str = "append") -> DataFrame:
+    """All rows that a stream puts out until it has taken what is there."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.STATE_STORE)
+    folder = scratch(spark, name)
+    rows = run(folder)
+    out = BatchLog(spark, f"{folder}/out", rows.schema)
+    query = rows.writeStream.outputMode(mode).foreachBatch(lambda batch, n: out.append(batch, n) and None).option("checkpointLocation", f"{folder}/progress")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return out.rows().select(*rows.columns)
+
+
+@query(SQL["idle_timeout"], False)
+def stream_idle_timeout(spark, sf_dir):
+    """The same by a stream of commands with the events' own times: a backlog that is played again is cut at the same gaps."""
+
+    def run(folder: str) -> DataFrame:
+        events = EventStream(spark, f"{folder}/events", f"{folder}/subscribers")
+        events.publish(events_journal(spark, sf_dir))
+        sent = events.source().select("id", F.col("sequence_id").alias("arrival"), F.col("registry_key").alias("kind"), "bytes", "created_at")
+        return stateful.process(sent, Stopping(), "bigint", timeout=24 * 3_600_000, delay="0 seconds")
+
+    out = streamed(spark, sf_dir, "idle", run).where("what = 'event'")
+    return out.select("id", F.col("arrival").alias("sequence_id"), F.col("kind").alias("registry_key"))
+
+
+@query(f"{ALL} where registry_key in ('purchase', 'signup')")
+def stream_once_each(spark, sf_dir):
+    """Every event is published twice, the second time a minute later; a subscriber gets it once."""
+    m = Mapper()
+    for key in ("purchase", "signup"):
+        m.register(key, Callback(amount, print))
+
+    def run(folder: str) -> DataFrame:
+        events, j = EventStream(spark, f"{folder}/events", f"{folder}/subscribers"), events_journal(spark, sf_dir)
+        events.publish(j)
+        events.publish(j.withColumn("created_at", F.col("created_at") + F.expr("interval 1 minute")))
+        return once_each(subscribed(events.source(), m), "3650 days")
+
+    # Which of the two comes first in a micro-batch is open, so the time is the original's in the result.
+    out = streamed(spark, sf_dir, "once", run)
+    return shown(out.drop("created_at").join(events_journal(spark, sf_dir).select("id", "sequence_id", "created_at"), ["id", "sequence_id"]))
+
+
+@query("select id, cast(balance as double) as balance, sequence from " + BALANCE.format(where="true"))
+def stream_from_snapshot(spark, sf_dir):
+    """A stream that begins at the states of a batch replay and folds what came since."""
+    import json
+
+    def step(state, key, body):
+        return 0 if key == "error" else (state or 0) + round(json.loads(body)["value"] * 100)
+
+    begun = projector(spark, sf_dir).until(SNAP - 1).replay_python(step, "bigint")
+
+    def run(folder: str) -> DataFrame:
+        events = EventStream(spark, f"{folder}/events", f"{folder}/subscribers")
+        events.publish(at_rest(spark, sf_dir).rows().where(F.col("sequence_id") >= SNAP))
+        return stateful.replay(events.source(), step, "bigint", initial=begun)
+
+    out = streamed(spark, sf_dir, "snapshot", run, "update").unionByName(begun)
+    last = out.groupBy("id").agg(F.max_by("state", "sequence").alias("state"), F.max("sequence").alias("sequence"))
+    return last.select("id", (F.col("state") / 100).alias("balance"), "sequence")
+
+
+@query("")
+def react_once(spark, sf_dir):
+    """Reactions of a stream to what is published in two batches, each published twice under its number."""
+    body = lambda k: F.when(k % 7 != 0, F.concat(F.lit("k="), k.cast("string")))
+    m = Mapper()
+    for event, command in (("purchase", "ship"), ("signup", "welcome")):
+        m.register(event, Reaction(k_of, lambda k: (k % 10).cast("string"), command, body))
+    folder, j = scratch(spark, "reactions"), events_journal(spark, sf_dir)
+    events = EventStream(spark, f"{folder}/events", f"{folder}/subscribers")
+    for n, part in ((0, j.where(F.col("sequence_id") < SNAP)), (1, j.where(F.col("sequence_id") >= SNAP))):
+        for _ in range(2):
+            events.publish(part, number=n, publisher="shop")
+    events.react("reactions", m, f"{folder}/commands", since=BEGINNING, once=True).awaitTermination()
+    out = events.commands(f"{folder}/commands").rows()
+    return out.select("id", "kind", codec.text_of(F.col("bytes")).alias("body"), "sequence_id", "registry_key")
+
+
 @query(
     """select id, sequence_id, registry_key from (
       select *, coalesce(sum(case when registry_key = 'error' then 1 else 0 end) over (partition by id order by sequence_id rows between unbounded preceding and 1 preceding), 0) as poisoned from j) where poisoned = 0"""
@@ -609,6 +691,9 @@ def event_to_command(spark, sf_dir):
     return out.select("id", "kind", codec.text_of(F.col("bytes")).alias("body"), "sequence_id", "registry_key")
 
 
+SQL["react_once"] = f"select * from ({SQL['event_to_command']}) where body is not null"
+
+
 GAPPY = "sequence_id % 5 <> 4 and sequence_id % 11 not in (2, 3)"
 
 
