@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import errors
@@ -165,6 +166,19 @@ def test_total_order(spark):
     assert ordering.with_total_position(rows.limit(0)).count() == 0
 
 
+def test_places_in_groups_of_any_size(spark):
+    """A hot group, ties, null groups and orders, and no rows: as a window numbers them."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, (F.col("id") % 50).cast("string")).alias("id"), F.expr("if(id % 11 = 0, null, hash(id) % 900)").alias("arrival"), F.col("id").alias("n"))
+    w = Window.partitionBy("id").orderBy("arrival", "n")
+    placed = ordering.with_place(rows, ["id"], ["arrival", "n"])
+    assert rows.withColumn("position", F.row_number().over(w) - 1).exceptAll(placed).count() == 0 and placed.count() == 4000
+    assert ordering.with_place(rows.limit(0), ["id"], ["arrival"]).count() == 0
+    events = rows.where("id is not null and arrival is not null").select("id", "arrival").distinct()
+    begun = spark.createDataFrame([("hot", 7)], "id string, sequence long")
+    one, parts = (process.sequenced(events, begun, in_one=n) for n in (10**6, 5))
+    assert one.exceptAll(parts.select(*one.columns)).count() == 0 and one.where("id = 'hot'").agg(F.min("sequence_id")).first()[0] == 7
+
+
 def test_a_journal_in_a_database(spark, tmp_path):
     """Derby comes with Spark: a round trip, keyed reads in the database, ranges of a whole read."""
     url, driver = f"jdbc:derby:{tmp_path}/derby;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
@@ -176,11 +190,14 @@ def test_a_journal_in_a_database(spark, tmp_path):
     assert store.rows().rdd.getNumPartitions() == 3
     same = lambda df: sorted((r["id"], r["sequence_id"], r["registry_key"], bytes(r["bytes"]), r["created_at"]) for r in df.collect())
     assert same(store.rows()) == same(rows)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     assert "EqualTo" in store.read_to("a", 2, 3)._jdf.queryExecution().executedPlan().toString() and store.read_to("a", 2, 3).count() == 2
     fold = Mapper().register("put", Fold(TEXT, lambda s, e: F.concat(s, e), lambda e: e))
     assert states(Projector(store.rows(), fold, "string").replay()) == {e: ("".join(f"{e}{i}" for i in range(6)), 6) for e in "ab"}
     with pytest.raises(errors.WriteError):
         Journal.to_jdbc(rows, "jdbc:none:", "events")
+    halves = Journal.from_jdbc(spark, url, "events", conditions=["mod(length(\"id\") + \"sequence_id\", 2) = 0", "mod(length(\"id\") + \"sequence_id\", 2) = 1"], **driver)
+    assert halves.rows().rdd.getNumPartitions() == 2 and same(halves.rows()) == same(rows)
 
 
 def test_the_shared_folder_must_be_named(spark):

@@ -23,20 +23,29 @@ def in_order(journal: DataFrame) -> DataFrame:
     return journal.orderBy(*TOTAL_ORDER)
 
 
-def with_total_position(journal: DataFrame, name: str = "position") -> DataFrame:
-    """Adds a row's number in the total order, from 1.
+def with_place(rows: DataFrame, by: list[str], order: list, name: str = "position") -> DataFrame:
+    """Adds a row's number from 0 in this order among the rows of its group, however large a group is.
 
-    Rows are range-partitioned by the order, so no sequence is one task's; the counts of partitions, a row each, are added up.
-    Rows equal in the order are told apart by type and body.
+    Rows are range-partitioned by group and order, so no group is one task's; each part numbers its own rows of a group, and the counts of parts, a row
+    for each part and group, are added up.
     """
-    order = [*TOTAL_ORDER, "registry_key", "bytes"]
-    ranged = kept(journal.repartitionByRange(*order).withColumn("tidemark_part", F.spark_partition_id()))
-    counts = ranged.groupBy("tidemark_part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("tidemark_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("tidemark_part", before.alias("tidemark_before"))
-    rank = F.row_number().over(W.partitionBy("tidemark_part").orderBy(*order))
-    placed = ranged.join(F.broadcast(counts), "tidemark_part").withColumn(name, (F.col("tidemark_before") + rank).cast("long"))
-    return placed.drop("tidemark_part", "tidemark_before")
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = kept(rows.repartitionByRange(*by, *columns).withColumn("tidemark_part", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "tidemark_part").agg(F.count("*").alias("n"))
+    parts = (W.partitionBy(*by) if by else W).orderBy("tidemark_part").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("tidemark_before")
+    rank = F.row_number().over(W.partitionBy(*by, "tidemark_part").orderBy(*columns)) - 1
+    placed = ranged.withColumn("tidemark_rank", rank)
+    keys = [*by, "tidemark_part"]
+    sums = counts.select(before, *(F.col(k).alias(f"tidemark_of_{k}") for k in keys))
+    both = placed.join(sums, [F.col(k).eqNullSafe(F.col(f"tidemark_of_{k}")) for k in keys])
+    return both.withColumn(name, (F.col("tidemark_before") + F.col("tidemark_rank")).cast("long")).select(*rows.columns, name)
+
+
+def with_total_position(journal: DataFrame, name: str = "position") -> DataFrame:
+    """Adds a row's number in the total order, from 1; rows equal in the order are told apart by type and body."""
+    placed = with_place(journal, [], [*TOTAL_ORDER, "registry_key", "bytes"], name)
+    return placed.withColumn(name, F.col(name) + 1)
 
 
 def with_replay_position(journal: DataFrame, name: str = "position") -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.errors import AlreadyExist, InvalidCast, NotFound, StaleState
+from tidemark.operators.ordering import with_place
 from tidemark.operators.projection import mapped_rows
 
 POISON, SPAWN, STOPPED = "poison", "spawn", "stopped"
@@ -60,14 +61,24 @@ def handle(commands: DataFrame, states: DataFrame, rules: dict[str, Rule]) -> Da
     return decided.select("id", "arrival", "kind", F.when(ok, key).alias("event_key"), F.when(ok, body).alias("event_bytes"), "reason")
 
 
-def sequenced(events: DataFrame, states: DataFrame | None = None, order: str = "arrival") -> DataFrame:
-    """Adds sequence_id: an entity's events from its state's sequence (0 without one) on, in order of arrival."""
-    rank = F.row_number().over(W.partitionBy("id").orderBy(order)) - 1
+#: Events of an entity that are ordered in one task; where an entity has more, all are placed by ranges.
+IN_ONE = 1_000_000
+
+
+def sequenced(events: DataFrame, states: DataFrame | None = None, order: str = "arrival", in_one: int = IN_ONE) -> DataFrame:
+    """Adds sequence_id: an entity's events from its state's sequence (0 without one) on, in order of arrival.
+
+    The events of entities are counted first (an action), so that an entity with a third of all events is not one task's.
+    """
+    most = events.groupBy("id").count().agg(F.max("count")).first()[0] or 0
+    if most > in_one:
+        out = with_place(events, ["id"], [order], "sequence_id")
+    else:
+        out = events.withColumn("sequence_id", (F.row_number().over(W.partitionBy("id").orderBy(order)) - 1).cast("long"))
     if states is None:
-        return events.withColumn("sequence_id", rank.cast("long"))
+        return out
     start = states.select("id", F.col("sequence").alias("tidemark_start"))
-    out = events.join(start, "id", "left").withColumn("sequence_id", (rank + F.coalesce("tidemark_start", F.lit(0))).cast("long"))
-    return out.drop("tidemark_start")
+    return out.join(start, "id", "left").withColumn("sequence_id", (F.col("sequence_id") + F.coalesce("tidemark_start", F.lit(0))).cast("long")).drop("tidemark_start")
 
 
 def entrust_rules(commands: DataFrame, states: DataFrame, rules: dict[str, Rule]) -> tuple[DataFrame, DataFrame]:

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidemark.errors import ApplyEvent, EmptyJournal, FirstFormation, NotCompatible, ProjectionError
 from tidemark.functions.monoids import Monoid
 from tidemark.operators.mapping import COMPOSITION, PROJECTION, Change, Fold, Mapper, unmapped
-from tidemark.operators.ordering import fixture_dedup, with_replay_position
+from tidemark.operators.ordering import REPLAY_ORDER, fixture_dedup, with_place
 from tidemark.sources.shared import kept, remove, scratch
 
 FIRST, DECODE = "no state to begin with", "body can't be decoded"
@@ -210,7 +210,7 @@ class Projector:
         """
         spark = self.journal.sparkSession
         path, ended = scratch(spark, "blocks"), scratch(spark, "ended")
-        placed = with_replay_position(rows, "tidemark_at").withColumn("tidemark_block", F.floor(F.col("tidemark_at") / step).cast("int"))
+        placed = with_place(rows, ["id"], [*REPLAY_ORDER, "registry_key", "bytes"], "tidemark_at").withColumn("tidemark_block", F.floor(F.col("tidemark_at") / step).cast("int"))
         placed.drop("tidemark_at").write.partitionBy("tidemark_block").parquet(path)
         blocks = spark.read.schema(placed.drop("tidemark_at").schema).parquet(path)
         n = (blocks.agg(F.max("tidemark_block")).first()[0] or 0) + 1

@@ -37,15 +37,18 @@ class Journal:
         return bool(self.buckets) and isinstance(self.source, str) and "/" not in self.source
 
     @classmethod
-    def from_jdbc(cls, spark: SparkSession, url: str, table: str, parts: int = 1, **options: str) -> Journal:
-        """A journal in a database, through Spark's own reader, which pushes keyed reads down. parts: whole reads go by so many ranges of sequence_id.
+    def from_jdbc(cls, spark: SparkSession, url: str, table: str, parts: int = 1, column: str = "sequence_id", conditions: list[str] | None = None, **options: str) -> Journal:
+        """A journal in a database, through Spark's own reader, which pushes keyed reads down. Column names may have any case.
 
-        Column names may have any case.
+        parts: whole reads go by so many ranges of a column of numbers. Every entity begins at sequence 0, so a column of row numbers, if there is
+        one, cuts more evenly. conditions: the parts instead, as SQL of the database that together hold for every row once, such as hashes of the id.
         """
         reader = lambda: spark.read.format("jdbc").options(url=url, **options)
         rows = reader().option("dbtable", table).load()
-        if parts > 1:
-            name = next(c for c in rows.columns if c.lower() == "sequence_id")
+        if conditions:
+            rows = spark.read.jdbc(url, table, predicates=conditions, properties=options)
+        elif parts > 1:
+            name = next(c for c in rows.columns if c.lower() == column.lower())
             quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(name)
             low, high = reader().option("query", f"select min({quoted}) as lo, max({quoted}) as hi from {table}").load().first()
             if low is not None:
