@@ -15,7 +15,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 from test_operators import DOCS, ODD
 
-from tidemark.llm import divergence, merkle, queries, secret_scan, sentence_pieces, warc
+from tidemark.llm import divergence, merkle, near_copies, queries, secret_scan, sentence_pieces, simhash, warc
 
 MODEL = public_tokenizers.path(queries.PIECE_BPE)
 
@@ -276,3 +276,40 @@ def test_equal_record_ids_resolve_alike(spark):
     for order in rows, rows[::-1]:
         [row] = warc.resolve_revisits(spark.createDataFrame(order, kinds)).where("record_type = 'revisit'").collect()
         assert (row["refers_to"], row["payload_bytes"], row["payload_digest"]) == (4, 1, "a")
+
+
+# Near copies by exact similarity
+
+
+def exact_pairs(rows, limit):
+    """(u, v) -> cosine of all pairs of different texts at the limit or more, by their sets of five-word shingles: a join on each set's rarest
+    shingles, of which such pairs share one, then the whole sets."""
+    of = {}
+    for doc, text in rows:
+        of.setdefault(text, doc)
+    texts = [t for t in of if len(simhash.combined_hashes(t, 5))]
+    sets = [np.unique(simhash.combined_hashes(t, 5)) for t in texts]
+    _, code, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owners, at = {}, 0
+    for i, own in enumerate(sets):
+        mine = code[at : at + len(own)]
+        at += len(own)
+        for c in mine[np.lexsort((mine, n[mine]))][: len(own) - int(np.ceil(limit**2 * len(own))) + 1].tolist():
+            owners.setdefault(c, []).append(i)
+    found = {}
+    for a, b in {(a, b) for some in owners.values() for k, a in enumerate(some) for b in some[k + 1 :]}:
+        cosine = len(np.intersect1d(sets[a], sets[b], assume_unique=True)) / np.sqrt(len(sets[a]) * len(sets[b]))
+        if cosine >= limit:
+            found[of[texts[a]], of[texts[b]]] = cosine
+    return found
+
+
+def test_near_copies_are_found_in_every_band_from_the_limit_on(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    pairs = exact_pairs([(r["doc_id"], r["text"] or "") for r in docs.collect()], near_copies.SIMILARITY)
+    of = {r["doc_id"]: r["c"] for r in near_copies.near_classes(docs).select("doc_id", F.col("component_id.doc_id").alias("c")).collect()}
+    together = np.array([(cosine, of[a] == of[b]) for (a, b), cosine in pairs.items()])
+    assert len(together) > 300
+    for low, high in (0.80, 0.825), (0.825, 0.85), (0.85, 0.9), (0.9, 1.01):
+        band = together[(together[:, 0] >= low) & (together[:, 0] < high), 1]
+        assert len(band) >= 20 and band.mean() >= 0.9, (low, band.mean(), len(band))

@@ -386,7 +386,7 @@ def test_near_copies_against_all_pairs(spark):
     found, links, lost = near_roots(docs), 0, 0
     assert len(found) == docs.count()
     for i in range(len(ids)):
-        for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]).sum(axis=1, dtype=np.uint16) <= int(64 * near_copies.COMPARED * np.arccos(0.8) / np.pi)):
+        for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]).sum(axis=1, dtype=np.uint16) <= near_copies.bits_for()):
             links, lost = links + 1, lost + (found[ids[i]] != found[ids[j]])
     assert links > 200 and lost <= near_copies.MISS * links
 

@@ -1,8 +1,9 @@
 """Near copies by SimHash: long fingerprints of five-word shingles, met at the anchors of covering codes.
 
 Similarity is the cosine of two texts' sets of shingles, which is what equal SimHash bits estimate: of bits that differ
-with share p it is cos(pi * p). Texts link if their fingerprints, compared on ``COMPARED`` words of 64 bits, put it at
-``similarity`` or more. Sets whose resemblance (Jaccard) is 0.8 have a cosine of 0.89.
+with share p it is cos(pi * p). Texts link if their fingerprints, compared on ``COMPARED`` words of 64 bits, differ in no more bits than the limit ``similarity``
+lets expect and ``LEAN`` standard deviations more, so that texts at the limit itself are linked with a chance of 0.9 and not of one half. Sets whose
+resemblance (Jaccard) is 0.8 have a cosine of 0.89.
 
 A fingerprint has several blocks of 23 bits, each with the perfect Golay code's words as anchors. Every fingerprint is at home at its
 nearest anchor in each block and is replicated to the anchors within one bit more, so within covering radius plus threshold 1. Two texts
@@ -24,7 +25,7 @@ stays; columns pass through unread and may have any names; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import acos, ceil, log, log2, pi
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from tidemark.llm.common import stored, strings, with_arrow_columns
 from tidemark.llm.simhash import BITS, BLOCK, LAST_MIX, combined_hashes, golay, least_of, visits
 
 WORDS, SIMILARITY = 5, 0.8
-#: Words of a fingerprint that are compared.
-COMPARED = 6
+#: Words of a fingerprint that are compared, and standard deviations by which more bits may differ than at the limit.
+COMPARED, LEAN = 6, 1.3
 #: The chance that two texts at the limit meet in a block, measured; and the share of such links that no block finds.
 MEET, MISS = 0.26, 0.02
 #: Mean texts at an anchor beyond which codes take more bits; anchors of a block.
@@ -64,6 +65,12 @@ def blocks_for(rows: int, similarity: float = SIMILARITY) -> tuple[int, int]:
     return min(2 * len(MIXES), ceil(log(MISS) / log(1 - met))), beside
 
 
+def bits_for(similarity: float = SIMILARITY) -> int:
+    """Bits by which linked fingerprints differ at most."""
+    n, p = 64 * COMPARED, acos(similarity) / pi
+    return int(n * p + LEAN * sqrt(n * p * (1 - p)))
+
+
 def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     """So many words of 64 bits; a bit is 1 if set in over half of a mix of the hashes. No hashes give zero."""
     n = len(hashes)
@@ -318,7 +325,7 @@ def near_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     n_blocks, asked = blocks_for(docs.count(), similarity)
     if beside is not None:
         n_blocks, asked = blocks_for(AT_ANCHOR * ANCHORS << beside, similarity)
-    bits = int(64 * COMPARED * acos(similarity) / pi)
+    bits = bits_for(similarity)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     own = own.withColumn("node", F.xxhash64("text"))
     rows = own.select("node", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h").alias("row"))
