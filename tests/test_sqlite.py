@@ -75,20 +75,20 @@ def test_a_replay_over_the_database_is_a_replay(spark, path):
 
 def test_a_stream_follows_appends_by_row_number(spark, path, tmp_path):
     sqlite.append(journal(spark, [("a", n, "put", str(n), n) for n in range(25)]), path)
-    sizes, seen = [], []
+    parts, seen = [], []
 
     def each(df, n):
-        rows = df.collect()
-        sizes.append(len(rows))
+        rows = df.select("sequence_id", F.spark_partition_id().alias("part")).collect()
+        parts.append(len({r["part"] for r in rows}))
         seen.extend(r["sequence_id"] for r in rows)
 
     def run():
-        q = sqlite.follow(spark, path, rows_per_batch=10).writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
+        q = sqlite.follow(spark, path, rows_per_part=10).writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
         q.processAllAvailable()
         q.stop()
 
     run()
-    assert sorted(seen) == list(range(25)) and max(sizes) <= 10
+    assert sorted(seen) == list(range(25)) and parts == [3]
     sqlite.append(journal(spark, [("a", n, "put", str(n), n) for n in range(20, 30)]), path)  # five are there already
     run()  # goes on where it ended
     assert sorted(seen) == list(range(30))

@@ -3,7 +3,7 @@
 Options: ``path`` (or ``load(path)``), a database file that all executors can open; ``table`` (journal); ``parts``, tasks of a whole read (8). Keyed reads
 reach the database: conditions on id, sequence_id and registry_key become its own, answered by the index of the primary
 key, and are taken off Spark's hands. Whole reads go by ranges of row numbers, which are dense whatever the entities are like. A stream follows
-appends by row number: what is in the table is delivered once, in parts of at most ``rows_per_batch`` rows.
+appends by row number: what is in the table is delivered once, by tasks of at most ``rows_per_part`` rows.
 
 Appending is idempotent: the primary key is a journal row's identity (id, sequence_id, created_at), and rows that are there are left
 alone, so a task that runs again adds nothing. A row whose body or type differs from one of the same identity is left out too.
@@ -63,7 +63,7 @@ class Source:
 
     def __init__(self, options):
         self.path, self.table = options.get("path"), options.get("table", "journal")
-        self.parts, self.most = int(options.get("parts", 8)), int(options.get("rows_per_batch", 100_000))
+        self.parts, self.most = int(options.get("parts", 8)), int(options.get("rows_per_part", 100_000))
         if not self.path:
             raise ReadError("a path is needed")
 
@@ -123,30 +123,24 @@ class Reader(ds.DataSourceReader):
 
 
 class StreamReader(ds.DataSourceStreamReader):
-    """Offsets are row numbers; a batch has at most ``rows_per_batch`` of them."""
+    """Offsets are row numbers. A batch takes what is there, by tasks of at most ``rows_per_part`` rows."""
 
     def __init__(self, source: Source):
-        self.source, self.at = source, None
+        self.source = source
 
     def initialOffset(self):
-        self.at = 0
         return {"n": 0}
 
     def latestOffset(self):
-        high = max(0, self.source.bounds()[1])
-        # A stream that is started again doesn't know its place before its first batch, which is not cut then.
-        return {"n": high if self.at is None else min(high, self.at + self.source.most)}
+        return {"n": max(0, self.source.bounds()[1])}
 
     def partitions(self, start, end):
-        self.at = end["n"]
-        return ranges(start["n"] + 1, end["n"], self.source.parts)
+        n = end["n"] - start["n"]
+        return ranges(start["n"] + 1, end["n"], -(-n // self.source.most))
 
     def read(self, partition):
         yield from self.source.rows(["n between ? and ?"], list(partition.value))
 
-    def commit(self, end):
-        self.at = end["n"]
-
 
 class Writer(ds.DataSourceArrowWriter):
     def __init__(self, source: Source, overwrite: bool):
@@ -194,9 +188,9 @@ def read(spark: SparkSession, path: str, table: str = "journal", parts: int = 8)
     return registered(spark).read.format(FORMAT).options(table=table, parts=parts).load(path)
 
 
-def follow(spark: SparkSession, path: str, table: str = "journal", rows_per_batch: int = 100_000) -> DataFrame:
+def follow(spark: SparkSession, path: str, table: str = "journal", rows_per_part: int = 100_000) -> DataFrame:
     """The same rows and what is appended as a stream."""
-    return registered(spark).readStream.format(FORMAT).options(table=table, rows_per_batch=rows_per_batch).load(path)
+    return registered(spark).readStream.format(FORMAT).options(table=table, rows_per_part=rows_per_part).load(path)
 
 
 def append(rows: DataFrame, path: str, table: str = "journal") -> None:
