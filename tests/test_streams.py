@@ -243,3 +243,52 @@ def test_a_subscription_starts_at_a_number_whatever_the_clocks_say(spark, tmp_pa
     given = Mapper().register("put", Callback(TEXT, lambda df: later.extend(r["event"] for r in df.collect())))
     stream.subscribe("given", given, since={"main": 1, "other": 0}, once=True).awaitTermination(60)
     assert sorted(later) == ["shop", "shop before"]
+
+
+# Processes that follow a stream
+
+
+def test_processes_follow_a_stream_and_publish_their_events_once(spark, tmp_path, monkeypatch):
+    """A micro-batch dies after it was written and comes again; so does a publication. In the end all is as in one batch."""
+    rnd = random.Random(8)
+    rows = [(rnd.choice("abcd"), n, *rnd.choice([("add", 5), ("add", -1), ("poison", 0), ("spawn", 0), ("add", 7)]), n) for n in range(40)]
+    source = stored(spark, f"{tmp_path}/s", rows[:15], rows[15:30], rows[30:])
+    kept = Processes(spark, f"file://{tmp_path}/p", Summing(), "bigint", "account")
+    run, died = kept.run, []
+
+    def dies(batch, number):
+        out = run(batch, number)
+        if number == 1 and not died:
+            died.append(number)
+            raise RuntimeError("the driver is lost")
+        return out
+
+    monkeypatch.setattr(kept, "run", dies)
+    with pytest.raises(Exception, match="lost"):
+        kept.follow(source, f"{tmp_path}/c", once=True).awaitTermination(60)
+    kept.follow(source, f"{tmp_path}/c", once=True).awaitTermination(60)
+    none = spark.createDataFrame([], "id string, state bigint, sequence bigint")
+    whole = process.entrust(sent(spark, *(r[:4] for r in rows)), none, Summing(), "bigint").collect()
+    assert died == [1] and kept.log.numbers() == [0, 1, 2]
+    assert lines(kept.log.rows().collect()) == lines(whole)
+    assert {r["id"]: (r["state"], r["sequence"], r["active"]) for r in kept.states().collect()} == ends(whole)
+
+    stream = EventStream(spark, f"{tmp_path}/events", f"{tmp_path}/progress")
+    stream.publish(journal(spark, [("other", 0, "k", "b", 0)]))
+    publish = stream.publish
+
+    def once(rows, number=None, publisher="main", wanted=False):
+        if number == 2:
+            raise RuntimeError("lost again")
+        return publish(rows, wanted, number, publisher)
+
+    monkeypatch.setattr(stream, "publish", once)
+    with pytest.raises(RuntimeError):
+        kept.publish(stream)
+    monkeypatch.setattr(stream, "publish", publish)
+    assert kept.publish(stream) == [2] and kept.publish(stream) == []
+    events = [r for r in whole if r["what"] == "event"]
+    assert sorted((r["id"], r["sequence_id"]) for r in stream.log.rows().where("writer = 'account'").collect()) == sorted((r["id"], r["sequence_id"]) for r in events)
+    first = min((r for r in events), key=lambda r: (r["id"], r["sequence_id"]))
+    assert bytes(kept.journal().read(first["id"], 0).first()["bytes"]) == bytes(first["event_bytes"])
+    assert kept.journal().rows().count() == len(events)

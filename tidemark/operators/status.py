@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.errors import AlreadyExist
 from tidemark.operators.process import OUT, STOPPED, Behaviour, conflicts, entrust
 from tidemark.sources.batches import BATCH, BatchLog
+from tidemark.sources.journal import Journal
+from tidemark.streaming.stream import EventStream
 
 STATES = ("state", STOPPED)
 
@@ -73,13 +76,39 @@ class Processes:
 
     def events(self, since: int = -1) -> DataFrame:
         """The journal rows of the batches after ``since``."""
-        rows = self.log.rows().where((F.col(BATCH) > since) & (F.col("what") == "event"))
-        return rows.select("id", "sequence_id", F.col("event_key").alias("registry_key"), F.col("event_bytes").alias("bytes"), "created_at")
+        return self._events(self.log.rows().where(F.col(BATCH) > since))
+
+    @staticmethod
+    def _events(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("what") == "event").select("id", "sequence_id", F.col("event_key").alias("registry_key"), F.col("event_bytes").alias("bytes"), "created_at")
 
     def rejections(self, since: int = -1) -> DataFrame:
         """id, arrival, kind, reason of the batches after ``since``."""
         return self.log.rows().where((F.col(BATCH) > since) & (F.col("what") == "rejection")).select("id", "arrival", "kind", "reason")
 
+    def journal(self) -> Journal:
+        """The events of all batches, for keyed reads and replays."""
+        return Journal(self.spark, self.events())
+
+    def publish(self, stream: EventStream) -> list[int]:
+        """Publishes the events of the batches that the stream doesn't have yet, under their numbers, which are returned.
+
+        The publisher is the process type. A program that was lost between a batch and its publication publishes it the next time, and none twice.
+        """
+        there = set(stream.log.numbers(self.process_type))
+        fresh = [n for n in self.log.numbers() if n not in there]
+        for n in fresh:
+            stream.publish(self._events(self.log.batch(n)), number=n, publisher=self.process_type)
+        return fresh
+
+    def follow(self, commands: DataFrame, progress: str, once: bool = False) -> StreamingQuery:
+        """Runs a stream of commands batch by batch; a micro-batch that comes again after a failure is not run twice.
+
+        The log's numbers are the stream's, so nothing else may run batches of this log. progress: the stream's checkpoint folder.
+        """
+        out = commands.writeStream.foreachBatch(lambda batch, number: self.run(batch, number) and None).option("checkpointLocation", progress)
+        return (out.trigger(availableNow=True) if once else out).start()
+
     def snapshot(self) -> int:
         """Writes all states as they are after the latest batch, whose number it returns."""
         last = self.log.last()
