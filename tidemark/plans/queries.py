@@ -560,14 +560,19 @@ def idle_timeout(spark, sf_dir):
 
 
 def streamed(spark: SparkSession, sf_dir: str, name: str, run: Callable[[str], DataFrame], mode: str = "append") -> DataFrame:
-    """All rows that a stream puts out until it has taken what is there."""
+    """All rows that a stream puts out until it has taken what is there. A store of state is opened for each partition, so there are two for each core at most."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.STATE_STORE)
-    folder = scratch(spark, name)
-    rows = run(folder)
-    out = BatchLog(spark, f"{folder}/out", rows.schema)
-    query = rows.writeStream.outputMode(mode).foreachBatch(lambda batch, n: out.append(batch, n) and None).option("checkpointLocation", f"{folder}/progress")
-    query.trigger(availableNow=True).start().awaitTermination()
-    return out.rows().select(*rows.columns)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        folder = scratch(spark, name)
+        rows = run(folder)
+        out = BatchLog(spark, f"{folder}/out", rows.schema)
+        query = rows.writeStream.outputMode(mode).foreachBatch(lambda batch, n: out.append(batch, n) and None).option("checkpointLocation", f"{folder}/progress")
+        query.trigger(availableNow=True).start().awaitTermination()
+        return out.rows().select(*rows.columns)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
 
 
 @query(SQL["idle_timeout"], False)
