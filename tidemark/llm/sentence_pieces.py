@@ -18,6 +18,7 @@ outside the vocabulary, or a model with other settings than ``SETTINGS``, raises
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import lru_cache
 
 import ahocorasick
@@ -80,9 +81,11 @@ class Pieces:
         self.by_words = not any(p.rpartition(SPACE)[0].strip(SPACE) for p in longer)
         self.words_of = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.merges: dict[int, tuple[list, list, list] | None] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: defaultdict[int, dict[int, bool]] = defaultdict(dict)
+        self.n_pairs = 0
         self.parts = PieceTable(lambda x: packed(self.part(x)), WORDS // 8)
-        self.words = PieceTable(lambda x: b"".join(map(self.parts.__getitem__, self.parts_of(SPACE + x))), WORDS)
+        self.whole = regex.compile(f"[{inside}]+").fullmatch if inside else lambda x: None
+        self.words = PieceTable(self._word, WORDS)
         surface = model.trainer_spec.unk_surface
         shown = {NORMAL: lambda p: p.replace(SPACE, " ").encode(), UNKNOWN: lambda p: surface.encode(), CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p[3:5], 16)])}
         token = [shown[k](p) for k, p in zip(kinds, self.name)]
@@ -115,10 +118,13 @@ class Pieces:
         return self.merges[token]
 
     def compatible(self, a: int, b: int) -> bool:
-        """Also kept in the table of pairs."""
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        known = self.pairs[a << 21 | b] = self._keeps_apart(a, b)
+        """Also kept in the table of pairs, which has a row for each first token."""
+        if self.n_pairs >= PAIRS:
+            for row in self.pairs.values():
+                row.clear()  # rows may be in use
+            self.n_pairs = 0
+        self.n_pairs += 1
+        known = self.pairs[a][b] = self._keeps_apart(a, b)
         return known
 
     def _keeps_apart(self, a: int, b: int) -> bool:
@@ -147,19 +153,21 @@ class Pieces:
         if known is not None and self.merged(known) is not None:
             return [known]
         last, start, settled, pairs = [-1] * (n + 1), [0] * (n + 1), 0, self.pairs
+        rows: list = [None] * (n + 1)  # of the pair table, for each place's last token
         for at, (token, size) in self.automaton.iter(text):
             end = at + 1
             if end == settled:
                 continue
             before = end - size
             if before:
-                a = last[before]
-                if a < 0:  # no piece ends there that fits, so the character before it is none
-                    a = last[before] = self.size + ord(text[before - 1])
-                    start[before] = before - 1
-                fits = pairs.get(a << 21 | token)
+                row = rows[before]
+                if row is None:
+                    if last[before] < 0:  # no piece ends there that fits, so the character before it is none
+                        last[before], start[before] = self.size + ord(text[before - 1]), before - 1
+                    row = rows[before] = pairs[last[before]]
+                fits = row.get(token)
                 if fits is None:
-                    fits = self.compatible(a, token)
+                    fits = self.compatible(last[before], token)
             else:
                 fits = self.merged(token) is not None
             if fits:
@@ -175,6 +183,11 @@ class Pieces:
                 n -= 1
         return out[::-1]
 
+    def _word(self, word: str) -> bytes:
+        """The ids of what stands between two spaces, with the first of these."""
+        text = SPACE + word
+        return packed(self.part(text)) if self.whole(text) else b"".join(map(self.parts.__getitem__, self.parts_of(text)))
+
     def encode(self, text: str) -> bytes:
         """The ids of a text, without the end id, as little-endian unsigned 32-bit integers."""
         if not text:
