@@ -30,6 +30,8 @@ K, WORDS = 128, 5
 HELD = 20_000
 #: Documents of a part, and keys in a broadcast table of estimates (100 bytes each).
 PART_ROWS, BROADCAST_KEYS = 50_000, 50_000
+#: Ids of the sample that parts are cut at, for each part and at most; 8 bytes each. There are no more parts than the largest sample gives.
+SAMPLED, MOST_SAMPLED = 100, 4_000_000
 
 
 def sketch(text: str, k: int = K, words: int = WORDS) -> np.ndarray:
@@ -126,17 +128,33 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), common / distinct_shingles(a, k)))
 
 
+def cut_ids(ids: DataFrame, least: int, part_rows: int = PART_ROWS, most: int = MOST_SAMPLED) -> np.ndarray:
+    """Ids, ascending, that cut a table into parts of about ``part_rows`` rows, ``least`` parts at least; the last is the largest id.
+
+    They come from a sample whose size is bounded, so neither a task nor the driver holds more than ``most`` of them; the result of what uses them
+    does not depend on where the cuts are.
+    """
+    n, largest = ids.agg(F.count("doc_id"), F.max("doc_id")).first()
+    if largest is None:
+        return np.empty(0, np.int64)
+    parts = min(max(least, n // part_rows), max(1, most // SAMPLED))
+    wanted = min(n, SAMPLED * parts)
+    sample = ids.where(F.col("doc_id").isNotNull()).sample(wanted / n, seed=7) if wanted < n else ids.where(F.col("doc_id").isNotNull())
+    some = np.sort(sample.toPandas()["doc_id"].to_numpy(np.int64))
+    cuts = some[np.arange(1, parts) * len(some) // parts] if len(some) else some
+    return np.unique(np.concatenate([cuts, [largest]]))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """part, halo, doc_id, source, text in sorted partitions: descending doc_id, each part followed by the document after it.
 
-    Ids are cut into ranges at some of the ids themselves. The largest id of a range is also sent, as a halo,
+    Ids are cut into ranges at some of the ids themselves, of a bounded sample. The largest id of a range is also sent, as a halo,
     to the end of the range above it, and the largest of all to the end of the lowest; so each task finds the
     document after each of its own without a window over the table. Every text is shuffled once.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.count() // PART_ROWS)
-    cuts = own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts), F.max("doc_id")).first()
-    bounds = np.array(sorted({*(cuts[0] or []), *([] if cuts[1] is None else [cuts[1]])}), np.int64)
+    bounds = cut_ids(own.select("doc_id"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, len(bounds))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
