@@ -81,7 +81,19 @@ def test_two_that_append_at_a_time_get_two_numbers(spark, log, monkeypatch):
     monkeypatch.setattr(log, "last", lambda writer="main": -1)
     assert [log.append(rows), log.append(rows)] == [1, 2] and log.rows().count() == 3
     monkeypatch.setattr(log, "has", lambda *a: False)
-    assert log.append(rows.union(rows), 1) == 1 and log.rows().count() == 3  # another attempt was faster
+    assert log.append(rows.union(rows), 1) == 1 and not log.put(rows, 1) and log.rows().count() == 3  # another attempt was faster
+    assert log.put(rows, 3) and log.rows().count() == 4
+
+
+def test_forgotten_batches_stay_taken(spark, log):
+    rows = spark.createDataFrame([("a", 1)], "id string, n bigint")
+    for _ in range(4):
+        log.append(rows)
+    log.append(rows, 9, "other")
+    assert log.forget(1) == [0, 1] and log.numbers() == [2, 3] and log.rows().count() == 3
+    assert log.has(0) and log.append(rows, 1) == 1 and log.rows().count() == 3 and log.last() == 3
+    assert log.forget(1) == [] and log.forget(7) == [2, 3] and log.last() == 3 and log.append(rows) == 4
+    assert log.forget(9, "other") == [9] and log.offsets() == {"main": 4, "other": 9} and log.rows().count() == 1
 
 
 # Processes over batches
@@ -111,6 +123,23 @@ def test_a_batch_that_runs_again_is_not_run_twice(spark, kept):
     assert [(r["state"], r["sequence"]) for r in kept.states().collect()] == [(5, 1)]
 
 
+def test_two_programs_do_not_overwrite_each_other(spark, kept, tmp_path, monkeypatch):
+    """While one decides, the other adds a batch: the first decides again, from what the other left."""
+    kept.run(sent(spark, ("a", 1, "add", 5)))
+    other = Processes(spark, f"file://{tmp_path}/p", Summing(), "bigint")
+    states_, meanwhile = kept.states, [("a", 2, "add", 10)]
+
+    def slow(upto=None):
+        found = states_(upto)
+        if meanwhile:
+            other.run(sent(spark, meanwhile.pop()))
+        return found
+
+    monkeypatch.setattr(kept, "states", slow)
+    assert ("a", "event", 3, None, 2, None, None, None) in shown(kept.run(sent(spark, ("a", 3, "add", 1))))
+    assert [(r["state"], r["sequence"]) for r in states_().collect()] == [(16, 3)] and kept.log.numbers() == [0, 1, 2]
+
+
 def test_batches_are_one_batch(spark, tmp_path):
     """Cut anywhere, with snapshots between, they end in the states and give the events of all commands in one."""
     rnd = random.Random(2)
@@ -133,6 +162,19 @@ def test_batches_are_one_batch(spark, tmp_path):
         assert "batch#" in plan and kept.snapshots.numbers()[-1] == kept.log.last()
 
 
+def test_batches_go_when_a_snapshot_has_their_states(spark, kept):
+    for n, rows in enumerate(([("a", 1, "add", 5), ("b", 1, "add", 7)], [("a", 2, "add", 5), ("c", 1, "poison", 0)], [("b", 2, "add", 1)])):
+        kept.run(sent(spark, *rows))
+        if n == 1:
+            assert kept.snapshot() == 1
+    before = sorted(map(tuple, kept.states().collect()))
+    with pytest.raises(ValueError):
+        kept.forget(2)
+    assert kept.forget(1) == [0, 1] and kept.log.numbers() == [2]
+    assert sorted(map(tuple, kept.states().collect())) == before and kept.events().count() == 1
+    assert ("c", "rejection", 2, "stopped", None, None, None, None) in shown(kept.run(sent(spark, ("c", 2, "add", 1)))) and kept.log.last() == 3
+
+
 def test_processes_are_spawned_and_found(spark, kept):
     wanted = spark.createDataFrame([("a", 10, 4), ("b", 20, 0)], "id string, state bigint, sequence bigint")
     kept.spawn(wanted)

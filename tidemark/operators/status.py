@@ -49,12 +49,16 @@ class Processes:
         """Runs a batch of commands and returns what it made, in the columns of OUT.
 
         number: the batch's number where whoever asks may ask again, such as a stream's; a batch that is there is returned as it is.
-        running and names as in ``entrust``.
+        Without one the batch follows the latest; if another program adds one meanwhile, the batch is decided again from the states that
+        that one left. running and names as in ``entrust``.
         """
-        if number is None or not self.log.has(number):
-            own = self.states().join(commands.select("id").distinct(), "id", "left_semi")
-            out = entrust(commands, own, self.behaviour, self.state, running, names)
-            number = self.log.append(out.withColumn("created_at", F.current_timestamp()), number)
+        while number is None or not self.log.has(number):
+            last = self.log.last()
+            own = self.states(last).join(commands.select("id").distinct(), "id", "left_semi")
+            out = entrust(commands, own, self.behaviour, self.state, running, names).withColumn("created_at", F.current_timestamp())
+            at = last + 1 if number is None else number
+            if self.log.put(out, at):
+                number = at
         return self.log.batch(number).drop("created_at")
 
     def spawn(self, wanted: DataFrame, strict: bool = True) -> int:
@@ -62,17 +66,20 @@ class Processes:
 
         An id that runs, or is wanted twice, raises AlreadyExist, or if not strict keeps running, or begins with the least sequence, then state.
         """
+        last = self.log.last()
         if strict:
-            taken = conflicts(self.running(), wanted).limit(20).collect()
+            taken = conflicts(self.running(last), wanted).limit(20).collect()
             if taken:
                 raise AlreadyExist([r["id"] for r in taken])
         state = F.col("state") if "state" in wanted.columns else F.lit(None)
         sequence = F.col("sequence") if "sequence" in wanted.columns else F.lit(0)
         begun = wanted.select("id", sequence.cast("long").alias("sequence"), state.cast(self.state).alias("state"))
-        one = begun.groupBy("id").agg(F.min(F.struct("sequence", "state")).alias("one")).join(self.running().select("id"), "id", "left_anti")
+        one = begun.groupBy("id").agg(F.min(F.struct("sequence", "state")).alias("one")).join(self.running(last).select("id"), "id", "left_anti")
         null = {f.name: F.lit(None).cast(f.dataType) for f in self.made if f.name not in ("id", "what", "sequence", "state", "active", "created_at")}
         rows = one.select("id", F.lit("state").alias("what"), "one.sequence", "one.state", F.lit(True).alias("active"), F.current_timestamp().alias("created_at")).withColumns(null)
-        return self.log.append(rows)
+        if not self.log.put(rows, last + 1):  # others were faster: what they did counts
+            return self.spawn(wanted, strict)
+        return last + 1
 
     def events(self, since: int = -1) -> DataFrame:
         """The journal rows of the batches after ``since``."""
@@ -109,6 +116,12 @@ class Processes:
         out = commands.writeStream.foreachBatch(lambda batch, number: self.run(batch, number) and None).option("checkpointLocation", progress)
         return (out.trigger(availableNow=True) if once else out).start()
 
+    def forget(self, upto: int) -> list[int]:
+        """Deletes batches up to a number, with their events and rejections, and returns theirs. A snapshot must have their states."""
+        if self.snapshots.last() < upto:
+            raise ValueError(f"there is no snapshot after batch {upto}")
+        return self.log.forget(upto)
+
     def snapshot(self) -> int:
         """Writes all states as they are after the latest batch, whose number it returns."""
         last = self.log.last()

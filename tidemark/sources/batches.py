@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from tidemark.errors import WriteError
 
 WRITER, BATCH = "writer", "batch"
+#: A folder that readers don't see and whose name has the largest number whose batches are deleted.
+FORGOTTEN = ".forgotten"
 MAIN = "main"
 
 
@@ -66,34 +68,66 @@ class BatchLog:
         return f"{self.path}/{WRITER}={writer}/{BATCH}={number}"
 
     def has(self, number: int, writer: str = MAIN) -> bool:
+        """Whether the writer's batch is there, or was and is forgotten."""
         files, at = self._at(self._folder(writer, number))
-        return files.exists(at)
+        return files.exists(at) or number <= self._listed(writer)[1]
 
     def last(self, writer: str = MAIN) -> int:
         """The number of the writer's latest batch, -1 before the first."""
-        return max(self.numbers(writer), default=-1)
+        there, forgotten = self._listed(writer)
+        return max(there, default=forgotten)
+
+    def _listed(self, writer: str) -> tuple[list[int], int]:
+        """The numbers that are there, ascending, and the largest that is forgotten."""
+        files, at = self._at(f"{self.path}/{WRITER}={writer}")
+        names = [b.getPath().getName().partition("=") for b in files.listStatus(at)] if files.exists(at) else []
+        of = lambda kind: sorted(int(n) for k, _, n in names if k == kind)
+        return of(BATCH), max(of(FORGOTTEN), default=-1)
 
     def numbers(self, writer: str = MAIN) -> list[int]:
         """The numbers of a writer's batches, ascending."""
-        files, at = self._at(f"{self.path}/{WRITER}={writer}")
-        names = [b.getPath().getName() for b in files.listStatus(at)] if files.exists(at) else []
-        return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{BATCH}="))
+        return self._listed(writer)[0]
 
     def offsets(self) -> dict[str, int]:
         """Every writer's latest number."""
         files, top = self._at(self.path)
         writers = [n.partition("=")[2] for w in files.listStatus(top) if (n := w.getPath().getName()).startswith(f"{WRITER}=")]
-        return {w: own[-1] for w in writers if (own := self.numbers(w))}
+        return {w: n for w in writers if (n := self.last(w)) >= 0}
+
+    def forget(self, upto: int, writer: str = MAIN) -> list[int]:
+        """Deletes a writer's batches up to a number and returns theirs. They stay taken: a batch of such a number isn't written again.
+
+        Who hasn't read them can't any more. What fails halfway is done by asking again.
+        """
+        there, before = self._listed(writer)
+        gone = [n for n in there if n <= upto]
+        if gone and upto > before:
+            self._made(f"{self.path}/{WRITER}={writer}/{FORGOTTEN}={min(upto, there[-1])}")
+        for n in gone:
+            self._removed(self._folder(writer, n))
+        return gone
+
+    def put(self, rows: DataFrame, number: int, writer: str = MAIN) -> bool:
+        """Adds a batch of this number; False, and the log as it is, where the number is taken.
+
+        What fails raises WriteError and leaves nothing that a reader sees.
+        """
+        return not self.has(number, writer) and self._written(rows, number, writer, False) == number
 
     def append(self, rows: DataFrame, number: int | None = None, writer: str = MAIN) -> int:
         """Adds a batch and returns its number; without one it gets the writer's next.
 
         A number that is there already leaves the log as it is. What fails raises WriteError and leaves nothing that a reader sees.
         """
+        if number is not None:
+            self.put(rows, number, writer)
+            return number
+        return self._written(rows, self.last(writer) + 1, writer, True)
+
+    def _written(self, rows: DataFrame, at: int, writer: str, go_on: bool) -> int | None:
+        """Writes a batch under a number, or the next one that is free; None if it is taken and it can't go on."""
         if not writer.replace("-", "").replace("_", "").replace(".", "").isalnum():
             raise ValueError(f"{writer!r} is no name of a writer")
-        if number is not None and self.has(number, writer):
-            return number
         staged = f"{self.path}/.staged-{uuid.uuid4().hex}"
         out = rows.select(*self.names).write
         try:
@@ -102,11 +136,10 @@ class BatchLog:
             self._removed(staged)
             raise WriteError(f"a batch could not be written: {cause}") from cause
         self._made(f"{self.path}/{WRITER}={writer}")
-        at = self.last(writer) + 1 if number is None else number
         while not self._renamed(staged, self._folder(writer, at)):
-            if number is not None:  # another attempt was faster
+            if not go_on:  # another was faster
                 self._removed(staged)
-                break
+                return None
             at += 1
         return at
 

@@ -126,7 +126,9 @@ class CommandProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state, sequence, active, due = self.now.get() if self.now.exists() else (None, 0, self.ended == KEEP, None)
         # In a batch's order: by arrival, then kind and body.
-        sent = sorted((int(a), k, bytes(b), int(t)) for part in rows for a, k, b, t in zip(part["arrival"], part["kind"], part["bytes"], part["tidemark_at"]))
+        whole = lambda b: bytes(b) if isinstance(b, (bytes, bytearray, memoryview)) else None
+        sent = [(int(a), k, whole(b), int(t)) for part in rows for a, k, b, t in zip(part["arrival"], part["kind"], part["bytes"], part["tidemark_at"])]
+        sent.sort(key=lambda c: (c[0], c[1], c[2] is not None, c[2] or b""))
         last = [due]
 
         def timed() -> Iterator[tuple]:

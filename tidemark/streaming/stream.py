@@ -64,6 +64,10 @@ class EventStream:
         except WriteError as cause:
             raise WriteError(f"publishing failed: {cause}") from cause
 
+    def expire(self, upto: int, publisher: str = MAIN) -> list[int]:
+        """Deletes a publisher's batches up to a number and returns theirs; subscribers that haven't had them won't."""
+        return self.log.forget(upto, publisher)
+
     def source(self) -> DataFrame:
         """All events as a streaming DataFrame."""
         return self.log.stream(self.files).select(*JOURNAL.names)
