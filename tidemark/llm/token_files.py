@@ -17,6 +17,7 @@ and reads back empty; texts of any length are encoded whole.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from struct import pack
 
@@ -81,12 +82,12 @@ class Part:
 
     def __init__(self, folder: str, number: int, kind: str, first: tuple):
         self.stem, self.number, self.kind, self.first = f"{folder}/{number:010d}", number, kind, first
-        self.ends, self.docs = [0], []
+        self.ends, self.docs = array("q", [0]), array("q")  # 8 bytes a document each
         self.entered = replaced(f"{self.stem}.ids")
         self.out = self.entered.__enter__()
 
     def add(self, doc: int, blob: bytes) -> None:
-        self.docs.append(doc)
+        self.docs.append(int(doc))
         self.ends.append(self.ends[-1] + len(blob) // 4)
         self.out.write(np.frombuffer(blob, "<u4").astype(self.kind).tobytes())
 
@@ -94,7 +95,7 @@ class Part:
         self.entered.__exit__(None, None, None)
         for name, numbers in (("offsets", self.ends), ("docs", self.docs)):
             with replaced(f"{self.stem}.{name}") as out:
-                out.write(np.array(numbers, "<i8").tobytes())
+                out.write(np.frombuffer(numbers, np.int64).astype("<i8").tobytes())
         row = {"part": [self.number], "first_id": [self.first[0]], "first_tie": [self.first[1]], "n_docs": [len(self.docs)], "n_ids": [self.ends[-1]]}
         return pa.RecordBatch.from_pydict(row, PARTS)
 
