@@ -15,7 +15,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 from test_operators import DOCS, ODD
 
-from tidemark.llm import divergence, merkle, near_copies, queries, secret_scan, sentence_pieces, simhash, warc
+from tidemark.llm import divergence, fingerprints, merkle, near_copies, queries, secret_scan, sentence_pieces, simhash, warc
 
 MODEL = public_tokenizers.path(queries.PIECE_BPE)
 
@@ -313,3 +313,41 @@ def test_near_copies_are_found_in_every_band_from_the_limit_on(spark):
     for low, high in (0.80, 0.825), (0.825, 0.85), (0.85, 0.9), (0.9, 1.01):
         band = together[(together[:, 0] >= low) & (together[:, 0] < high), 1]
         assert len(band) >= 20 and band.mean() >= 0.9, (low, band.mean(), len(band))
+
+
+def test_ids_are_cut_by_a_bounded_sample(spark, none, monkeypatch):
+    ids = spark.range(20_000).select((F.col("id") * 7 - 900).alias("doc_id")).union(spark.createDataFrame([(None,)] * 3, "doc_id bigint"))
+    monkeypatch.setattr(fingerprints, "SAMPLED", 20)
+    for least, rows, most, parts in ((4, 1000, 10**6, 20), (8, 50_000, 10**6, 8), (4, 100, 1000, 50)):
+        cuts = fingerprints.cut_ids(ids, least, rows, most)
+        sizes = np.bincount(np.searchsorted(cuts, np.arange(20_000) * 7 - 900))
+        assert len(cuts) == parts and cuts[-1] == 19_999 * 7 - 900 and sizes.max() < 3 * 20_000 / parts
+    assert list(fingerprints.cut_ids(none.select("doc_id"), 4)) == []
+    same = spark.createDataFrame([(5,)] * 50, "doc_id bigint")
+    assert list(fingerprints.cut_ids(same, 4)) == [5]
+
+
+# Written manifests
+
+
+def test_a_written_manifest_proves_rows_and_finds_differences(spark, none, tmp_path):
+    rows = [(i, f"text {i}", "en", f"s{i % 3}" if i % 4 else None, i) for i in range(200)] + [(7, "again", "en", "s1", 0), (None, "no id", "en", "s1", 0)]
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame(rows, kinds)
+    root = merkle.write_manifest(docs, f"file://{tmp_path}/a", 9, 6)
+    shown = {(r["doc_id"], r["leaf"]): r for r in merkle.manifest(docs, None, 9, 6).collect()}
+    assert {r["root"] for r in shown.values()} == {root} == {merkle.root_of(spark, f"file://{tmp_path}/a")}
+    for source, doc, n in (("s1", 7, 2), ("s2", 5, 1), (None, 8, 1), ("s1", None, 1), ("s1", 5, 0)):
+        proofs = merkle.proof_of(spark, f"file://{tmp_path}/a", source, doc)
+        assert len(proofs) == n
+        for leaf, siblings in proofs:
+            assert merkle.follows(leaf, siblings, root) and not merkle.follows(leaf[::-1], siblings, root)
+            assert hashlib.sha256("".join(a + b for a, b in siblings).encode()).hexdigest() == shown[doc, leaf]["proof_sha256"]
+    other = [r for r in rows if r[0] != 50] + [(1000, "new", "en", "s0", 1), (1001, "new", "en", "s9", 1)]
+    other = [(r[0], "changed", *r[2:]) if r[0] in (11, 120) else r for r in other]
+    merkle.write_manifest(spark.createDataFrame(other, kinds), f"file://{tmp_path}/b", 9, 6)
+    found = sorted(map(str, (tuple(r) for r in merkle.differences(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b").collect())))
+    of = {r[0]: r[3] for r in rows}
+    assert found == sorted(map(str, [(of[11], 11, "changed"), (of[120], 120, "changed"), (of[50], 50, "removed"), ("s0", 1000, "added"), ("s9", 1001, "added")]))
+    assert merkle.differences(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/a").count() == 0
+    assert merkle.write_manifest(none, f"file://{tmp_path}/none") is None

@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -232,11 +232,8 @@ def finished(blocks: DataFrame, block: int) -> DataFrame:
     return blocks.mapInArrow(finish, RESULT)
 
 
-def manifest(docs: DataFrame, shown: DataFrame | None = None, block: int = BLOCK, top: int = TOP) -> DataFrame:
-    """RESULT of every row of ``docs`` (COLUMNS).
-
-    shown: ``docs`` with a column ``shown``, the text that is checked against the manifest instead of the row's own; null is the own text.
-    """
+def blocks_of(docs: DataFrame, shown: DataFrame | None = None, block: int = BLOCK, top: int = TOP) -> DataFrame:
+    """PACKED blocks of the rows of ``docs`` with their suffixes; shown as in ``manifest``."""
     own = docs if shown is None else shown
     columns = {c: F.col(c) for c in COLUMNS}
     other = F.lit(None).cast("string") if shown is None else F.when(~F.col("shown").eqNullSafe(F.col("text")), leaf_of(**columns | {"text": F.col("shown")}))
@@ -252,7 +249,78 @@ def manifest(docs: DataFrame, shown: DataFrame | None = None, block: int = BLOCK
             at = places.select("tree", F.col("at").alias("block"), "name", F.col("leaf").alias("own"))
             suffixes = suffixes.join(at, ["tree", "block"]).select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("block"), "path", F.col("own").alias("subroot"), "top")
         suffixes = stored(suffixes, "suffixes")
-    return finished(with_suffix(rounds[0], suffixes, small), block)
+    return with_suffix(rounds[0], suffixes, small)
+
+
+def manifest(docs: DataFrame, shown: DataFrame | None = None, block: int = BLOCK, top: int = TOP) -> DataFrame:
+    """RESULT of every row of ``docs`` (COLUMNS).
+
+    shown: ``docs`` with a column ``shown``, the text that is checked against the manifest instead of the row's own; null is the own text.
+    """
+    return finished(blocks_of(docs, shown, block, top), block)
+
+
+def write_manifest(docs: DataFrame, folder: str, block: int = BLOCK, top: int = TOP) -> str | None:
+    """Writes the manifest of a table: a row a block with its leaves, their ids and the rest of their paths. Returns the root; None of an empty table."""
+    made = blocks_of(docs, None, block, top).withColumn("size", F.lit(block)).drop("changed", "tampered")
+    made.write.partitionBy("size").parquet(folder)
+    return root_of(docs.sparkSession, folder)
+
+
+def _read(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = PACKED.replace(", changed array<int>, tampered binary", "") + ", path binary, subroot binary, top binary, size int"
+    return spark.read.schema(kinds).parquet(folder)
+
+
+def root_of(spark: SparkSession, folder: str) -> str | None:
+    """The root of a written manifest."""
+    first = _read(spark, folder).select(F.lower(F.hex("top")).alias("root")).first()
+    return None if first is None else first["root"]
+
+
+def proof_of(spark: SparkSession, folder: str, source: str | None, doc_id: int | None) -> list[tuple[str, list[tuple[str, str]]]]:
+    """(leaf, siblings) of the rows of an id: level by level the digests on the left and on the right, joined, as ``follows`` takes them."""
+    held = F.exists("ids", lambda x: x.eqNullSafe(F.lit(doc_id).cast("long")))
+    out = []
+    for r in _read(spark, folder).where((F.col("tree") == ("" if source is None else f"={source}")) & held).collect():
+        leaves = [r["leaves"][i : i + 32] for i in range(0, len(r["leaves"]), 32)]
+        height = next(h for h in range(64) if ARITY**h >= r["size"])
+        tree = levels([bytes(x) for x in leaves], height if r["total"] > r["size"] else None)
+        for i, id in enumerate(r["ids"]):
+            if id == doc_id:
+                siblings = [*steps(path_of(tree, i)), *steps(bytes(r["path"]))]
+                out.append((bytes(leaves[i]).hex(), [(a.decode(), b.decode()) for a, b in siblings]))
+    return out
+
+
+def follows(leaf: str, siblings: list[tuple[str, str]], root: str) -> bool:
+    """Whether a leaf and its siblings lead to a root."""
+    return folded(bytes.fromhex(leaf), [(a.encode(), b.encode()) for a, b in siblings]).hex() == root
+
+
+def differences(spark: SparkSession, before: str, after: str) -> DataFrame:
+    """source, doc_id, change (added, removed or changed) between two written manifests.
+
+    Blocks with one root at one place are left out before their leaves are read, so what is alike costs a digest a block; rows meet by id. Of
+    rows that repeat an id as many are changed as there are on both sides.
+    """
+    a, b = (_read(spark, f) for f in (before, after))
+    same = a.join(b, ["tree", "block", "total", "root"], "left_semi").select("tree", "block")
+
+    def rows(m: DataFrame) -> DataFrame:
+        parts = F.expr("transform(sequence(0, size(ids) - 1), i -> struct(ids[i] as id, substring(leaves, 32 * i + 1, 32) as leaf))")
+        return m.join(same, ["tree", "block"], "left_anti").select("tree", F.explode(parts).alias("x")).select("tree", "x.id", "x.leaf").groupBy("tree", "id", "leaf").count()
+
+    key = lambda x, y: x["tree"].eqNullSafe(y["tree"]) & x["id"].eqNullSafe(y["id"]) & x["leaf"].eqNullSafe(y["leaf"])
+    x, y = rows(a).alias("x"), rows(b).alias("y")
+    names = lambda side: {c: F.col(f"{side}.{c}") for c in ("tree", "id", "leaf")}
+    both = x.join(y, key(names("x"), names("y")), "full")
+    net = both.select(*(F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in ("tree", "id")), (F.coalesce("y.count", F.lit(0)) - F.coalesce("x.count", F.lit(0))).alias("n"))
+    sums = net.groupBy("tree", "id").agg(F.sum(F.greatest("n", F.lit(0))).alias("more"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("less"))
+    kinds = F.array(F.struct(F.lit("changed").alias("change"), F.least("more", "less").alias("n")), F.struct(F.lit("added").alias("change"), (F.col("more") - F.least("more", "less")).alias("n")), F.struct(F.lit("removed").alias("change"), (F.col("less") - F.least("more", "less")).alias("n")))
+    told = sums.select("tree", "id", F.explode(kinds).alias("k")).where("k.n > 0")
+    source = F.when(F.col("tree") != "", F.expr("substring(tree, 2)"))
+    return told.select(source.alias("source"), F.col("id").alias("doc_id"), "k.change", F.explode(F.array_repeat(F.lit(0), F.col("k.n").cast("int"))).alias("copy")).drop("copy")
 
 
 def tampered(docs: DataFrame) -> DataFrame:
