@@ -49,7 +49,7 @@ CHUNK, PACKED, CELLS = 100_000, 64, 400_000
 #: Cells of an anchor that is compared side by side with others, and how many of these at once.
 SMALL, SMALL_ONES = 2_000, 500
 #: Odd multipliers that derive a shingle's further hashes from its first (fixed values).
-MIXES = np.random.default_rng(42).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+MIXES = np.random.default_rng(42).integers(0, 1 << 63, 512, np.uint64) * np.uint64(2) + np.uint64(1)
 COUNTED = BITS.astype(np.float32)
 
 
@@ -62,7 +62,7 @@ def blocks_for(rows: int, similarity: float = SIMILARITY) -> tuple[int, int]:
         raise ValueError(f"blocks are counted for similarities of {SIMILARITY} or more")
     beside = min(64 - 2 * BLOCK, max(0, ceil(log2(max(1, rows) / (AT_ANCHOR * ANCHORS)))))
     met = MEET * (1 - acos(similarity) / pi) ** beside
-    return min(2 * len(MIXES), ceil(log(MISS) / log(1 - met))), beside
+    return ceil(log(MISS) / log(1 - met)), beside  # at most 930, of 1,024 that MIXES give
 
 
 def bits_for(similarity: float = SIMILARITY) -> int:
