@@ -22,7 +22,7 @@ from tidemark.operators.status import Processes
 from tidemark.schema import as_journal
 from tidemark.sources.batches import BatchLog
 from tidemark.sources.journal import Journal
-from tidemark.sources.shared import scratch
+from tidemark.sources.shared import kept, scratch
 from tidemark.streaming import stateful
 from tidemark.streaming.stream import BEGINNING, EventStream, fanned_out, once_each, reacted, subscribed
 
@@ -615,7 +615,7 @@ def stream_from_snapshot(spark, sf_dir):
     def step(state, key, body):
         return 0 if key == "error" else (state or 0) + round(json.loads(body)["value"] * 100)
 
-    begun = projector(spark, sf_dir).until(SNAP - 1).replay_python(step, "bigint")
+    begun = kept(projector(spark, sf_dir).until(SNAP - 1).replay_python(step, "bigint"))
 
     def run(folder: str) -> DataFrame:
         events = EventStream(spark, f"{folder}/events", f"{folder}/subscribers")

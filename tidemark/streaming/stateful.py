@@ -1,4 +1,4 @@
-"""Streaming operators with state for each entity, on ``transformWithStateInPandas``.
+"""Streaming operators with state for each entity, on ``transformWithState`` (replay) and ``transformWithStateInPandas`` (commands).
 
 They need the RocksDB state store: spark.sql.streaming.stateStore.providerClass. Both can begin at states that a batch left (``initial``), and
 then go on as the batch would have. What a running stream knows of its entities is read from its state store (``running``).
@@ -9,17 +9,22 @@ A group's rows of one micro-batch are sorted in a task, so a trigger's limits (f
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.process import IDLE, IDLED, OUT, OUT_KINDS, STOPPED, Behaviour, out_row, run_entity
-from tidemark.operators.projection import in_batches
+from tidemark.operators.projection import in_batches, mapped_rows
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Bytes of an entity's events of one micro-batch that a replay holds, and of those in a row that goes to it; each counted as its body and EVENT more.
+HELD, PACK, EVENT = 64 << 20, 16 << 10, 250
 #: What becomes of the state of an entity that has ended.
 KEEP, REMOVE = "keep", "remove"
 
@@ -37,6 +42,47 @@ def begun(initial: pd.DataFrame) -> tuple:
     return tuple(row[c] for c in ("state", "sequence", "active"))
 
 
+def from_arrow(value, kind: T.DataType):
+    """A value as Python has it; Arrow gives maps as lists of pairs."""
+    if value is None or not isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return value
+    if isinstance(kind, T.StructType):
+        return {f.name: from_arrow(value[f.name], f.dataType) for f in kind}
+    if isinstance(kind, T.ArrayType):
+        return [from_arrow(v, kind.elementType) for v in value]
+    return {from_arrow(k, kind.keyType): from_arrow(v, kind.valueType) for k, v in value}
+
+
+def to_arrow(value, kind: T.DataType):
+    """A value as Arrow takes it: structs, which may be rows or tuples, by name, and maps as lists of pairs."""
+    if value is None or not isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return value
+    if isinstance(kind, T.StructType):
+        own = [value.get(c) for c in kind.names] if isinstance(value, dict) else value
+        return {f.name: to_arrow(v, f.dataType) for f, v in zip(kind, own)}
+    if isinstance(kind, T.ArrayType):
+        return [to_arrow(v, kind.elementType) for v in value]
+    return [(to_arrow(k, kind.keyType), to_arrow(v, kind.valueType)) for k, v in value.items()]
+
+
+def packed(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """(id, events) of journal rows: what lies together of an entity goes as one row, since each value of a row costs a stateful task more than an event."""
+    for id, own in groupby(rows, itemgetter(0)):
+        pack, size = [], 0
+        for _, *event, body in own:
+            pack.append((*event, body))
+            size += EVENT + len(body)
+            if size >= PACK:
+                yield id, pickle.dumps(pack)
+                pack, size = [], 0
+        if pack:
+            yield id, pickle.dumps(pack)
+
+
+#: What a replay puts out.
+REPLAYED = Row("id", "state", "sequence")
+
+
 class ReplayProcessor(StatefulProcessor):
     """Folds an entity's events in order of sequence, whatever the order of batches.
 
@@ -45,52 +91,87 @@ class ReplayProcessor(StatefulProcessor):
     time: one after the other in order of time, a repetition of the same body once. What comes for a
     sequence that is folded already is left out, which is where a stream differs from a batch. What is
     kept is the state, the number of events folded, the next sequence and the waiting events.
+
+    Rows are those of ``packed``, with times as microseconds. What is in the store is had by round trips from Python, so an entity whose
+    events come in order takes a few a micro-batch, whatever their number. kind: the state's type, as SQL ``state``.
     """
 
-    def __init__(self, step: Callable, state: str, first: int = 0, patience: int | None = None):
-        self.step, self.kind, self.first, self.patience = step, state, first, patience
+    def __init__(self, step: Callable, state: str, kind: T.DataType, first: int = 0, patience: int | None = None):
+        self.step, self.state, self.kind, self.first, self.patience, self.room = step, state, kind, first, patience, HELD
+        self.began: tuple | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", f"state {self.kind}, folded bigint, next bigint")
+        self.now = handle.getValueState("now", f"state {self.state}, folded bigint, next bigint")
         self.waiting = handle.getMapState("waiting", "sequence_id bigint", "parts binary")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        state, sequence, _ = begun(initialState)
-        self.now.update((state, sequence, sequence))
-
-    def _fold(self, state, folded: int, sequence: int):
-        parts = sorted(pickle.loads(self.waiting.getValue((sequence,))[0]))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        held = initialState["held"]
+        now = (from_arrow(held["state"], self.kind), held["sequence"], held["sequence"])
+        self.now.update(now)
+        self.began = (key, now)  # its rows, if it has any, are next
+
+    def _waited(self, sequence: int) -> list[tuple]:
+        """The writes of a sequence that waited, which they do no longer."""
+        if not self.waiting.containsKey((sequence,)):
+            return []
+        parts = pickle.loads(self.waiting.getValue((sequence,))[0])
         self.waiting.removeKey((sequence,))
+        return parts
+
+    def _wait(self, held: dict[int, list[tuple]], beside: bool) -> None:
+        """Leaves writes waiting; beside: others may wait already."""
+        for sequence, parts in held.items():
+            self.waiting.updateValue((sequence,), (pickle.dumps([*(self._waited(sequence) if beside else ()), *parts]),))
+
+    def _fold(self, state, folded: int, parts: list[tuple]):
+        if len(parts) > 1:
+            parts = sorted(parts)
         for i, (_, kind, body) in enumerate(parts):
             if i + 1 < len(parts) and parts[i + 1][2] == body:
                 continue  # written again: the latest counts
             state, folded = self.step(state, kind, body), folded + 1
         return state, folded
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, folded, nxt = self.now.get() if self.now.exists() else (None, self.first, self.first)
-        for part in rows:
-            for seq, time, kind, body in zip(part["sequence_id"], part["created_at"], part["registry_key"], part["bytes"]):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if self.began is not None and self.began[0] == key:
+            now, waits = self.began[1], False
+        else:
+            now = self.now.get() if self.now.exists() else None
+            waits = now is not None and self.waiting.exists()
+        self.began = None
+        state, folded, nxt = now or (None, self.first, self.first)
+        held: dict[int, list[tuple]] = {}
+        size = 0
+        for _, pack in rows:
+            for seq, time, kind, body in pickle.loads(pack):
                 if seq >= nxt:
-                    at = (int(seq),)
-                    own = pickle.loads(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else []
-                    self.waiting.updateValue(at, (pickle.dumps([*own, (pd.Timestamp(time).value, kind, bytes(body))]),))
-        while self.waiting.containsKey((nxt,)):
-            state, folded = self._fold(state, folded, nxt)
+                    held.setdefault(seq, []).append((1000 * time, kind, body))  # what waits has nanoseconds
+                    size += EVENT + len(body)
+            if size > self.room:
+                self._wait(held, waits)
+                held, size, waits = {}, 0, True
+        while True:
+            parts = held.pop(nxt, [])
+            if waits:
+                parts = [*self._waited(nxt), *parts]
+            if not parts:
+                break
+            state, folded = self._fold(state, folded, parts)
             nxt += 1
+        self._wait(held, waits)
         self.now.update((state, folded, nxt))
-        if self.patience is not None and next(iter(self.waiting.keys()), None) is not None:
+        if self.patience is not None and (held or waits and self.waiting.exists()):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
-        yield pd.DataFrame({"id": [key[0]], "state": [state], "sequence": [folded]})
+        yield REPLAYED(key[0], to_arrow(state, self.kind), folded)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state, folded, nxt = self.now.get()
         for (seq,) in sorted(tuple(k) for k in self.waiting.keys()):
-            state, folded = self._fold(state, folded, seq)
+            state, folded = self._fold(state, folded, self._waited(seq))
             nxt = seq + 1
         self.now.update((state, folded, nxt))
-        yield pd.DataFrame({"id": [key[0]], "state": [state], "sequence": [folded]})
+        yield REPLAYED(key[0], to_arrow(state, self.kind), folded)
 
     def close(self) -> None:
         pass
@@ -166,8 +247,11 @@ def replay(events: DataFrame, step: Callable, state: str, patience: int | None =
 
     initial: id, state, sequence (the first to read), such as a batch replay's result; entities without a row begin at 0.
     """
-    return events.groupBy("id").transformWithStateInPandas(
-        ReplayProcessor(step, state, patience=patience), f"id string, state {state}, sequence bigint",
+    ddl = f"id string, state {state}, sequence bigint"
+    kind = events.sparkSession.createDataFrame([], ddl).schema["state"].dataType
+    rows = events.select("id", "sequence_id", F.unix_micros(F.col("created_at").cast("timestamp")), "registry_key", "bytes")
+    return mapped_rows(rows, packed, "id string, events binary").groupBy("id").transformWithState(
+        ReplayProcessor(step, state, kind, patience=patience), ddl,
         outputMode="Update", timeMode="None" if patience is None else "ProcessingTime", initialState=None if initial is None else held(initial, state),
     )
 
