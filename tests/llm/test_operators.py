@@ -609,6 +609,47 @@ def test_weak_and_skips_documents(tmp_path):
     assert shard.scored < 0.35 * n * len(asked)
 
 
+def test_many_queries_read_common_lists_once(tmp_path, monkeypatch):
+    """Queries that are alike share a product over their common lists: few postings are added query by query, and the best are those of all documents."""
+    rng = np.random.default_rng(9)
+    n, n_terms = 6000, 1500
+    common = 1 / np.arange(1, n_terms + 1) ** 0.8
+    docs = [(t + i % 2 * n_terms, tf) for i in range(n) for t, tf in [np.unique(rng.choice(n_terms, rng.integers(60, 160), p=common / common.sum()), return_counts=True)]]
+    lengths = np.array([tf.sum() for _, tf in docs], "<i4")
+    term, tf = (np.concatenate(x) for x in zip(*docs))
+    doc = np.repeat(np.arange(n), [len(t) for t, _ in docs])
+    order = np.argsort(term, kind="stable")
+    terms, df = np.unique(term, return_counts=True)
+    search.put(f"{tmp_path}/s.npz", {"ids": np.arange(n), "lengths": lengths, "terms": terms, "checks": terms, "df": df, "doc": doc[order].astype("<i4"), "tf": tf[order].astype("<i4")})
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    place = np.searchsorted(terms, term)
+    units = np.rint(idf[place] * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[doc] / lengths.mean()))) * search.UNIT)[order]
+    starts = np.concatenate([[0], np.cumsum(df)])
+    asked = [np.searchsorted(terms, docs[i][0]) for i in range(0, n, 10)] + [np.searchsorted(terms, docs[i][0]) for i in range(1, n, 10)]
+    read = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def bincount(self, x, weights=None, minlength=0):
+            read.append(0 if weights is None else len(x))
+            return np.bincount(x, weights, minlength)
+
+    monkeypatch.setattr(search, "np", Counting())
+    shard = search.Shard([f"{tmp_path}/s.npz"], terms, terms, idf, lengths.mean())
+    known = np.ones(len(asked))
+    for _ in range(2):  # without and with known thresholds
+        found = {q: (ids.tolist(), u.tolist()) for q, ids, u in shard.search(asked, 10, known)}
+        for q, wanted in enumerate(asked):
+            at = np.concatenate([np.arange(starts[t], starts[t + 1]) for t in wanted])
+            whole = np.bincount(doc[order][at], units[at], n)
+            best = np.lexsort((np.arange(n), -whole))[:10]
+            assert found[q] == (best.tolist(), whole[best].tolist())
+            known[q] = whole[best[-1]]
+    assert sum(read) < 0.15 * 2 * sum(df[t].sum() for t in asked)
+
+
 def test_top_k_of_nothing(spark, odd, none):
     assert search.bm25_top_k(none, none).count() == 0 and search.bm25_top_k(odd, none).count() == 0 and search.bm25_top_k(none, odd).count() == 0
     assert search.bm25_top_k(odd, odd.where("doc_id % 20 = 0")).count() > 0

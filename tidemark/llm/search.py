@@ -4,11 +4,13 @@ Index. Every task turns its documents into segments: files in the shared folder
 their posting lists (document, frequency), document lengths and ids. Segments are grouped into shards of a bounded
 size. Document frequencies and lengths are summed over all segments, so every shard scores with global statistics.
 
-Search. Queries are dealt into blocks; a task takes one block and a few shards in turn. Documents of a shard lie in blocks
-of ``BLOCK``, ordered so that like documents are neighbours, and every long posting list keeps the maximum of
-its scores in each block. For a query the maxima of its long lists and the best sum of its short lists in a block bound what a document in it
-can score (the weak-and test). Blocks whose bound reaches the threshold are pivots; the others are skipped, with all their
-documents. The threshold is the k-th best score so far, also of the shards before; pivots are scored from the highest bound on, in
+Search. Queries are dealt into blocks; a task takes one block and a few shards in turn. Like documents of a shard form a group, and
+lie in blocks of ``BLOCK``; every list that is long in a group is also there as a row of scores, with its maximum in each block. Queries that are like
+the same group and of like length are answered together: a list that many of them ask for is taken as a row, by a matrix product for all of them, the
+others posting by posting. For a query the maxima of its rows and its sum of the other lists bound what a document can score (the weak-and test).
+Groups in which few of the queries may find something keep this bound; in groups that the queries are like, where maxima exclude next to nothing,
+the product takes the rows themselves, so that the bound is the score. Documents whose bound reaches the threshold are pivots, the others are
+skipped. The threshold is the k-th best score so far, also of the shards before; pivots are scored from the highest bound on, in
 rounds, and each round raises the threshold until no bound reaches it. The k best of every task are merged by score into the k best of all.
 
 Scores. A term counts once in a query. Its part of a score, ``ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) /
@@ -26,7 +28,6 @@ texts of any length are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,21 @@ from tidemark.llm.files import opened, replaced
 K1, B, UNIT = 1.2, 0.75, 1 << 16
 TERM_BREAK = r"[^\p{L}\p{N}]+"
 #: Size of a segment and of a shard: postings (in a segment still words) and 128 for each document.
-SEGMENT, SHARD, PER_DOC = 4_000_000, 10_000_000, 128
-#: Queries in a block, queries whose bounds are computed together, documents in a block, and shards that a task takes in turn.
-QUERIES, TOGETHER, BLOCK, IN_TURN = 16_384, 64, 4, 2
-#: Blocks of a query's first round; each round is twice the one before.
-FIRST = 32
-#: A list is long if it has one in so many documents; scores of long lists that a shard holds at most.
-LONG, LONG_SCORES = 8, 16_000_000
+SEGMENT, SHARD, PER_DOC = 4_000_000, 12_000_000, 128
+#: Queries in a block, queries whose bounds are computed together, documents in a block.
+QUERIES, TOGETHER, BLOCK = 16_384, 256, 4
+#: Shards that a task takes in turn, at least and at most, and tasks from which on it takes more than the least.
+IN_TURN, MOST_IN_TURN, TASKS = 2, 16, 64
+#: Documents of a query's first round; each round is twice the one before.
+FIRST = 64
+#: A list is long in a group if it has one in so many of its documents, or fewer where more scores of long lists than a shard may hold come of it.
+LONG, LONG_SCORES = 32, 18_000_000
+#: A posting costs as much as so many cells of a product; stretches of fewer postings are copied together.
+ROW, FEW = 220, 64
+#: A group is scored by a product for so many queries at least, if one in so many may find documents there.
+MANY, LIKE = 128, 8
+#: Groups of a shard's documents at most, terms that tell them apart, and rounds.
+GROUPS, FEATURES, ROUNDS = 16, 256, 5
 NO_ID = -(2**63)
 
 
@@ -192,113 +201,183 @@ def write_queries(index: Index, queries: DataFrame, folder: str, id_col: str, te
     return n
 
 
+def groups(term: np.ndarray, doc: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """The group of like documents that each is in: spherical k-means on their common terms from documents at even distances, without small groups.
+
+    Postings are in the order of their terms.
+    """
+    count = np.bincount(term, minlength=len(idf))
+    common = np.argsort(-count, kind="stable")[:FEATURES]
+    common = common[count[common] * LONG > n]
+    ends = np.cumsum(count)
+    features = np.zeros((n, len(common)), np.float32)
+    for c, t in enumerate(common):
+        features[doc[ends[t] - count[t] : ends[t]], c] = idf[t]
+    features /= np.maximum(np.linalg.norm(features, axis=1, keepdims=True), 1e-9)
+    centres = features[np.linspace(0, n - 1, min(n, GROUPS)).astype(np.int64)]
+    for _ in range(ROUNDS):
+        group = (features @ centres.T).argmax(axis=1)
+        mine = group == np.arange(len(centres))[:, None]
+        centres = mine[mine.sum(axis=1) * GROUPS * 4 >= n].astype(np.float32) @ features
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return np.unique((features @ centres.T).argmax(axis=1), return_inverse=True)[1]
+
+
 class Shard:
-    """A shard's lists for the terms of a block of queries, with scores in units."""
+    """A shard's lists for the terms of a block of queries, with scores in units. Its documents lie by group, so that a block has documents of one group."""
 
     def __init__(self, segments: list[str], terms: np.ndarray, checks: np.ndarray, idf: np.ndarray, mean: float):
-        term, doc, tf, ids, lengths, n = [], [], [], [], [], 0
+        term, doc, score, ids, lengths, n = [], [], [], [], [], 0
         for s in map(get, segments):
             at = positions(terms, checks, s["terms"], s["checks"])
             known = at >= 0
             keep = np.repeat(known, s["df"])
             term.append(np.repeat(at[known].astype(np.int32), s["df"][known]))
             doc.append(s["doc"][keep] + np.int32(n))
-            tf.append(s["tf"][keep])
+            tf, norm = s["tf"][keep], K1 * (1 - B + B * s["lengths"] / mean)
+            score.append(np.rint(idf[term[-1]] * (tf * (K1 + 1) / (tf + norm[s["doc"][keep]])) * UNIT).astype(np.float32))
             ids.append(s["ids"])
             lengths.append(s["lengths"])
             n += len(s["ids"])
-        term, doc, tf, self.ids, lengths = map(np.concatenate, (term, doc, tf, ids, lengths))
-        count = np.bincount(term, minlength=len(terms))
+        term, ids, lengths = map(np.concatenate, (term, ids, lengths))
         order = np.argsort(term, kind="stable")
-        term, doc, tf = term[order], doc[order], tf[order]
-        del order
-        self.starts = np.concatenate([[0], np.cumsum(count)])
-        frequency = tf.astype(np.float64)
-        score = np.rint(idf[term] * (frequency * (K1 + 1) / (frequency + K1 * (1 - B + B * lengths[doc] / mean))) * UNIT).astype(np.float32)
-        del term, frequency
-
-        # Long lists, the longest first as far as they fit.
-        most = min(int((count * LONG > n).sum()), LONG_SCORES // max(n, 1))
-        long = np.argsort(-count, kind="stable")[:most]
-        self.column = np.full(len(terms), -1)
-        self.column[long] = np.arange(most)
-        # Like documents become neighbours: by the long list in which they have most, then by length.
-        lead, best = np.full(n, -1), np.zeros(n, np.int32)
-        for c, t in enumerate(long):
-            span = slice(self.starts[t], self.starts[t + 1])
-            more = tf[span] > best[doc[span]]
-            lead[doc[span][more]], best[doc[span][more]] = c, tf[span][more]
-        order = np.lexsort((lengths, lead))
+        term = term[order]
+        doc = np.concatenate(doc)[order]
+        score = np.concatenate(score)[order]
+        del order, keep, at, tf, s
+
+        # Like documents become neighbours: by group, then by length. A group begins with a block; the first documents of its blocks come first, then the second ones.
+        group = groups(term, doc, idf, n)
+        sizes = np.bincount(group)
+        self.blocks = -(-sizes // BLOCK)
+        self.ends = np.cumsum(self.blocks) * BLOCK
+        self.begins = self.ends - self.blocks * BLOCK
+        rank = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         place = np.empty(n, np.int32)
-        place[order] = np.arange(n, dtype=np.int32)
-        self.ids, lead, doc = self.ids[order], lead[order], place[doc]
-        self.n, self.blocks = n, -(-n // BLOCK)
-        self.long = np.zeros((self.blocks * BLOCK, most), np.float32)
-        for c, t in enumerate(long):
-            span = slice(self.starts[t], self.starts[t + 1])
-            self.long[doc[span], c] = score[span]
-        self.doc, self.score = doc, score
-        self.maxima = self.long.reshape(self.blocks, BLOCK, most).max(axis=1)
-        #: Documents scored in full so far.
+        place[np.lexsort((lengths, group))] = np.repeat(self.begins, sizes) + rank % BLOCK * np.repeat(self.blocks, sizes) + rank // BLOCK
+        self.n, self.ids = n, np.full(self.ends[-1], NO_ID)
+        self.ids[place] = ids
+
+        # Each group's long lists, as rows of scores: those with one in so many documents that all fit.
+        of = group[doc].astype(np.int16)
+        doc = place[doc]
+        count = np.bincount(term * np.int64(len(sizes)) + of, minlength=len(terms) * len(sizes)).astype(np.int32).reshape(-1, len(sizes))
+        rate = LONG
+        while (long := count * rate > sizes).sum(axis=0) @ (self.ends - self.begins) > LONG_SCORES or long.sum(axis=0).max() >= 2**15:
+            rate *= 0.8
+        self.column = np.where(long, np.cumsum(long, axis=0, dtype=np.int16) - np.int16(1), np.int16(-1))
+        #: The documents of the groups in which a list is long.
+        self.spread = long @ (self.ends - self.begins)
+        self.long, self.maxima = [], []
+        column = self.column[term, of]
+        inside = column >= 0
+        at = np.flatnonzero(inside)
+        for g, blocks in enumerate(self.blocks):
+            own = at[of[at] == g]
+            rows = np.zeros((int(long[:, g].sum()), blocks * BLOCK), np.float32)
+            rows[column[own], doc[own] - self.begins[g]] = score[own]
+            self.long.append(rows)
+            self.maxima.append(rows.reshape(-1, BLOCK, blocks).max(axis=1))
+        del count, long, of, column, at
+        # All postings, list by list, a document and the bits of its score: first of the groups in which the list isn't long.
+        order = np.argsort(term * np.int32(2) + inside, kind="stable")
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
+        self.cuts = self.starts[1:] - np.bincount(term[inside], minlength=len(terms))
+        self.postings = np.empty((len(order), 2), np.int32)
+        self.postings[:, 0] = doc[order]
+        self.postings.view(np.float32)[:, 1] = score[order]
+        self.postings = self.postings.view(np.int64).ravel()
+        #: Documents scored in full so far, one by one and in products.
         self.scored = 0
 
-    def short_sums(self, lists: np.ndarray) -> np.ndarray:
-        """Sums of the scores in some lists, by document."""
-        lists = lists[self.starts[lists + 1] > self.starts[lists]]
-        if not len(lists):
-            return np.zeros(len(self.long))
-        spans = [slice(a, b) for a, b in zip(self.starts[lists].tolist(), self.starts[lists + 1].tolist())]
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.score[s] for s in spans]), len(self.long))
-
     def search(self, queries: list[np.ndarray], k: int, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query's position, ids, scores in units) of the k best that reach the query's known threshold; queries are positions of terms."""
-        for at in range(0, len(queries), TOGETHER):
-            some = queries[at : at + TOGETHER]
-            wanted = np.zeros((len(some), self.long.shape[1]), np.float32)
-            for i, terms in enumerate(some):
-                c = self.column[terms]
-                wanted[i, c[c >= 0]] = 1
-            ceilings = wanted @ self.maxima.T
-            for i, terms in enumerate(some):
-                ids, units = self._best(terms[self.column[terms] < 0], wanted[i], ceilings[i], k, known[at + i])
+        lengths, likest = np.array([len(q) for q in queries], np.int64), np.zeros(len(queries), np.int64)
+        for at in range(0, len(queries), 1024):
+            some = queries[at : at + 1024]
+            hits = np.add.reduceat(self.column[np.concatenate([*some, [0]])] >= 0, np.cumsum([0, *map(len, some[:-1])]), dtype=np.int32)
+            likest[at : at + 1024] = hits.argmax(axis=1)
+        order = np.lexsort((lengths, likest))
+        for at in range(0, len(order), TOGETHER):
+            some = order[at : at + TOGETHER]
+            owner, terms = np.repeat(np.arange(len(some)), lengths[some]), np.concatenate([queries[q] for q in some])
+            # A list is used as a row where that costs less than its postings, query by query.
+            asked, which, times = np.unique(terms, return_inverse=True, return_counts=True)
+            rows = times * (self.starts[asked + 1] - self.cuts[asked]) * ROW > len(some) * self.spread[asked]
+            column = np.where(rows[:, None], self.column[asked], -1)
+            wanted = np.zeros((len(some), len(asked)), np.float32)
+            wanted[owner, which] = 1
+            ceilings, parts = np.empty((len(some), len(self.ids)), np.float32), []
+            for g, (a, b) in enumerate(zip(self.begins.tolist(), self.ends.tolist())):
+                own = np.flatnonzero(column[:, g] >= 0)
+                lists, part = column[own, g], wanted[:, own]
+                parts.append((part, lists))
+                maxima = self.maxima[g][lists]
+                # One product scores all documents of a group if many queries are so like it that they may be found.
+                if len(some) >= MANY and np.mean(2 * (part @ maxima.max(axis=1, initial=0)) >= known[some]) * LIKE > 1:
+                    np.matmul(part, self.long[g][lists], out=ceilings[:, a:b])
+                    self.scored += len(some) * (b - a)
+                else:
+                    ceilings[:, a:b] = np.tile(part @ maxima, BLOCK)
+            start = self.starts[terms]
+            size = np.where(rows[which], self.cuts[terms], self.starts[terms + 1]) - start
+            for i, (q, sums) in enumerate(zip(some.tolist(), self._sums(owner, start, size, len(some)))):
+                ids, units = self._best(sums, [(lists[part[i] > 0]) for part, lists in parts], ceilings[i], k, known[q])
                 if len(ids):
-                    yield at + i, ids, units
-
-    def _best(self, short: np.ndarray, wanted: np.ndarray, ceiling: np.ndarray, k: int, known: float) -> tuple[np.ndarray, np.ndarray]:
-        sums = self.short_sums(short)
-        bound = ceiling + reduce(np.maximum, sums.reshape(self.blocks, BLOCK).T)
-        # A sum of float32 is off by at most this much (of the true sum's terms, each below 2 ** 24 and whole).
-        slack = float(ceiling.max(initial=0)) * (len(wanted) * 2.0**-23) + 1
-        threshold = known - slack
-        pivots = np.flatnonzero(bound >= threshold)
-        pivots = pivots[np.argsort(-bound[pivots], kind="stable")]
-        docs, scores, best = [np.empty(0, np.int64)], [np.empty(0)], np.empty(0)
-        at, size = 0, FIRST
-        while at < len(pivots) and bound[pivots[at]] >= threshold:
-            some = pivots[at : at + size]
-            some = some[bound[some] >= threshold]
-            own = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            own = own[sums[own] + np.repeat(ceiling[some], BLOCK) >= threshold]
-            found = sums[own] + self.long[own] @ wanted
-            docs.append(own)
-            scores.append(found)
-            best = np.concatenate([best, found])
-            if len(best) > k:
-                best = np.partition(best, len(best) - k)[len(best) - k :]
-            if len(best) == k:
-                threshold = max(threshold, best.min() - 2 * slack)
-            at, size = at + size, 2 * size
-        docs, scores = np.concatenate(docs), np.concatenate(scores)
-        self.scored += len(docs)
-        near = docs[scores >= threshold]
-        columns = np.flatnonzero(wanted)
-        exact = sums[near]
-        for a in range(0, len(near), 4096):
-            exact[a : a + 4096] += self.long[near[a : a + 4096, None], columns].sum(axis=1, dtype=np.float64)
-        keep = exact >= known
-        exact, ids = exact[keep], self.ids[near[keep]]
-        last = np.lexsort((ids, ids == NO_ID, -exact))[:k]
-        return ids[last], exact[last].astype(np.int64)
+                    yield q, ids, units
+
+    def _sums(self, owner: np.ndarray, start: np.ndarray, size: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        """For each query sums of the scores in its stretches of postings, by document."""
+        # Short stretches are copied for all queries at once, others one by one.
+        few = (size > 0) & (size < FEW)
+        count = size[few]
+        ends = np.cumsum(count)
+        own = self.postings[np.repeat(start[few] - ends + count, count) + np.arange(count.sum())]
+        cuts = np.concatenate([[0], ends])[np.searchsorted(owner[few], np.arange(n + 1))].tolist()
+        many = size >= FEW
+        spans, at = list(zip(start[many].tolist(), (start[many] + size[many]).tolist())), np.searchsorted(owner[many], np.arange(n + 1)).tolist()
+        postings = self.postings
+        for i in range(n):
+            found = np.concatenate([own[cuts[i] : cuts[i + 1]], *[postings[a:b] for a, b in spans[at[i] : at[i + 1]]]])
+            yield np.bincount(found.view(np.int32)[::2], found.view(np.float32)[1::2], len(self.ids))
+
+    def _row_sums(self, docs: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+        """Sums of the scores of some documents in some rows of each group."""
+        group, out = np.searchsorted(self.ends, docs, side="right"), np.empty(len(docs))
+        for g in np.flatnonzero(np.bincount(group)).tolist():
+            own = np.flatnonzero(group == g)
+            for a in range(0, len(own), 4096):
+                some = own[a : a + 4096]
+                out[some] = self.long[g][lists[g][:, None], docs[some] - self.begins[g]].sum(axis=0, dtype=np.float64)
+        return out
+
+    def _best(self, sums: np.ndarray, lists: list[np.ndarray], bound: np.ndarray, k: int, known: float) -> tuple[np.ndarray, np.ndarray]:
+        """``bound``: the ceilings, to which this adds the sums."""
+        bound += sums
+        # A sum of so many float32, none below 0, may be less than the true one by this share.
+        least = 1 - (max(map(len, lists)) + 8) * 2.0**-23
+        pivots, size = np.flatnonzero(bound >= known * least), FIRST
+        docs, scores = np.empty(0, np.int64), np.empty(0)
+        while len(pivots):
+            # Those with the highest bounds.
+            if len(pivots) > size:
+                high = np.argpartition(bound[pivots], len(pivots) - size)
+                some, pivots = pivots[high[len(pivots) - size :]], pivots[high[: len(pivots) - size]]
+            else:
+                some, pivots = pivots, pivots[:0]
+            self.scored += len(some)
+            found = sums[some] + self._row_sums(some, lists)
+            near = found >= known
+            docs, scores = np.concatenate([docs, some[near]]), np.concatenate([scores, found[near]])
+            if len(docs) >= k:
+                known = np.partition(scores, len(scores) - k)[len(scores) - k]
+                docs, scores = docs[scores >= known], scores[scores >= known]
+            pivots, size = pivots[bound[pivots] >= known * least], 2 * size
+        if not len(docs):
+            return docs, docs
+        ids = self.ids[docs]
+        last = np.lexsort((ids, ids == NO_ID, -scores))[:k]
+        return ids[last], scores[last].astype(np.int64)
 
 
 FOUND = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("units", pa.int64())])
@@ -319,9 +398,11 @@ def bm25_top_k(
     folder = scratch(spark, "queries")
     n_blocks, mean = write_queries(index, queries, folder, query_id_col, query_text_col), index.mean
     # A stated set of queries against all rows, in blocks: a row for each few shards and block.
-    turns = index.shards.groupBy(F.floor(F.col("shard") / IN_TURN).alias("turn")).agg(F.sort_array(F.collect_list(F.struct("shard", "segments"))).alias("shards"))
+    n_shards = index.shards.count()
+    in_turn = min(MOST_IN_TURN, max(IN_TURN, n_shards * n_blocks // TASKS))
+    turns = index.shards.groupBy(F.floor(F.col("shard") / in_turn).alias("turn")).agg(F.sort_array(F.collect_list(F.struct("shard", "segments"))).alias("shards"))
     tasks = turns.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    tasks = tasks.repartitionByRange(max(1, -(-index.shards.count() // IN_TURN) * n_blocks), "turn", "block")
+    tasks = tasks.repartitionByRange(max(1, -(-n_shards // in_turn) * n_blocks), "turn", "block")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
