@@ -27,7 +27,7 @@ texts of any length are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +45,14 @@ TERM_BREAK = r"[^\p{L}\p{N}]+"
 SEGMENT, SHARD, PER_DOC = 4_000_000, 12_000_000, 128
 #: Queries in a block, queries whose bounds are computed together, documents in a block.
 QUERIES, TOGETHER, BLOCK = 16_384, 256, 4
-#: Shards that a task takes in turn, at least and at most, and tasks from which on it takes more than the least.
-IN_TURN, MOST_IN_TURN, TASKS = 2, 16, 64
+#: Shards that a task takes in turn: at least, and at most where there are so many tasks for each core.
+IN_TURN, MOST_IN_TURN, TASKS = 2, 16, 4
 #: Documents of a query's first round; each round is twice the one before.
 FIRST = 64
 #: A list is long in a group if it has one in so many of its documents, or fewer where more scores of long lists than a shard may hold come of it.
 LONG, LONG_SCORES = 32, 18_000_000
 #: A posting costs as much as so many cells of a product; stretches of fewer postings are copied together.
-ROW, FEW = 220, 64
+ROW, FEW = 350, 64
 #: A group is scored by a product for so many queries at least, if one in so many may find documents there.
 MANY, LIKE = 128, 8
 #: Groups of a shard's documents at most, terms that tell them apart, and rounds.
@@ -244,7 +244,7 @@ class Shard:
         term = term[order]
         doc = np.concatenate(doc)[order]
         score = np.concatenate(score)[order]
-        del order, keep, at, tf, s
+        del order
 
         # Like documents become neighbours: by group, then by length. A group begins with a block; the first documents of its blocks come first, then the second ones.
         group = groups(term, doc, idf, n)
@@ -304,25 +304,33 @@ class Shard:
             # A list is used as a row where that costs less than its postings, query by query.
             asked, which, times = np.unique(terms, return_inverse=True, return_counts=True)
             rows = times * (self.starts[asked + 1] - self.cuts[asked]) * ROW > len(some) * self.spread[asked]
-            column = np.where(rows[:, None], self.column[asked], -1)
-            wanted = np.zeros((len(some), len(asked)), np.float32)
-            wanted[owner, which] = 1
+            asked = asked[rows]
+            number = np.cumsum(rows) - 1
+            own = rows[which]
+            wanted = np.zeros((len(asked), len(some)), np.float32)
+            wanted[number[which[own]], owner[own]] = 1
+            column = self.column[asked]
             ceilings, parts = np.empty((len(some), len(self.ids)), np.float32), []
+            whole = np.zeros(len(self.begins), bool)
             for g, (a, b) in enumerate(zip(self.begins.tolist(), self.ends.tolist())):
-                own = np.flatnonzero(column[:, g] >= 0)
-                lists, part = column[own, g], wanted[:, own]
+                lists = np.flatnonzero(column[:, g] >= 0)
+                part, lists = wanted[lists], column[lists, g]
                 parts.append((part, lists))
                 maxima = self.maxima[g][lists]
                 # One product scores all documents of a group if many queries are so like it that they may be found.
-                if len(some) >= MANY and np.mean(2 * (part @ maxima.max(axis=1, initial=0)) >= known[some]) * LIKE > 1:
-                    np.matmul(part, self.long[g][lists], out=ceilings[:, a:b])
+                whole[g] = len(some) >= MANY and np.mean(2 * (maxima.max(axis=1, initial=0) @ part) >= known[some]) * LIKE > 1
+                if whole[g]:
+                    np.matmul(part.T, self.long[g][lists], out=ceilings[:, a:b])
                     self.scored += len(some) * (b - a)
                 else:
-                    ceilings[:, a:b] = np.tile(part @ maxima, BLOCK)
+                    ceilings[:, a:b] = np.tile(part.T @ maxima, BLOCK)
+            # A sum of so many float32, none below 0, may differ from the true one by this share.
+            error = (max(len(lists) for _, lists in parts) + 8) * 2.0**-23
+            whole = np.repeat(whole, self.ends - self.begins)
             start = self.starts[terms]
             size = np.where(rows[which], self.cuts[terms], self.starts[terms + 1]) - start
             for i, (q, sums) in enumerate(zip(some.tolist(), self._sums(owner, start, size, len(some)))):
-                ids, units = self._best(sums, [(lists[part[i] > 0]) for part, lists in parts], ceilings[i], k, known[q])
+                ids, units = self._best(sums, ceilings[i], whole, error, lambda g, i=i: parts[g][1][parts[g][0][:, i] > 0], k, known[q])
                 if len(ids):
                     yield q, ids, units
 
@@ -341,22 +349,24 @@ class Shard:
             found = np.concatenate([own[cuts[i] : cuts[i + 1]], *[postings[a:b] for a, b in spans[at[i] : at[i + 1]]]])
             yield np.bincount(found.view(np.int32)[::2], found.view(np.float32)[1::2], len(self.ids))
 
-    def _row_sums(self, docs: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    def _row_sums(self, docs: np.ndarray, lists: Callable[[int], np.ndarray]) -> np.ndarray:
         """Sums of the scores of some documents in some rows of each group."""
         group, out = np.searchsorted(self.ends, docs, side="right"), np.empty(len(docs))
-        for g in np.flatnonzero(np.bincount(group)).tolist():
-            own = np.flatnonzero(group == g)
+        for g in set(group.tolist()):
+            own, rows = np.flatnonzero(group == g), lists(g)[:, None]
             for a in range(0, len(own), 4096):
                 some = own[a : a + 4096]
-                out[some] = self.long[g][lists[g][:, None], docs[some] - self.begins[g]].sum(axis=0, dtype=np.float64)
+                out[some] = self.long[g][rows, docs[some] - self.begins[g]].sum(axis=0, dtype=np.float64)
         return out
 
-    def _best(self, sums: np.ndarray, lists: list[np.ndarray], bound: np.ndarray, k: int, known: float) -> tuple[np.ndarray, np.ndarray]:
-        """``bound``: the ceilings, to which this adds the sums."""
+    def _best(self, sums: np.ndarray, bound: np.ndarray, whole: np.ndarray, error: float, lists: Callable[[int], np.ndarray], k: int, known: float) -> tuple[np.ndarray, np.ndarray]:
+        """``bound``: the ceilings, to which this adds the sums. Bounds of ``whole`` documents are their scores but for the error."""
         bound += sums
-        # A sum of so many float32, none below 0, may be less than the true one by this share.
-        least = 1 - (max(map(len, lists)) + 8) * 2.0**-23
-        pivots, size = np.flatnonzero(bound >= known * least), FIRST
+        pivots, size = np.flatnonzero(bound >= known * (1 - error)), FIRST
+        if len(pivots) > 2 * k and np.count_nonzero(scored := whole[pivots]) >= k:
+            scored = bound[pivots[scored]]
+            known = max(known, float(np.partition(scored, len(scored) - k)[len(scored) - k]) * (1 - 2 * error))
+            pivots = pivots[bound[pivots] >= known * (1 - error)]
         docs, scores = np.empty(0, np.int64), np.empty(0)
         while len(pivots):
             # Those with the highest bounds.
@@ -372,7 +382,7 @@ class Shard:
             if len(docs) >= k:
                 known = np.partition(scores, len(scores) - k)[len(scores) - k]
                 docs, scores = docs[scores >= known], scores[scores >= known]
-            pivots, size = pivots[bound[pivots] >= known * least], 2 * size
+            pivots, size = pivots[bound[pivots] >= known * (1 - error)], 2 * size
         if not len(docs):
             return docs, docs
         ids = self.ids[docs]
@@ -399,7 +409,7 @@ def bm25_top_k(
     n_blocks, mean = write_queries(index, queries, folder, query_id_col, query_text_col), index.mean
     # A stated set of queries against all rows, in blocks: a row for each few shards and block.
     n_shards = index.shards.count()
-    in_turn = min(MOST_IN_TURN, max(IN_TURN, n_shards * n_blocks // TASKS))
+    in_turn = min(MOST_IN_TURN, max(IN_TURN, n_shards * n_blocks // (TASKS * spark.sparkContext.defaultParallelism)))
     turns = index.shards.groupBy(F.floor(F.col("shard") / in_turn).alias("turn")).agg(F.sort_array(F.collect_list(F.struct("shard", "segments"))).alias("shards"))
     tasks = turns.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     tasks = tasks.repartitionByRange(max(1, -(-n_shards // in_turn) * n_blocks), "turn", "block")
@@ -414,13 +424,16 @@ def bm25_top_k(
             terms, checks, idf = terms[order], checks[order], idf[order]
             ids, lengths, h, g = get(f"{folder}/queries-{row['block']:06d}.npz").values()
             at = positions(terms, checks, h, g)
+            del h, g
             known = at >= 0
             # Rows that share an id are one query.
             owner, row_of = np.unique(ids, return_inverse=True)
-            pairs = np.unique(np.repeat(row_of, lengths)[known] * np.int64(len(terms)) + at[known])
-            mine, at = np.divmod(pairs, max(1, len(terms)))
-            asked = np.split(at, np.searchsorted(mine, np.arange(1, len(owner))))
-            del h, g, known, pairs
+            pairs = np.repeat(row_of, lengths)[known] * np.int64(len(terms)) + at[known]
+            del at, known
+            mine, at = np.divmod(np.unique(pairs), max(1, len(terms)))
+            del pairs
+            asked = np.split(at.astype(np.int32), np.searchsorted(mine, np.arange(1, len(owner))))
+            del mine, at
             best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(owner)
             threshold = np.ones(len(owner))
             for turn in row["shards"]:
