@@ -42,7 +42,7 @@ from tidemark.llm.files import opened, replaced
 K1, B, UNIT = 1.2, 0.75, 1 << 16
 TERM_BREAK = r"[^\p{L}\p{N}]+"
 #: Size of a segment and of a shard: postings (in a segment still words) and 128 for each document.
-SEGMENT, SHARD, PER_DOC = 4_000_000, 12_000_000, 128
+SEGMENT, SHARD, PER_DOC = 4_000_000, 10_000_000, 128
 #: Queries in a block, queries whose bounds are computed together, documents in a block.
 QUERIES, TOGETHER, BLOCK = 16_384, 256, 4
 #: Shards that a task takes in turn: at least, and at most where there are so many tasks for each core.
@@ -50,7 +50,7 @@ IN_TURN, MOST_IN_TURN, TASKS = 2, 16, 4
 #: Documents of a query's first round; each round is twice the one before.
 FIRST = 64
 #: A list is long in a group if it has one in so many of its documents, or fewer where more scores of long lists than a shard may hold come of it.
-LONG, LONG_SCORES = 32, 18_000_000
+LONG, LONG_SCORES = 32, 14_000_000
 #: A posting costs as much as so many cells of a product; stretches of fewer postings are copied together.
 ROW, FEW = 350, 64
 #: A group is scored by a product for so many queries at least, if one in so many may find documents there.
